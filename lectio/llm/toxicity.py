@@ -16,8 +16,9 @@ from lectio.llm.features import sample, sigmoid
 #: Words of a window and from one window's start to the next; labelled documents of each class that the fit may take.
 WINDOW, STRIDE, EACH = 48, 32, 1200
 #: Hash bits of the word and the character inputs, width of an input, units in each direction.
-WORD_BITS, CHAR_BITS, WIDTH, UNITS = 14, 16, 16, 12
-GRAMS = (4, 5)
+WORD_BITS, CHAR_BITS, WIDTH, UNITS = 18, 18, 16, 12
+#: Lengths of character n-grams; inputs met in fewer documents of the fit stay zero, as unseen ones are.
+GRAMS, LEAST_DOCS = (4, 5), 4
 PUNCTUATION = b".,;:!?|%*&$#\"'()[]{}<>-_"
 
 
@@ -148,14 +149,17 @@ def train(labelled: list[tuple[bytes, int]], epochs: int = 10, batch: int = 192,
     docs = [np.asarray([index.setdefault(w, len(index) + 1) for w in word_list(t)] or [0], np.int64) for t, _ in labelled]
     ids, grams, owner = inputs(list(index))
     cut = np.searchsorted(owner, np.arange(len(ids) + 1))
+    live: list[np.ndarray] = []
     pos, n_pos, n_neg = y > 0, (y > 0).sum(), (y == 0).sum()
     for table, of in ((net.words, lambda u: ids[u]), (net.chars, lambda u: np.concatenate([grams[cut[k] : cut[k + 1]] for k in u] or [grams[:0]]))):
         seen = np.zeros((2, len(table)))
         for d, k in zip(docs, pos, strict=True):
             u = np.unique(d) - 1
             seen[int(k), np.unique(of(u[u >= 0]))] += 1
-        odds = np.log((seen[1] + 0.2) / (n_pos + 1)) - np.log((seen[0] + 0.2) / (n_neg + 1))
-        table[:, 0] += np.clip(odds, -1, 4) * (seen.sum(0) > 1)
+        odds = np.log((seen[1] + 0.5) / (n_pos + 1)) - np.log((seen[0] + 0.5) / (n_neg + 1))
+        table[:, 0] += np.clip(odds, -1, 4)
+        live.append((seen.sum(0) >= LEAST_DOCS).astype(np.float32))
+        table *= live[-1][:, None]
     net.p["x"][0] *= 2
     rows, of = [], []
     for k, d in enumerate(docs):
@@ -195,12 +199,12 @@ def train(labelled: list[tuple[bytes, int]], epochs: int = 10, batch: int = 192,
                 m += np.float32(0.1) * (v - m)
                 s += np.float32(0.01) * (v * v - s)
                 net.p[k] -= np.float32(0.01) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
-            for emb, sq, at, d in ((net.words, squares[0], ids[u], dx), (net.chars, squares[1], grams[flat], (dx * scale[:, None])[sub_owner])):
+            for emb, sq, on, at, d in ((net.words, squares[0], live[0], ids[u], dx), (net.chars, squares[1], live[1], grams[flat], (dx * scale[:, None])[sub_owner])):
                 rows_at, inv = np.unique(at, return_inverse=True)
                 total = np.zeros((len(rows_at), WIDTH), np.float32)
                 np.add.at(total, inv, d)
                 sq[rows_at] += (total * total).mean(1)
-                emb[rows_at] -= np.float32(0.05) * total / np.sqrt(sq[rows_at])[:, None]
+                emb[rows_at] -= np.float32(0.05) * on[rows_at, None] * total / np.sqrt(sq[rows_at])[:, None]
     return net
 
 
