@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import Hashes, batches, grams, partitions, per_document, record, texts, written
+from lectio.llm.common import Hashes, batches, grams, partitions, record, texts, written
 
 #: Lengths a prefix may have before the whole depth, buckets of their counts, words that a task holds before it merges.
 PREFIXES, BUCKETS, HELD = (1, 2, 4, 8), 1 << 12, 3_000_000
-MARKS = pa.schema([("grp", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("payload", pa.binary())])
-DDL = "grp int, doc_id long, tag long, payload binary"
+BLOBS = pa.schema([("part", pa.int32()), ("suffixes", pa.bool_()), ("payload", pa.binary())])
+DDL = "part int, suffixes boolean, payload binary"
 
 
 def _shrunk(a: np.ndarray) -> bytes:
@@ -71,7 +71,7 @@ def _merge(fp: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
-    """(doc_id, tag, payload): word positions, as int32 bytes, whose next `depth` words also start in a smaller doc_id."""
+    """(part, payload): word positions whose next `depth` words also start in a smaller doc_id, packed by groups of documents."""
     groups = partitions(docs.sparkSession)
     counts = _prefix_counts(docs)
     most = max(1, int(counts[0].sum()) // (4 * groups))
@@ -91,7 +91,7 @@ def repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
                 return
             fp, row = grams(h, depth)[at], row[at]
             by, lead, other = _merge(fp, ids[row])
-            out = list(_by_document(by[other], row, at - starts[row], ids, tags))
+            out = list(_packed(by[other], row, at - starts[row], ids, tags, groups))
             by = np.sort(by[~other])
             at, row, fp = at[by], row[by], fp[by]
             short, group = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
@@ -107,8 +107,8 @@ def repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
                 k = order[cuts[g] : cuts[g + 1]]
                 inside, local = np.unique(row[k], return_inverse=True)
                 blob = b"".join((_shrunk(ids[inside]), _shrunk(tags[inside]), _shrunk(starts[inside]), _shrunk(np.searchsorted(local, np.arange(len(inside)))), _shrunk(at[k]), fp[k].tobytes()))
-                out.append((int(g), None, None, blob))
-            yield record(MARKS, *zip(*out, strict=True))
+                out.append((int(g), True, blob))
+            yield record(BLOBS, *zip(*out, strict=True))
 
         for b in batches(rows, 500):
             for doc_id, tag, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -125,10 +125,10 @@ def repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
     def nodes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in rows:
-            done = b.filter(pa.compute.is_valid(b.column(1)))
+            done = b.filter(pa.compute.invert(b.column(1)))
             if done.num_rows:
                 yield done
-            for blob in b.filter(pa.compute.is_null(b.column(1))).column(3):
+            for blob in b.filter(b.column(1)).column(2):
                 rest = memoryview(blob.as_buffer())
                 ids, rest = _grown(rest)
                 tags, rest = _grown(rest)
@@ -144,26 +144,42 @@ def repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
             fp, ids, tags, pos = fp[by], ids[by], tags[by], pos[by]
             by, lead, other = _merge(fp, ids)
             new = np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]
-            out = list(_by_document(by[other], np.cumsum(new) - 1, pos, ids[new], tags[new]))
-            for i in range(0, len(out), 10_000):
-                yield record(MARKS, *zip(*out[i : i + 10_000], strict=True))
+            for x in _packed(by[other], np.cumsum(new) - 1, pos, ids[new], tags[new], groups):
+                yield record(BLOBS, *([v] for v in x))
 
     tagged = texts(docs, F.crc32(F.col("text").cast("binary")).alias("tag"))
-    dealt = tagged.mapInArrow(run, DDL).repartitionById(groups, F.coalesce("grp", F.pmod(F.hash("doc_id"), F.lit(groups))).cast("int"))
-    return dealt.mapInArrow(nodes, DDL).select("doc_id", "tag", "payload")
+    dealt = tagged.mapInArrow(run, DDL).repartitionById(groups, F.when(F.col("suffixes"), F.col("part")).otherwise(F.pmod(F.hash("payload"), F.lit(groups)).cast("int")))
+    return dealt.mapInArrow(nodes, DDL).select("part", "payload")
 
 
-def _by_document(hit: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[tuple]:
+def _packed(hit: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, tags: np.ndarray, parts: int) -> Iterator[tuple]:
+    """Blobs of the positions pos[hit] of documents row[hit], for the part that each document is dealt to."""
     hit = np.sort(hit)
-    if len(hit):
-        r = row[hit]
-        cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        for i, j in zip(cuts, [*cuts[1:], len(r)], strict=True):
-            yield None, int(ids[r[i]]), int(tags[r[i]]), pos[hit[i:j]].astype("<i4").tobytes()
-
-
-def remove_repeats(docs: DataFrame, depth: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, …carried): each document without the passages a smaller doc_id has too.
+    if not len(hit):
+        return
+    part = (ids ^ tags) % parts
+    hit = hit[np.argsort(part[row[hit]], kind="stable")]
+    of = part[row[hit]]
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    for i, j in zip(cuts, [*cuts[1:], len(hit)], strict=True):
+        inside, first = np.unique(row[hit[i:j]], return_index=True)
+        yield int(of[i]), False, b"".join((_shrunk(ids[inside]), _shrunk(tags[inside]), _shrunk(first), zlib.compress(pos[hit[i:j]].astype("<i4").tobytes(), 1)))
+
+
+def _unpacked(blobs: list[bytes]) -> dict[tuple[int, int], list[np.ndarray]]:
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
+    for blob in blobs:
+        ids, rest = _grown(memoryview(blob))
+        tags, rest = _grown(rest)
+        first, rest = _grown(rest)
+        pos = np.frombuffer(zlib.decompress(rest), "<i4")
+        for i, t, a, b in zip(ids.tolist(), tags.tolist(), first.tolist(), [*first.tolist()[1:], len(pos)], strict=True):
+            found.setdefault((i, t), []).append(pos[a:b])
+    return found
+
+
+def remove_repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
+    """(doc_id, text, n_words, n_removed): each document without the passages a smaller doc_id has too.
 
     A word is removed if a run of `depth` words that covers it also starts in a document with a smaller doc_id; runs
     are judged on the input. Words are runs of bytes other than ASCII white space; what is kept is joined by one space.
@@ -172,17 +188,35 @@ def remove_repeats(docs: DataFrame, depth: int = 13, carry: tuple[str, ...] = ()
     Word runs are compared by 64-bit fingerprints of words and runs within a group.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+    groups = partitions(docs.sparkSession)
 
-    def cut(doc_id, text, found):
-        words = (text or b"").split()
-        if not found:
-            return doc_id, b" ".join(words), len(words), 0
-        edge, pos = np.zeros(len(words) + 1, np.int32), np.frombuffer(b"".join(found), "<i4")
-        np.add.at(edge, pos, 1)
-        np.add.at(edge, pos + depth, -1)
-        keep = np.cumsum(edge[:-1]) == 0
-        return doc_id, b" ".join(compress(words, keep)), len(words), len(words) - int(keep.sum())
-
-    marks = written(repeats(docs, depth))
-    out = per_document(docs, marks, cut, schema, "doc_id long, text binary, n_words long, n_removed long", carry)
-    return out.withColumn("text", F.col("text").cast("string"))
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        found = None
+        for whole in rows:
+            for b in batches(iter([whole]), 500):
+                out = []
+                for doc_id, tag, payload, mark in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                    if mark:
+                        blobs.append(payload)
+                        continue
+                    if found is None:
+                        found = _unpacked(blobs)
+                        blobs.clear()
+                    words, pos = (payload or b"").split(), found.get((doc_id, tag))
+                    keep = None
+                    if pos:
+                        edge, pos = np.zeros(len(words) + 1, np.int32), np.concatenate(pos)
+                        np.add.at(edge, pos, 1)
+                        np.add.at(edge, pos + depth, -1)
+                        keep = np.cumsum(edge[:-1]) == 0
+                    out.append((doc_id, b" ".join(words if keep is None else compress(words, keep)), len(words), 0 if keep is None else len(words) - int(keep.sum())))
+                if out:
+                    yield record(schema, *zip(*out, strict=True))
+
+    none = F.lit(None)
+    text = texts(docs, F.crc32(F.col("text").cast("binary")).alias("tag")).select("doc_id", "tag", F.col("text").alias("payload"), F.lit(False).alias("mark"), F.pmod(F.coalesce(F.col("doc_id").bitwiseXOR(F.col("tag")), F.lit(0)), F.lit(groups)).cast("int").alias("part"))
+    marks = written(repeats(docs, depth)).select(none.cast("long").alias("doc_id"), none.cast("long").alias("tag"), "payload", F.lit(True).alias("mark"), "part")
+    # a part's marks, which are small, come before its texts
+    met = text.unionByName(marks).repartitionById(groups, F.col("part")).sortWithinPartitions(F.col("mark").desc()).select("doc_id", "tag", "payload", "mark")
+    return met.mapInArrow(cut, "doc_id long, text binary, n_words long, n_removed long").withColumn("text", F.col("text").cast("string"))
