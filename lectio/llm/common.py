@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a worker keeps in a word cache before it starts afresh.
-CACHE_ENTRIES = 300_000
+#: Entries a worker keeps in a word cache before it starts afresh, and rows in an Arrow batch of texts.
+CACHE_ENTRIES, ARROW_ROWS = 300_000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +45,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that Spark hands to Python at once: whole texts are long, and each batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text as UTF-8 bytes, and the columns named. Other columns of docs, whatever their names, are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
@@ -124,6 +130,7 @@ def per_document(docs: DataFrame, marks: DataFrame, make, schema: pa.Schema, ddl
     brings texts and marks together; a partition is read as a stream, one document at a time. schema and ddl: of what
     make returns, after which the carried columns of docs follow.
     """
+    small_batches(docs.sparkSession)
     kinds = [docs.schema[c] for c in carry]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("binary")).alias("tag"), F.lit(False).alias("mark"), F.col("text").cast("binary").alias("payload"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     flags = marks.select("doc_id", "tag", F.lit(True).alias("mark"), "payload", *[F.lit(None).cast(k.dataType).alias(f"c{i}") for i, k in enumerate(kinds)])

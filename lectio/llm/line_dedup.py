@@ -62,9 +62,10 @@ def remove_repeated_chunks(docs: DataFrame, carry: tuple[str, ...] = (), buckets
                 yield xxhash.xxh3_64_intdigest(raw), i, j, raw
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, seen = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]), np.zeros(buckets, np.uint32)
+        schema, seen = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]), np.zeros(buckets, np.uint8)
         for b in batches(rows):
-            np.add.at(seen, np.fromiter((h & (buckets - 1) for t in b.column(1).to_pylist() for h, *_ in found_in(t)), np.int64), 1)
+            at, n = np.unique(np.fromiter((h & (buckets - 1) for t in b.column(1).to_pylist() for h, *_ in found_in(t)), np.int64), return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, 2)  # whether once or oftener is all that counts
         for c in range(buckets // size):
             part = seen[c * size : (c + 1) * size]
             if part.any():
