@@ -37,7 +37,7 @@ def test_grades_of_held_out_documents(spark):
     text = lambda g: " ".join(r.choice(words[g]) if r.random() < 0.5 else r.choice(["the", "of", "a"]) for _ in range(30))
     rows = [(i, text(i % 3), i % 3) for i in range(360)]
     d = spark.createDataFrame(rows, "doc_id long, text string, grade int")
-    model = quality.fit(d.where("doc_id % 4 > 0"))
+    model = quality.fit(d.drop("grade"), d.where("doc_id % 4 > 0").drop("text"))
     assert list(model.grades) == [0, 1, 2] and model.theta[0] < model.theta[1]
     held = d.where("doc_id % 4 = 0").unionByName(spark.createDataFrame([(-1, None, None), (-2, "", None)], d.schema))
     got = {x.doc_id: x for x in quality.grade(held, model, at_least=1).collect()}
@@ -47,8 +47,8 @@ def test_grades_of_held_out_documents(spark):
     assert got[-1].expected_grade == got[-2].expected_grade
     top = quality.grade(held, model, at_least=2).where("selected").count()
     assert 20 <= top <= 40
-    assert quality.fit(d.where("false")) is None and quality.grade(held, None).where("selected").count() == 0
-    one = quality.fit(d.where("grade = 2"))
+    assert quality.fit(d, d.where("false").drop("text")) is None and quality.grade(held, None).where("selected").count() == 0
+    one = quality.fit(d, d.where("grade = 2").drop("text"))
     assert {x.expected_grade for x in quality.grade(held, one).collect()} == {2.0}
 
 
@@ -97,12 +97,12 @@ def test_toxic_stems_are_found_in_held_out_documents(spark):
 
     rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    net = toxicity.fit(d.where("doc_id % 5 > 0"), epochs=6)
+    net = toxicity.fit(d, d.where("doc_id % 5 > 0").drop("text"), epochs=6)
     odd = spark.createDataFrame([(-1, None, 0), (-2, "", 0), (-3, "the " * 30_000 + "slurryq vexkorq slurryen", 1)], d.schema)
     got = {x.doc_id: x.score for x in toxicity.score(d.where("doc_id % 5 = 0").unionByName(odd), net).collect()}
     assert all((got[i] >= 0.5) == bool(k) for i, _, k in rows if i % 5 == 0)
     assert got[-3] >= 0.5 and got[-1] == got[-2] < 0.5
-    assert toxicity.fit(d.where("label = 0")) is None
+    assert toxicity.fit(d, d.where("label = 0").drop("text")) is None
     assert {x.score for x in toxicity.score(odd, None).collect()} == {0.0}
     assert toxicity.score(d.where("false"), net).count() == 0
 

@@ -13,7 +13,7 @@ def brute(rows, is_query, k):
         if is_query(i):
             asked[i] = min(asked.get(i, v), v)
     for i, q in asked.items():
-        s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+        s = sorted((-min(max(sum(a * b for a, b in zip(q, v)), -(2**63)), 2**63 - 1), j) for j, v in ok if j != i and len(v) == len(q))[:k]
         out += [(i, r, j, -x) for r, (x, j) in enumerate(s, 1)]
     return sorted(out)
 
