@@ -74,8 +74,8 @@ def top_k(vectors: DataFrame, queries, k: int = 10, scale: int = 1024, block: in
     queries: a predicate Column over vec_id; candidates are all rows but the query's own id. A component x counts as
     floor(scale * x). Null vectors, vectors with null or non-finite components and null ids take no part; queries meet
     only candidates with as many components; empty vectors are left out. Rows of a repeated vec_id are candidates each;
-    as a query such an id counts once, with the least of its vectors. An empty table gives no rows. Other columns are
-    ignored.
+    as a query such an id counts once, with the least of its vectors. A score past the range of a long is the range's end.
+    An empty table gives no rows. Other columns are ignored.
 
     Queries and candidates meet block by block; the threshold algorithm stops in each block when no unseen row can
     beat the k-th result so far, and the k best of the blocks are merged by rank.
@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, queries, k: int = 10, scale: int = 1024, block: in
                     if exact:
                         s, i, _ = lists.top(q.astype(float), int(own), k)
                     else:
-                        every = [(-sum(int(e) * int(f) for e, f in zip(w, q, strict=True)), int(j)) for w, j in zip(whole, lists.ids, strict=True) if j != own]
+                        every = [(-min(max(sum(int(e) * int(f) for e, f in zip(w, q, strict=True)), -(2**63)), 2**63 - 1), int(j)) for w, j in zip(whole, lists.ids, strict=True) if j != own]
                         best = sorted(every)[:k]
                         s, i = [-e for e, _ in best], [j for _, j in best]
                     q_out += [int(own)] * len(s)
