@@ -98,9 +98,10 @@ def agreement_view(s: Column, tier: int) -> Column:
 
 
 def loader_view(s: Column, tier: int) -> Column:
-    """An edition loader's view: deletions of ranges only, nothing normalised; not the scorer's."""
+    """An edition loader's view: deletions of ranges only, nothing normalised, runs of spaces collapsed; not the scorer's."""
     drop = {1: cp.LOADER_TIER1_DROP, 2: cp.TROP + cp.TIER2_EXTRA}
-    return F.regexp_replace(s, f"[{drop[tier]}]", "") if tier in drop else s
+    bare = F.regexp_replace(s, f"[{drop[tier]}]", "") if tier in drop else s
+    return stripped(F.regexp_replace(bare, "  +", " "))
 
 
 def consonant_count(s: Column) -> Column:

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectio.functions import views
 from lectio.operators import metrics as m
+from lectio.operators.alignment import cer
 from lectio.plans import agreement
 
 
@@ -47,3 +49,26 @@ def sensitivity(stats: DataFrame, metrics: list[m.Metric], b: int, seed: int) ->
     """The same metrics with clusters of folios drawn first, bias-corrected; for comparison with the headline intervals."""
     labels = [r.folio for r in stats.select("i", "folio").orderBy("i").collect()]
     return m.intervals(stats, metrics, m.plan(stats.sparkSession, len(labels), b, seed, labels), clusters="folio")
+
+
+def diacritizer_report(verses: DataFrame, diacritize, b: int, seed: int) -> dict:
+    """Tier-2 error rates of a diacritizer on an edition's consonants, overall and by folio, with intervals.
+
+    verses: (seq, verse_ref, folio, text) of an edition; diacritize: a string -> string Column function (U3's slot).
+    """
+    spark = verses.sparkSession
+    d = m.numbered(verses, ["seq"]).withColumns({"consonants": views.loader_view(F.col("text"), 1), "gold": views.loader_view(F.col("text"), 2)})
+    d = d.withColumn("predicted", diacritize(F.col("consonants")))
+    for s, c in (("_g", "gold"), ("_p", "predicted")):
+        d = d.withColumn(s, views.clusters(views.scorer_view(F.col(c), 2)))
+    rates = cer(d, "_g", "_p", "_", native=False).select("i", "verse_ref", "folio", F.col("_cer").alias("cer"), F.lit(1).alias("one")).persist()
+    macro = [m.mean("cer", "cer", "one")]
+
+    def cell(part: DataFrame) -> dict:
+        n = part.count()
+        r = m.intervals(part, macro, m.plan(spark, n, b, seed) if b > 0 and n else None).first()
+        return {"point": r.point, "ci_lower": r.lo, "ci_upper": r.hi, "ci_method": r.ci_method, "n_verses": n}
+
+    names = sorted(r.folio for r in rates.select("folio").distinct().collect())
+    of = lambda f: m.numbered(rates.where(F.col("folio") == f).withColumnRenamed("i", "at"), ["at"])
+    return {"tier": 2, "bootstrap_b": b, "bootstrap_seed": seed, "overall_cer": cell(rates), "per_folio_cer": {f: cell(of(f)) for f in names}, "per_verse_cer": {r.verse_ref: r.cer for r in rates.collect()}}

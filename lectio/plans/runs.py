@@ -7,11 +7,13 @@ import json
 import os
 import shutil
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectio.functions.scalars import canonical_hash
 from lectio.operators import validate
@@ -147,6 +149,38 @@ def run(baseline: str, folios: DataFrame, wanted: DataFrame, infer: Callable[[Da
         return s.count()
 
 
+def cost_caps(manifest: dict) -> tuple[float, float]:
+    """(per folio, per run) in USD; only the manifest sets them, so a manifest without either refuses the run."""
+    caps = manifest.get("cost_caps_usd") or {}
+    if "per_folio" not in caps or "per_run" not in caps:
+        raise BudgetExceeded("the manifest has no cost caps")
+    return float(caps["per_folio"]), float(caps["per_run"])
+
+
+def text_slot(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A string -> string model as a Column function, called in Arrow batches; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f(x))
+
+    return apply
+
+
+def line_slot(f: Callable[[dict], list[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """A folio -> lines model as run()'s infer: one prediction document a folio, made where the folio's row is."""
+
+    def infer(folios: DataFrame) -> DataFrame:
+        def made(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                docs = [json.dumps({"folio_id": r["id"], "lines": f(r)}, ensure_ascii=False) for r in pdf.to_dict("records")]
+                yield pd.DataFrame({"folio_id": pdf["id"], "value": docs})
+
+        return folios.mapInPandas(made, "folio_id string, value string")
+
+    return infer
+
+
 def within_budget(calls: DataFrame, per_folio: float, per_run: float) -> DataFrame:
     """calls (run, folio, at, usd) with running totals; raises at the first call over a cap."""
     spent = validate.running_budget(calls, ["run", "folio"], "at", "usd", per_folio).withColumnsRenamed({"spent": "spent_folio", "over": "over_folio"})

@@ -118,6 +118,19 @@ def test_run_promotes_with_its_manifest(spark, tmp_path):
         runs.run("x", folios, spark.createDataFrame([("z",)], "id string"), infer, tmp_path / "results", man)
 
 
+def test_caps_and_slots(spark, tmp_path):
+    assert runs.cost_caps({"cost_caps_usd": {"per_folio": 5, "per_run": 30}}) == (5.0, 30.0)
+    with pytest.raises(runs.BudgetExceeded):
+        runs.cost_caps({"cost_caps_usd": {"per_run": 30}})
+    d = spark.createDataFrame([("a",), (None,)], "s string")
+    assert [r.x for r in d.select(runs.text_slot(lambda s: s + "!")(F.col("s")).alias("x")).collect()] == ["a!", None]
+    man = tree(tmp_path)
+    folios = documents.folios(documents.manifest(spark, str(man)))
+    infer_lines = runs.line_slot(lambda folio: [{"line_id": folio["id"] + "1"}])
+    assert runs.run("x", folios, spark.createDataFrame([("a",)], "id string"), infer_lines, tmp_path / "results", man) == 1
+    assert json.loads((tmp_path / "results/x/a.json").read_text())["lines"] == [{"line_id": "a1"}]
+
+
 def test_promotion_rolls_back(tmp_path):
     man = tree(tmp_path)
 

@@ -119,3 +119,12 @@ def test_stream_scores_each_batch_once(spark, tmp_path):
     (src / "2.json").write_text(json.dumps({"doc_id": "b", "gt_text": "ב", "pred_text": "ר", "gt_marks": [], "pred_marks": []}))
     live_scores.score_stream(live_scores.arriving(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
     assert {(r.doc_id, r.tier1_cer) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 0.0), ("b", 1.0)}
+
+
+def test_diacritizer_report(spark):
+    from lectio.plans import runs
+
+    v = spark.createDataFrame([(0, "v1", "F", "בָ ר"), (1, "v2", "G", "רָ")], "seq int, verse_ref string, folio string, text string")
+    doc = reports.diacritizer_report(v, runs.text_slot(lambda s: s), 20, 1)
+    assert doc["per_verse_cer"] == {"v1": 0.25, "v2": 0.5} and doc["overall_cer"]["point"] == pytest.approx(0.375)
+    assert doc["per_folio_cer"]["F"]["n_verses"] == 1 and doc["per_folio_cer"]["G"]["ci_lower"] == 0.5

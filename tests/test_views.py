@@ -36,6 +36,7 @@ def test_loader_views_keep_what_scorers_drop(spark):
     assert one(spark, s, lambda c: views.loader_view(c, 1)) == f"abc{cp.CGJ}ב"
     assert one(spark, s, views.tier1) == "ב"
     assert one(spark, s, lambda c: views.loader_view(c, 3)) == s
+    assert one(spark, "א ׀ ב", lambda c: views.loader_view(c, 1)) == "א ב"
 
 
 def test_consonants_and_rule(spark):
