@@ -1,63 +1,61 @@
-"""A byte-level BPE vocabulary file behind a word cache, exact and bounded."""
+"""A byte-level BPE vocabulary file, exact, with a fast path for texts in common letters."""
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
-from lectio.llm.common import CACHE_ENTRIES
+#: Texts whose pre-tokens no version of Unicode changes: printable ASCII, newlines and accented Latin letters.
+PLAIN = re.compile("[\n -~\u00c0-\u00ff]*")
+# Fixed value: the pre-token pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Where a space stands between two characters that aren't white space, the pre-tokenizer always begins a new piece.
-ODD = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
-SAFE = re.compile(r"(?<=\S) (?=\S)")
 
+class ByteBPE:
+    """ids(texts) as little-endian uint32 bytes, equal to tokenizers' encode(text, add_special_tokens=False).ids.
 
-class _Ids(dict):
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = np.asarray(self.encode(self.lead + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = ids
-        return ids
-
-
-class WordBPE:
-    """ids(text) as little-endian uint32 bytes, equal to tokenizers' encode(text, add_special_tokens=False).ids.
-
-    Byte-level BPE never merges across the start of a piece, and a single space between two other characters always
-    starts one; so a text is the concatenation of its space-separated parts' ids, and parts repeat.
+    Where the file's ids are in the order of its merges, the same vocabulary is also a table of ranks, whose encoder is
+    four times as fast; it takes the texts that both libraries are bound to cut alike, and tokenizers takes the rest.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.first, self.rest = _Ids(self.tok.encode, ""), _Ids(self.tok.encode, " ")
+        self.ranked = self._ranked(path, self.tok.get_vocab())
+
+    @staticmethod
+    def _ranked(path: str, vocab: dict[str, int]):
+        import tiktoken
+
+        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [vocab[t] for t in merges] != list(range(256, 256 + len(merges))):
+            return None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}}
+        ranks = {bytes(letters[c] for c in t): vocab[t] for t in [*letters, *merges]}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text):
-            if re.search(r"[\x1c-\x1f]", text):
-                return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            parts = SAFE.split(text)
-        else:
-            parts = text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+    def plain(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def count(self, text: str) -> int:
-        return len(self.ids(text)) // 4
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if self.ranked is None:
+            return [self.plain(t) for t in texts]
+        return [self.ranked.encode_to_numpy(t).astype("<u4", copy=False).tobytes() if PLAIN.fullmatch(t) else self.plain(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBPE:
-    return WordBPE(path)
+def load(path: str) -> ByteBPE:
+    return ByteBPE(path)
 
 
 def default_path() -> str:

@@ -100,8 +100,9 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
         part = TaskContext.get().partitionId()
         tok, w, end = bpe.load(path), Windows(size, open_windows, part << 32), np.asarray([end_id], "<u4").tobytes()
         for b in batches(rows, 200):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = tok.ids((text or b"").decode("utf-8", "replace")) + end
+            every = tok.ids([(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()])
+            for doc_id, ids in zip(b.column(0).to_pylist(), every, strict=True):
+                ids += end
                 w.add(doc_id, 0, ids, len(ids) // 4)
             yield _rows(w.take(), False, part)
         yield _rows([(w.base + k, v) for k, v in w.inside.items()], True, part)
