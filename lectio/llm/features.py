@@ -45,5 +45,16 @@ def sample(rows: DataFrame, by: Column, each: int) -> DataFrame:
     return keyed.where(chosen < rate * 1_000_000).orderBy(chosen, "doc_id").limit(each * len(counts))
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, each: int) -> DataFrame:
+    """(doc_id, text, label) of the sampled labels: only their ids, which are bounded, go to the texts; texts aren't shuffled.
+
+    Of rows that repeat a doc_id the smallest text counts, and the smallest label; null texts and labels are left out.
+    """
+    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
+    ids = sample(ids, F.col(label), each).select("doc_id", label)
+    met = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label))
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))

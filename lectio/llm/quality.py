@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.common import Hashes, batches, record, texts
-from lectio.llm.features import byte_grams, sample, sigmoid, word_counts
+from lectio.llm.features import byte_grams, sampled_texts, sigmoid, word_counts
 
 #: Sizes of the word and of the byte n-gram features, and rated documents of each grade that the fit may take.
 WORDS, BYTES, EACH = 4096, 2048, 1200
@@ -24,7 +24,7 @@ def vector(text: bytes | None, hashes: Hashes) -> np.ndarray:
 class CumulativeLink:
     """P(grade >= k) = sigmoid(w·x - theta_k), one w for all grades, theta ascending (theta_1 and positive steps)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 600, rate: float = 0.05, seed: int = 0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 1500, rate: float = 0.05, seed: int = 0):
         self.grades = np.unique(y)
         level, k = np.searchsorted(self.grades, y), len(self.grades)
         weight = len(y) / (k * np.bincount(level, minlength=k))[level]
@@ -64,8 +64,8 @@ class CumulativeLink:
         return self.grades[0] + tails @ np.diff(self.grades.astype(float))
 
 
-def fit(rated: DataFrame, each: int = EACH) -> CumulativeLink | None:
-    """rated: (doc_id, text, grade). Fitted on whole texts of a sample of at most `each` rows a grade; None without any."""
+def fit(docs: DataFrame, ratings: DataFrame, each: int = EACH) -> CumulativeLink | None:
+    """ratings: (doc_id, grade). Fitted on whole texts of a sample of at most `each` rows a grade; None without any."""
     schema = pa.schema([("grade", pa.int64()), ("x", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,8 @@ def fit(rated: DataFrame, each: int = EACH) -> CumulativeLink | None:
         for b in batches(rows, 500):
             yield record(schema, b.column(1), [vector(t, hashes).astype(np.float16).tobytes() for t in b.column(0).to_pylist()])
 
-    rows = sample(rated.where("text is not null and grade is not null").select("doc_id", "text", "grade"), F.col("grade"), each)
-    got = rows.select(F.col("text").cast("binary").alias("text"), F.col("grade").cast("long").alias("grade")).mapInArrow(run, "grade long, x binary").collect()
+    rows = sampled_texts(docs, ratings, "grade", each)
+    got = rows.select("text", F.col("grade").cast("long").alias("grade")).mapInArrow(run, "grade long, x binary").collect()
     got.sort(key=lambda r: (r.grade, bytes(r.x)))
     return CumulativeLink(np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32), np.asarray([r.grade for r in got])) if got else None
 

@@ -35,15 +35,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def graded(labels: DataFrame) -> DataFrame:
     """Ratings in three grades: 0 poor, 1 sound but toxic, 2 sound and clean."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
-    return docs.select("doc_id", "text").join(labels.select("doc_id", grade.alias("grade")).where("grade is not null"), "doc_id")
+    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
-    model = quality.fit(graded(docs, labels.where(crc_mod("doc_id", 5) != 0)))
+    model = quality.fit(docs, graded(labels.where(crc_mod("doc_id", 5) != 0)))
     return quality.grade(docs, model, at_least=1).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail_probability", "selected")
 
 
