@@ -95,7 +95,7 @@ def repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
             by = np.sort(by[~other])
             at, row, fp = at[by], row[by], fp[by]
             short, group = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
-            for i, p in enumerate(PREFIXES):
+            for i, p in enumerate(p for p in PREFIXES if p < depth):
                 g = grams(h, p)[at]
                 rare = ~short & (counts[i][(g & np.uint64(BUCKETS - 1)).astype(np.int64)] <= most)
                 group[rare] = (g[rare] >> np.uint64(20)).astype(np.int64) % groups
