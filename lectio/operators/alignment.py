@@ -143,6 +143,12 @@ def native_edit_total(g: Column, p: Column) -> Column:
     return F.element_at(F.aggregate(g, start, step), -1)
 
 
+def alignment_cost(pairs: Column) -> Column:
+    """Edits of an aligned column: distances of its pairs, a gap costing the other side's length."""
+    part = lambda x: F.levenshtein(F.coalesce(x["g"], F.lit("")), F.coalesce(x["p"], F.lit("")))
+    return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + part(x)).cast("long")
+
+
 def cer(pairs: DataFrame, gt: str, pred: str, name: str = "", native: bool = True) -> DataFrame:
     """Adds edits, denominator and cer of two cluster-array columns.
 

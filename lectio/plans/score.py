@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.functions import views
-from lectio.functions.scalars import composite
+from lectio.functions.scalars import composite, rate
 from lectio.operators import confusion, marks
-from lectio.operators.alignment import aligned, cer
+from lectio.operators.alignment import aligned, alignment_cost, cer
 
 
 def prepared(pairs: DataFrame) -> DataFrame:
@@ -28,10 +28,11 @@ def score(pairs: DataFrame, version: str = "v0.1") -> DataFrame:
     """
     if version != "v0.1":
         raise ValueError(f"unknown scorer version: {version}")
-    d = prepared(pairs)
-    for t in views.TIERS:
-        d = cer(d, f"gc{t}", f"pc{t}", f"tier{t}_")
+    d = cer(cer(prepared(pairs), "gc1", "pc1", "tier1_"), "gc3", "pc3", "tier3_")
+    # tier 2 is aligned once: its edits, accuracies and confusion all read the one alignment
     d = d.withColumn("alignment", aligned("gc2", "pc2"))
+    d = d.withColumns({"tier2_edits": alignment_cost(F.col("alignment")), "tier2_denominator": F.length(F.array_join("gc2", "")).cast("long")})
+    d = d.withColumn("tier2_cer", rate(F.col("tier2_edits"), F.col("tier2_denominator")))
     d = confusion.factoring(d, "alignment", "g2", "p2").withColumn("cer3", composite(*[F.col(f"tier{t}_cer") for t in views.TIERS]))
     flat = lambda c: pairs.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.type", "m.verse_ref", "m.ordinal")
     credit = marks.partial_credit(flat("gt_marks"), flat("pred_marks"), ["doc_id"])
