@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lectio.llm.common import CACHE_ENTRIES, batches, record, texts
-from lectio.llm.features import sample, sigmoid
+from lectio.llm.features import sampled_texts, sigmoid
 
 #: Words of a window and from one window's start to the next; labelled documents of each class that the fit may take.
 WINDOW, STRIDE, EACH = 48, 32, 1200
+#: Passes over the sample, more where that makes fewer than so many updates.
+EPOCHS, UPDATES = 12, 400
 #: Hash bits of the word and the character inputs, width of an input, units in each direction.
 WORD_BITS, CHAR_BITS, WIDTH, UNITS = 18, 18, 16, 12
 #: Lengths of character n-grams; inputs met in fewer documents of the fit stay zero, as unseen ones are.
@@ -102,12 +103,13 @@ class Network:
 
     def vectors(self, ids, grams, owner) -> tuple[np.ndarray, np.ndarray]:
         """Input vectors of words, and the weight of each n-gram in its word's."""
-        x, many = self.words[ids].copy(), np.bincount(owner, minlength=len(ids))
-        scale = (1 / np.sqrt(np.maximum(many, 1))).astype(np.float32)
-        some = np.flatnonzero(many)
-        if len(some):
-            starts = (np.cumsum(many) - many)[some]
-            x[some] += np.add.reduceat(self.chars[grams], starts, axis=0) * scale[some, None]
+        x, many = self.words[ids], np.bincount(owner, minlength=len(ids))
+        scale, starts = (1 / np.sqrt(np.maximum(many, 1))).astype(np.float32), np.cumsum(many) - many
+        for i in range(0, len(ids), 8192):  # what is gathered for n-grams is many times the words
+            some = i + np.flatnonzero(many[i : i + 8192])
+            if len(some):
+                a, b = starts[some[0]], starts[some[-1]] + many[some[-1]]
+                x[some] += np.add.reduceat(self.chars[grams[a:b]], starts[some] - a, axis=0) * scale[some, None]
         return x, scale
 
     def run(self, table: np.ndarray, idx: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -140,7 +142,7 @@ class Network:
         return {"x": x.T @ dtable, "bx": dtable.sum(0), "uf": duf, "ub": dub, "v": np.einsum("tb,tbk->k", de, h), "o": pool.T @ d, "c": d.sum(keepdims=True)}, dtable @ p["x"].T
 
 
-def train(labelled: list[tuple[bytes, int]], epochs: int = 10, batch: int = 192, seed: int = 0) -> Network | None:
+def train(labelled: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = 96, seed: int = 0) -> Network | None:
     """Each document is its highest-scoring window. Input vectors start from log odds of their presence in the two classes."""
     y = np.asarray([k for _, k in labelled], np.float32)
     if not len(y) or y.min() == y.max():
@@ -171,7 +173,9 @@ def train(labelled: list[tuple[bytes, int]], epochs: int = 10, batch: int = 192,
     idx, of = np.stack(rows), np.asarray(of)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     squares, t = [np.full(net.words.shape[0], 1e-2, np.float32), np.full(net.chars.shape[0], 1e-2, np.float32)], 0
+    epochs = max(epochs, -(-UPDATES * batch // (2 * len(docs))))
     for epoch in range(epochs):
+        pace = np.float32(1 if 2 * epoch < epochs else 0.3 if 4 * epoch < 3 * epochs else 0.1)
         x, _ = net.vectors(ids, grams, owner)
         table = np.vstack([np.zeros((1, WIDTH), np.float32), x]) @ net.p["x"] + net.p["bx"]
         logit = np.concatenate([net.run(table, idx[i : i + 2048], (idx[i : i + 2048] > 0).astype(np.float32)) for i in range(0, len(of), 2048)])[: len(of)]
@@ -198,13 +202,13 @@ def train(labelled: list[tuple[bytes, int]], epochs: int = 10, batch: int = 192,
                 v = np.clip(v, -1, 1).astype(np.float32)
                 m += np.float32(0.1) * (v - m)
                 s += np.float32(0.01) * (v * v - s)
-                net.p[k] -= np.float32(0.01) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
+                net.p[k] -= pace * np.float32(0.01) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-6)
             for emb, sq, on, at, d in ((net.words, squares[0], live[0], ids[u], dx), (net.chars, squares[1], live[1], grams[flat], (dx * scale[:, None])[sub_owner])):
                 rows_at, inv = np.unique(at, return_inverse=True)
                 total = np.zeros((len(rows_at), WIDTH), np.float32)
                 np.add.at(total, inv, d)
                 sq[rows_at] += (total * total).mean(1)
-                emb[rows_at] -= np.float32(0.05) * on[rows_at, None] * total / np.sqrt(sq[rows_at])[:, None]
+                emb[rows_at] -= pace * np.float32(0.05) * on[rows_at, None] * total / np.sqrt(sq[rows_at])[:, None]
     return net
 
 
@@ -249,11 +253,15 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(np.concatenate(logit).astype(float), cuts))
 
 
-def fit(labelled: DataFrame, each: int = EACH, epochs: int = 10) -> Network | None:
-    """labelled: (doc_id, text, label 0 or 1). Fitted on whole texts of at most `each` documents a label; None if a label is missing."""
-    rows = sample(labelled.where("text is not null and label is not null").select("doc_id", "text", "label"), F.col("label"), each)
-    got = sorted((bytes(r.text), int(r.label)) for r in rows.select(F.col("text").cast("binary").alias("text"), "label").collect())
-    return train(got, epochs)
+def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, epochs: int = EPOCHS) -> Network | None:
+    """labels: (doc_id, label 0 or 1). Fitted on whole texts of at most `each` documents a label; None if a label is missing."""
+    got = sorted((bytes(r.text), int(r.label)) for r in sampled_texts(docs, labels, "label", each).collect())
+    net = train(got, epochs)
+    if net:  # the sample holds the labels in other shares than the corpus does
+        every = {int(r.label): r["count"] for r in labels.where("label is not null").groupBy("label").count().collect()}
+        taken = sum(y for _, y in got)
+        net.p["c"] += np.float32(np.log(every[1] / every[0]) - np.log(taken / (len(got) - taken)))
+    return net
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
