@@ -108,7 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
@@ -123,6 +123,19 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def extended(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, component) after further links (a, b); only the classes that links touch are walked again."""
+    if links.isEmpty():
+        return classes
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = written(components(edges))
+    moved = classes.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = written(moved.unionByName(new.join(classes.select("node"), "node", "left_anti")))
+    discard(new)
+    return out
+
+
 def per_document(docs: DataFrame, marks: DataFrame, make, schema: pa.Schema, ddl: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """make(doc_id, text, [payload, …]) -> tuple for every row of docs, with its payloads of marks (doc_id, tag, payload).
 

@@ -4,9 +4,11 @@
    array of buckets. The counts only choose the order of n-grams: any one total order is right, a rare-first one is fast.
 2. A second pass takes the prefix of each set in that order. A task keeps, for each prefix n-gram, the smallest
    document as leader; only leaders are shuffled, so that a hot n-gram has a row a task at most.
-3. Leader-member pairs that pass the length and positional filters are verified on whole sets and give first classes.
-4. Of the n-grams whose documents still lie in several classes, all pairs across classes are formed, filtered and
-   verified once each. Pairs within a class need no check: they can't change it.
+3. Leader-member pairs that pass the length and positional filters are verified on whole sets and give first classes:
+   each member's likeliest leader first, its others where the two are still in different classes.
+4. Of the n-grams whose documents still lie in several classes, each document meets the one with the most links so
+   far, in another class; then all pairs across classes that are left are formed, filtered and verified. No pair is
+   verified twice, and pairs within a class need no check: they can't change it.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import Hashes, batches, components, discard, grams, partitions, record, texts, written
+from lectio.llm.common import Hashes, batches, components, discard, extended, grams, partitions, record, texts, written
 
 #: Buckets of the n-gram counts (4 bytes each, sent to every executor), counts in one shuffled row, postings a task holds before it deals them out.
 BUCKETS, CHUNK, HELD = 1 << 22, 1 << 16, 2_000_000
+#: Rounds in which postings meet their n-gram's most linked set before the rest meets across classes.
+HUBS = 2
 
 KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 POST = np.dtype([("token", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -197,14 +201,21 @@ def _led(num: int, den: int):
     return run
 
 
-def _verify(pairs: DataFrame, sets_of: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of set keys that link, compared on whole sets: suffix filter first, then the intersection."""
+def _sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(key, grams): the whole sets of some keys, each from the smallest document that has it."""
 
-    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, schema = Hashes(), pa.schema([("key", pa.int64()), ("grams", pa.binary())])
         for b in batches(rows, 500):
             yield record(schema, b.column(1), [gram_set(t, n, hashes).tobytes() for t in b.column(0).to_pylist()])
 
+    wanted = reps.join(nodes, "key", "left_semi").select(F.col("rep").alias("doc_id"), "key")
+    return written(texts(docs).join(wanted, "doc_id").select("text", "key").mapInArrow(run, "key long, grams binary").dropDuplicates(["key"]))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of set keys that link, compared on whole sets: suffix filter first, then the intersection."""
+
     def compare(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for b in batches(rows, 500):
@@ -216,14 +227,27 @@ def _verify(pairs: DataFrame, sets_of: DataFrame, docs: DataFrame, n: int, num:
             ok = pa.array(ok, pa.bool_())
             yield record(schema, b.column(0).filter(ok), b.column(1).filter(ok))
 
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = sets_of.join(nodes, "key", "left_semi").select(F.col("rep").alias("doc_id"), "key")
-    held = written(texts(docs).join(wanted, "doc_id").select("text", "key").mapInArrow(sets, "key long, grams binary").dropDuplicates(["key"]))
-    left = pairs.join(held.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(held.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
-    out = written(both.mapInArrow(compare, "a long, b long"))
-    discard(held)
-    return out
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
+    both = left.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+    return written(both.mapInArrow(compare, "a long, b long"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different classes."""
+    of = lambda s: classes.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    far = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings (token, key, n, pos, c) of the n-grams whose sets lie in several classes; c is the class."""
+    now = rows.select("token", "key", "n", "pos").join(classes.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    several = now.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
+    return written(now.join(several, "token", "left_semi"))
 
 
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, buckets: int = BUCKETS) -> DataFrame:
@@ -246,25 +270,48 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
 
     posted = written(_postings(docs, n, num, den, counts, parts).repartitionById(parts, F.col("bucket")).mapInArrow(_led(num, den), POSTINGS))
     reps = keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    pairs = written(posted.where("fits and leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct())
-    links = _verify(pairs, reps, docs, n, num, den)
-    classes = written(components(links))
+    # a pair with each member's likeliest leader first; its other leaders only where that leaves them in another class
+    shared = posted.where("fits and leader <> key").groupBy("leader", "key").agg(F.count("*").alias("n"))
+    shared = written(shared.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"), "leader", "key", "n"))
+    best = shared.groupBy("key").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("not_leader"))).alias("m")).withColumn("leader", F.bitwise_not("m.not_leader"))
+    best = best.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+    pairs, best = shared.select("a", "b").distinct(), written(best.distinct())
+    sets = _sets(_ends(pairs), reps, docs, n)
+    first_links = _verify(best, sets, num, den)
+    classes = written(components(first_links))
+    other = written(_apart(pairs.join(best, ["a", "b"], "left_anti"), classes))
+    tried, links = best.unionByName(other), written(first_links.unionByName(_verify(other, sets, num, den)))
+    classes = extended(classes, links)
+
+    def checked(more: DataFrame) -> DataFrame:
+        nonlocal sets
+        lacking = _ends(more).join(sets.select("key"), "key", "left_anti")
+        if not lacking.isEmpty():
+            sets = sets.unionByName(_sets(lacking, reps, docs, n))
+        return _verify(more, sets, num, den)
+
+    c = lambda x: F.col(x).cast("long")
+    rows = _mixed(posted.select("token", "key", "n", "pos").distinct(), classes)
+    for _ in range(HUBS):  # every posting with its n-gram's most linked set, where that is in another class
+        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("d"))
+        most = rows.join(degree, "key", "left").groupBy("token").agg(F.max(F.struct(F.coalesce("d", F.lit(0)), "key", "n", "pos", "c")).alias("h"))
+        met = rows.join(most, "token").where(F.col("c") != F.col("h.c")).where(_fits(c("n"), c("pos"), c("h.n"), c("h.pos"), num, den))
+        more = written(met.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        found = checked(more)
+        tried, links = tried.unionByName(more), links.unionByName(found)
+        classes = extended(classes, found)
+        rows = _mixed(rows, classes)
 
-    rows = posted.select("token", "key", "n", "pos").join(classes.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("c")).distinct()
-    mixed_up = posted.select("token", "key").join(classes.withColumnRenamed("node", "key"), "key", "left").groupBy("token").agg(F.min(F.coalesce("component", "key")).alias("x"), F.max(F.coalesce("component", "key")).alias("y")).where("x <> y").select("token")
-    rows = written(rows.join(mixed_up, "token", "left_semi"))
     tc = rows.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = (tc.select("token", F.col("c").alias(f"c{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")) for s in "ab")
     across = left.join(right, "token").where(f"ca < cb and hia * {den} >= lob * {num} and hib * {den} >= loa * {num}").select("token", "ca", "cb")
     member = lambda s: rows.select("token", F.col("c").alias(f"c{s}"), F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
     met = across.join(member("a"), ["token", "ca"]).join(member("b"), ["token", "cb"])
-    c = lambda x: F.col(x).cast("long")
     met = met.where(_fits(c("na"), c("pa"), c("nb"), c("pb"), num, den))
-    more = written(met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-    found = _verify(more, reps, docs, n, num, den)
-    final = written(components(links.unionByName(found)))
+    more = written(met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    final = extended(classes, checked(more))
     named = reps.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
     low = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = written(named.join(low, "c").select("key", "component_id"))
-    discard(pairs, links, classes, rows, more, found, final, posted)
+    discard(shared, best, other, posted, first_links)
     return keys.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
