@@ -4,8 +4,8 @@
    array of buckets. The counts only choose the order of n-grams: any one total order is right, a rare-first one is fast.
 2. A second pass takes the prefix of each set in that order. A task keeps, for each prefix n-gram, the smallest
    document as leader; only leaders are shuffled, so that a hot n-gram has a row a task at most.
-3. Leader-member pairs that pass the length and positional filters are verified on whole sets and give first classes:
-   each member's likeliest leader first, its others where the two are still in different classes.
+3. Each member is verified on whole sets with its likeliest leader, of those that pass the length and positional
+   filters, which gives first classes.
 4. Of the n-grams whose documents still lie in several classes, each document meets the one with the most links so
    far, in another class; then all pairs across classes that are left are formed, filtered and verified. No pair is
    verified twice, and pairs within a class need no check: they can't change it.
@@ -27,7 +27,9 @@ from lectio.llm.common import Hashes, batches, components, discard, extended, gr
 #: Buckets of the n-gram counts (4 bytes each, sent to every executor), counts in one shuffled row, postings a task holds before it deals them out.
 BUCKETS, CHUNK, HELD = 1 << 22, 1 << 16, 2_000_000
 #: Rounds in which postings meet their n-gram's most linked set before the rest meets across classes.
-HUBS = 2
+HUBS = 1
+#: Postings of a class at an n-gram up to which its members are met one by one.
+FEW = 64
 
 KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 POST = np.dtype([("token", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -236,13 +238,6 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
 
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different classes."""
-    of = lambda s: classes.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-    far = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Postings (token, key, n, pos, c) of the n-grams whose sets lie in several classes; c is the class."""
     now = rows.select("token", "key", "n", "pos").join(classes.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("c", F.coalesce("c", "key"))
@@ -250,6 +245,27 @@ def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return written(now.join(several, "token", "left_semi"))
 
 
+def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets in different classes that pass the filters at a shared n-gram; filters are part of the joins.
+
+    Members of classes with few postings at an n-gram meet each other there. A class with many is met by its length
+    range and first position, and by its members only from postings that could link, so its own pairs are never tried.
+    """
+    side = lambda d, s: d.select("token", *[F.col(x).alias(f"{x}{s}") for x in ("key", "n", "pos", "c")])
+    c = lambda x: F.col(x).cast("long")
+    fits = lambda s, t: _fits(c(f"n{s}"), c(f"pos{s}"), c(f"n{t}"), c(f"pos{t}"), num, den)
+    size = rows.groupBy("token", "c").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("at"))
+    sized = rows.join(size.select("token", "c", "size"), ["token", "c"])
+    few, many = sized.where(F.col("size") <= FEW), sized.where(F.col("size") > FEW)
+    met = [side(few, "x").join(side(few, "y"), "token").where((F.col("cx") < F.col("cy")) & fits("x", "y"))]
+    big = size.where(F.col("size") > FEW).select("token", F.col("c").alias("cy"), "lo", "hi", "at")
+    other = (F.col("cx") != F.col("cy")) & ((F.col("size") <= FEW) | (F.col("cx") < F.col("cy")))
+    could = (c("hi") * den >= c("nx") * num) & (c("nx") * den >= c("lo") * num) & (F.least(c("nx") - c("posx"), c("hi") - c("at")) * (den + num) >= num * (c("nx") + c("lo")))
+    reach = sized.select("token", "size", *[F.col(x).alias(f"{x}x") for x in ("key", "n", "pos", "c")]).join(big, "token").where(other & could).select("token", "keyx", "nx", "posx", "cx", "cy")
+    met.append(reach.join(side(many, "y"), ["token", "cy"]).where(fits("x", "y")))
+    return met[0].select("keyx", "keyy").unionByName(met[1].select("keyx", "keyy")).select(F.least("keyx", "keyy").alias("a"), F.greatest("keyx", "keyy").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_shingles, component_id): classes of documents linked by den * |A ∩ B| >= num * |A ∪ B|.
 
@@ -267,21 +283,20 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     for c, blob in summed.toLocalIterator():  # buckets * 4 bytes at most, however large the corpus
         order[c * size : (c + 1) * size] = _unpack(bytes(blob))
     counts = spark.sparkContext.broadcast(order)
+    del order
 
     posted = written(_postings(docs, n, num, den, counts, parts).repartitionById(parts, F.col("bucket")).mapInArrow(_led(num, den), POSTINGS))
+    counts.unpersist()
     reps = keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    # a pair with each member's likeliest leader first; its other leaders only where that leaves them in another class
+    # each member with its likeliest leader first; with others only where that leaves them in different classes
     shared = posted.where("fits and leader <> key").groupBy("leader", "key").agg(F.count("*").alias("n"))
-    shared = written(shared.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"), "leader", "key", "n"))
+    shared = written(shared.select(F.col("leader").alias("a"), F.col("key").alias("b"), "leader", "key", "n"))
     best = shared.groupBy("key").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("not_leader"))).alias("m")).withColumn("leader", F.bitwise_not("m.not_leader"))
     best = best.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
-    pairs, best = shared.select("a", "b").distinct(), written(best.distinct())
-    sets = _sets(_ends(pairs), reps, docs, n)
-    first_links = _verify(best, sets, num, den)
-    classes = written(components(first_links))
-    other = written(_apart(pairs.join(best, ["a", "b"], "left_anti"), classes))
-    tried, links = best.unionByName(other), written(first_links.unionByName(_verify(other, sets, num, den)))
-    classes = extended(classes, links)
+    best = written(best.distinct())
+    sets = _sets(_ends(shared), reps, docs, n)
+    tried, links = best, _verify(best, sets, num, den)
+    classes = written(components(links))
 
     def checked(more: DataFrame) -> DataFrame:
         nonlocal sets
@@ -302,16 +317,10 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
         classes = extended(classes, found)
         rows = _mixed(rows, classes)
 
-    tc = rows.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left, right = (tc.select("token", F.col("c").alias(f"c{s}"), F.col("lo").alias(f"lo{s}"), F.col("hi").alias(f"hi{s}")) for s in "ab")
-    across = left.join(right, "token").where(f"ca < cb and hia * {den} >= lob * {num} and hib * {den} >= loa * {num}").select("token", "ca", "cb")
-    member = lambda s: rows.select("token", F.col("c").alias(f"c{s}"), F.col("key").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
-    met = across.join(member("a"), ["token", "ca"]).join(member("b"), ["token", "cb"])
-    met = met.where(_fits(c("na"), c("pa"), c("nb"), c("pb"), num, den))
-    more = written(met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = written(_across(rows, num, den).join(tried, ["a", "b"], "left_anti"))
     final = extended(classes, checked(more))
     named = reps.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
     low = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = written(named.join(low, "c").select("key", "component_id"))
-    discard(shared, best, other, posted, first_links)
+    discard(shared, best, posted)
     return keys.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

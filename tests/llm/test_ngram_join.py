@@ -68,9 +68,12 @@ def test_classes_are_those_of_all_pairs(spark, seed, n, num):
     assert sorted(map(tuple, got.collect())) == brute(rows, n, num, 100)
 
 
-def test_small_holds_deal_often(spark, monkeypatch):
+@pytest.mark.parametrize("hubs,few", [(0, 64), (0, 2), (1, 2)])
+def test_small_holds_deal_often_and_large_classes_are_met_as_such(spark, monkeypatch, hubs, few):
     monkeypatch.setattr(nj, "HELD", 300)
-    rows = corpus(4)
+    monkeypatch.setattr(nj, "HUBS", hubs)
+    monkeypatch.setattr(nj, "FEW", few)
+    rows = corpus(4 + few)
     got = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=1 << 10)
     assert sorted(map(tuple, got.collect())) == brute(rows, 4, 85, 100)
 
