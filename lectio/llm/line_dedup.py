@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.common import batches, discard, mixed, per_document, record, texts, written
-from lectio.llm.ngram_join import CHUNK, _pack, _summed, _unpack
+from lectio.llm.ngram_join import CHUNK, _pack, _unpack, summed_chunks
 
 #: Lines a rolling hash spans, one in how many line ends is a boundary, least and most lines of a chunk, buckets of the chunk counts.
 SPAN, ONE_IN, LEAST, MOST, BUCKETS = 2, 3, 2, 64, 1 << 22
@@ -72,7 +72,7 @@ def remove_repeated_chunks(docs: DataFrame, carry: tuple[str, ...] = (), buckets
                 yield record(schema, [c], [_pack(part)])
 
     twice = np.zeros(buckets, bool)
-    for c, blob in tagged.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").toLocalIterator():
+    for c, blob in summed_chunks(tagged.mapInArrow(count, "chunk int, counts binary")).toLocalIterator():
         twice[c * size : (c + 1) * size] = _unpack(bytes(blob)) > 1
     again = docs.sparkSession.sparkContext.broadcast(np.packbits(twice))
 

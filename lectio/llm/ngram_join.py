@@ -26,6 +26,8 @@ from lectio.llm.common import Hashes, batches, components, discard, extended, gr
 
 #: Buckets of the n-gram counts (4 bytes each, sent to every executor), counts in one shuffled row, postings a task holds before it deals them out.
 BUCKETS, CHUNK, HELD = 1 << 22, 1 << 16, 2_000_000
+#: Groups of tasks whose n-gram counts are summed before the sums are.
+GROUPS = 64
 #: Rounds in which postings meet their n-gram's most linked set before the rest meets across classes.
 HUBS = 1
 #: Postings of a class at an n-gram up to which its members are met one by one.
@@ -116,6 +118,13 @@ def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(schema, [c], [_pack(np.minimum(a, 0xFFFFFFFF).astype(np.uint64))])
 
 
+def summed_chunks(parts: DataFrame) -> DataFrame:
+    """(chunk, counts) summed over tasks: first by groups of tasks, then over the groups, so that no task reads them all."""
+    ddl = "chunk int, counts binary"
+    some = parts.select("chunk", "counts", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g")).repartition("chunk", "g").select("chunk", "counts").mapInArrow(_summed, ddl)
+    return some.repartition("chunk").mapInArrow(_summed, ddl)
+
+
 def _postings(docs: DataFrame, n: int, num: int, den: int, counts, parts: int) -> DataFrame:
     """Rows (bucket, blob): leaders for the bucket of their n-gram, or members with the leader they lie under."""
 
@@ -278,9 +287,8 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     first = written(_keys(docs, n, buckets))
     keys = first.where("chunk is null").select("doc_id", "n", "key")
-    summed = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary")
     order, size = np.zeros(buckets, np.uint32), min(CHUNK, buckets)
-    for c, blob in summed.toLocalIterator():  # buckets * 4 bytes at most, however large the corpus
+    for c, blob in summed_chunks(first.where("chunk is not null")).toLocalIterator():  # buckets * 4 bytes at most, however large the corpus
         order[c * size : (c + 1) * size] = _unpack(bytes(blob))
     counts = spark.sparkContext.broadcast(order)
     del order
