@@ -1,8 +1,13 @@
-"""Operator 4: removal of repeated multi-line chunks whose boundaries the lines themselves choose."""
+"""Operator 4: removal of repeated multi-line runs, found by a rolling hash of lines.
+
+remove_repeated_runs() looks at every window of two lines and misses no run; remove_repeated_chunks() cuts a document
+once, at boundaries that the lines choose, and finds a run only where it holds a whole chunk.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +20,23 @@ from lectio.llm.ngram_join import CHUNK, _pack, _unpack, summed_chunks
 
 #: Lines a rolling hash spans, one in how many line ends is a boundary, least and most lines of a chunk, buckets of the chunk counts.
 SPAN, ONE_IN, LEAST, MOST, BUCKETS = 2, 3, 2, 64, 1 << 22
+#: lines -> (first line, end) and hash of each part that is looked for elsewhere.
+Spans = Callable[[list[bytes]], tuple[list[tuple[int, int]], np.ndarray]]
+
+
+def windows(lines: list[bytes]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(first line, end) and hash of every two lines with text that follow each other, blank lines between them included."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, (lines[i] for i in full)), np.uint64, len(full))
+    gap = np.diff(np.asarray(full, np.int64)).astype(np.uint64)
+    return [(i, j + 1) for i, j in zip(full, full[1:])], mixed((h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0x9E3779B97F4A7C15) + gap)
 
 
 def chunks(text: bytes | None, span: int = SPAN, one_in: int = ONE_IN, least: int = LEAST, most: int = MOST) -> list[tuple[int, int]]:
     """(first line, end) of each chunk. A boundary follows a line where the rolling hash of the last `span` lines says so.
 
-    As it depends on these lines alone, text put in before a passage shifts no boundary inside it.
+    Whether a line is a candidate depends on these lines alone; which candidates hold also depends on the last boundary
+    before, as a chunk has at least `least` and at most `most` lines, so text put in before a passage can shift its first ones.
     """
     lines = (text or b"").split(b"\n")
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
@@ -39,32 +55,55 @@ def chunks(text: bytes | None, span: int = SPAN, one_in: int = ONE_IN, least: in
     return out
 
 
+def remove_repeated_runs(docs: DataFrame, carry: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed, …carried): each document without the lines that an earlier place has in the same run.
+
+    A line goes if it lies in a run of two lines with text or more whose bytes also stand at an earlier place by
+    (doc_id, line), without overlap where that is in the same document; runs of any length and place are found. Blank
+    lines between two such lines belong to the run; they make no run of their own, and a single repeated line stays.
+    The first place of a line is never removed, but where runs overlap, a run's first place can lose lines that an
+    earlier run has. Runs are the same where the SHA-256 of their bytes is. Lines end at a newline. Null and empty texts have one empty line and give an empty text; repeated rows of a doc_id and text share
+    their marks, so the first place stays in each; rows of a null doc_id stay whole. An empty table gives no rows.
+    """
+    return _removed(docs, windows, carry, buckets)
+
+
 def remove_repeated_chunks(docs: DataFrame, carry: tuple[str, ...] = (), buckets: int = BUCKETS, **shape) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, …carried): each document without the chunks that an earlier place has too.
 
-    Of the places of a chunk of two lines or more, the first by (doc_id, line) keeps it, and every other place whose
-    bytes equal the first one's loses it; a chunk of another text under the same hash stays. Chunks of a single line
-    are never removed. Lines end at a newline. Null and empty texts have one empty line and give an empty text;
-    repeated rows of a doc_id and text share their marks, so the first place stays in each; rows of a null doc_id stay
-    whole. An empty table gives no rows.
+    Of the places of a chunk of two lines or more, the first by (doc_id, line) keeps it, and every other place loses it.
+    Chunks are the same where the SHA-256 of their bytes is. Chunks of a single line are never removed, and a repeated
+    run that holds no whole chunk stays. Lines end at a newline. Null and empty texts have one empty line and give an
+    empty text; repeated rows of a doc_id and text share their marks, so the first place stays in each; rows of a null
+    doc_id stay whole. An empty table gives no rows.
+    """
+    least = shape.get("least", LEAST)
+
+    def spans(lines: list[bytes]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        found = [(i, j) for i, j in chunks(b"\n".join(lines), **shape) if j - i >= least]
+        return found, np.fromiter((xxhash.xxh3_64_intdigest(b"\n".join(lines[i:j])) for i, j in found), np.uint64, len(found))
+
+    return _removed(docs, spans, carry, buckets)
+
+
+def _removed(docs: DataFrame, spans: Spans, carry: tuple[str, ...], buckets: int) -> DataFrame:
+    """Each document without the spans that an earlier place has too.
 
-    One pass counts chunk hashes in a fixed number of buckets; a second sends on the bytes of only those chunks whose
+    One pass counts span hashes in a fixed number of buckets; a second sends on the SHA-256 of only those spans whose
     bucket was hit twice or more; texts and the lines to drop meet in one shuffle.
     """
     tagged = texts(docs, F.crc32(F.col("text").cast("binary")).alias("tag")).where("doc_id is not null")
-    least, size = shape.get("least", LEAST), min(CHUNK, buckets)
+    size = min(CHUNK, buckets)
 
-    def found_in(text: bytes | None) -> Iterator[tuple[int, int, int, bytes]]:
+    def found_in(text: bytes | None) -> tuple[list[bytes], list[tuple[int, int]], np.ndarray]:
         lines = (text or b"").split(b"\n")
-        for i, j in chunks(text, **shape):
-            if j - i >= least:
-                raw = b"\n".join(lines[i:j])
-                yield xxhash.xxh3_64_intdigest(raw), i, j, raw
+        at, h = spans(lines)
+        return lines, at, (h & np.uint64(buckets - 1)).astype(np.int64)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, seen = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]), np.zeros(buckets, np.uint8)
         for b in batches(rows):
-            at, n = np.unique(np.fromiter((h & (buckets - 1) for t in b.column(1).to_pylist() for h, *_ in found_in(t)), np.int64), return_counts=True)
+            at, n = np.unique(np.concatenate([found_in(t)[-1] for t in b.column(1).to_pylist()]), return_counts=True)
             seen[at] = np.minimum(seen[at] + n, 2)  # whether once or oftener is all that counts
         for c in range(buckets // size):
             part = seen[c * size : (c + 1) * size]
@@ -77,16 +116,22 @@ def remove_repeated_chunks(docs: DataFrame, carry: tuple[str, ...] = (), buckets
     again = docs.sparkSession.sparkContext.broadcast(np.packbits(twice))
 
     def places(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, hit = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("raw", pa.binary())]), np.unpackbits(again.value).astype(bool)
+        schema, hit = pa.schema([("sha", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]), np.unpackbits(again.value).astype(bool)
         for b in batches(rows):
-            out = [(int(np.uint64(h).astype(np.int64)), doc_id, tag, i, j, raw) for doc_id, t, tag in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for h, i, j, raw in found_in(t) if hit[h & (buckets - 1)]]
+            out = []
+            for doc_id, t, tag in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                lines, at, bucket = found_in(t)
+                for k in np.flatnonzero(hit[bucket]).tolist():
+                    i, j = at[k]
+                    out.append((hashlib.sha256(b"\n".join(lines[i:j])).digest(), doc_id, tag, i, j))
             if out:
                 yield record(schema, *zip(*out, strict=True))
 
-    held = written(tagged.mapInArrow(places, "h long, doc_id long, tag long, i int, j int, raw binary"))
-    place = F.struct("doc_id", "tag", "i")
-    firsts = written(held.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min_by("raw", place).alias("kept")).where("n > 1"))
-    cut = held.join(firsts.select("h", "first", "kept"), "h").where((F.col("raw") == F.col("kept")) & (place != F.col("first")))
+    held = written(tagged.mapInArrow(places, "sha binary, doc_id long, tag long, i int, j int"))
+    place = F.struct("doc_id", "tag", "i", "j")
+    firsts = written(held.groupBy("sha").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (F.col("i") < F.col("first.j"))  # the first place itself too
+    cut = held.join(firsts.select("sha", "first"), "sha").where(~overlaps)
     marks = cut.select("doc_id", "tag", F.encode(F.concat_ws(" ", "i", "j"), "utf-8").alias("payload"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 

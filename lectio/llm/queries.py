@@ -31,7 +31,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.remove_repeated_chunks(_t(spark, sf_dir, "documents"))
+    kept = line_dedup.remove_repeated_runs(_t(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

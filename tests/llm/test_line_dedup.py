@@ -61,3 +61,56 @@ def test_repeated_rows_and_no_rows(spark):
     d = spark.createDataFrame([(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (2, "z")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in ld.remove_repeated_chunks(d, buckets=1 << 10).collect()) == [(1, 0), (1, 0), (2, 0)]
     assert ld.remove_repeated_chunks(d.where("false"), buckets=1 << 10).count() == 0
+
+
+def brute_runs(rows):
+    """Lines in two lines with text that an earlier place has too, blank lines between them included."""
+
+    def pairs(lines):
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        return [(i, j + 1) for i, j in zip(full, full[1:], strict=False)]
+
+    first = {}
+    split = [(d, (t or "").split("\n")) for d, t in rows]
+    for d, lines in split:
+        for i, j in pairs(lines) if d is not None else ():
+            k = tuple(lines[i:j])
+            first[k] = min(first.get(k, (d, i, j)), (d, i, j))
+    out = []
+    for d, lines in split:
+        gone = set()
+        for i, j in pairs(lines) if d is not None else ():
+            e, _, end = first[tuple(lines[i:j])]
+            if e != d or i >= end:
+                gone.update(range(i, j))
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
+    return sorted(out, key=repr)
+
+
+def test_runs_are_those_of_all_pairs_of_lines(spark):
+    rows, _ = corpus()
+    rows += [(200, "a b\n\nc d\n\ne f"), (201, "\nc d\n\n\n\ne f\n\nx"), (202, "g\n\nc d\n\ne f\n\nh"), (203, "c d\n\ng"), (204, "p\nq\np\nq\np\nq"), (205, "y\ny\ny"), (206, "y\ny")]
+    d = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, h string, tag int").repartition(4)
+    got = ld.remove_repeated_runs(d, carry=("h", "tag"), buckets=1 << 10)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "h", "tag"]
+    got = {r.doc_id: r for r in got.collect()}
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.values()), key=repr) == brute_runs(rows)
+    assert [got[i].text for i in (203, 204, 205, 206)] == ["c d\n\ng", "p\nq", "y\ny\ny", ""]
+    assert got[103].text == "x\nx\n" and got[202].text == "g\n\n\nh"
+    # every line keeps a place
+    assert {x for _, t in rows for x in (t or "").split("\n")} == {x for r in got.values() if r.doc_id is not None for x in r.text.split("\n")}
+
+
+def test_every_short_passage_between_unlike_lines_goes(spark):
+    r = random.Random(5)
+    line = lambda: f"{r.randrange(10**12)} {r.randrange(10**12)}"
+    rows, want = [], {}
+    for n in range(2, 11):
+        for k in range(20):
+            passage = [line() for _ in range(n)]
+            for d in (1000 * n + k, 1000 * n + 500 + k):
+                before, after = ([line() for _ in range(r.randrange(1, 6))] for _ in range(2))
+                rows.append((d, "\n".join(before + passage + after)))
+                want[d] = n if d % 1000 >= 500 else 0
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.n_removed for x in ld.remove_repeated_runs(d, buckets=1 << 10).collect()} == want
