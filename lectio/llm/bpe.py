@@ -47,10 +47,16 @@ class ByteBPE:
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def fast(self, text: str) -> bytes:
+        try:
+            return self.ranked.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+        except ValueError:  # its pattern backtracks, and runs of a million spaces or newlines exceed its stack
+            return self.plain(text)
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.ranked is None:
             return [self.plain(t) for t in texts]
-        return [self.ranked.encode_to_numpy(t).astype("<u4", copy=False).tobytes() if PLAIN.fullmatch(t) else self.plain(t) for t in texts]
+        return [self.fast(t) if PLAIN.fullmatch(t) else self.plain(t) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -67,3 +67,9 @@ def test_without_ids_and_without_rows(spark):
     assert got.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "c"]
     assert sorted((r.doc_id, r.doc_tokens) for r in got.where("start = 0").collect()) == [(1, 3), (1, 3), (2, 1)]
     assert packing.pack(d.where("false")).count() == 0
+
+
+def test_very_long_runs_of_white_space(plain):
+    t = bpe.ByteBPE(bpe.default_path())
+    for s in (" " * 2_000_000, "a" + "\n" * 1_200_000 + "b"):
+        assert t.ids([s, "a b"]) == [struct.pack(f"<{len(x)}I", *x) for x in (plain(s), plain("a b"))]
