@@ -15,13 +15,13 @@ from lectio.llm.common import batches, record, texts
 BLOCK = 4096
 
 
-def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every whole text; null and empty texts have 0 tokens."""
+def token_lengths(docs: DataFrame, path: str | None = None, added: bool = False) -> DataFrame:
+    """(doc_id, n_tokens) of every whole text; null and empty texts have 0 tokens. added: as in packing.pack()."""
     path = path or bpe.default_path()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.load(path)
+        tok = bpe.load(path, added)
         for b in batches(rows, 200):
             yield record(schema, b.column(0), [len(x) // 4 for x in tok.ids([(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()])])
 

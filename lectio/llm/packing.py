@@ -82,7 +82,7 @@ def _rows(windows: list[tuple[int, list[tuple]]], still: bool, part: int) -> pa.
     return record(SCHEMA, *cols)
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, derive: dict[str, Callable[[Column], Column]] | None = None, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int = 0, open_windows: int = OPEN_WINDOWS, merge_partitions: int = MERGE_PARTITIONS, derive: dict[str, Callable[[Column], Column]] | None = None, keep_ids: bool = True, added: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids), ids as little-endian uint32 bytes.
 
     Every document, then end_id, is placed whole where it fits best among open_windows windows of its partition; when
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
     last one is cut into lengths that are powers of two, which need no padding. Memory is bounded by the open windows.
 
     derive: further columns from ids; keep_ids=False drops ids, so that closed windows' ids are never stored.
+    added: the content of an added token in a text is that token, as the tokenizer's file has it, not plain text.
     Null and empty texts are documents of the one token end_id; repeated doc_ids are packed as documents of their own;
     an empty table gives no rows; other columns of docs are ignored.
     """
@@ -98,7 +99,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tok, w, end = bpe.load(path), Windows(size, open_windows, part << 32), np.asarray([end_id], "<u4").tobytes()
+        tok, w, end = bpe.load(path, added), Windows(size, open_windows, part << 32), np.asarray([end_id], "<u4").tobytes()
         for b in batches(rows, 200):
             every = tok.ids([(t or b"").decode("utf-8", "replace") for t in b.column(1).to_pylist()])
             for doc_id, ids in zip(b.column(0).to_pylist(), every, strict=True):

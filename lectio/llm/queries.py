@@ -20,7 +20,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_t(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32}, keep_ids=False)
+    pieces = packing.pack(_t(spark, sf_dir, "documents"), derive={"ids_crc32": F.crc32}, keep_ids=False, added=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -67,7 +67,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.length_table(lengths.token_lengths(_t(spark, sf_dir, "documents")))
+    return lengths.length_table(lengths.token_lengths(_t(spark, sf_dir, "documents"), added=True))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

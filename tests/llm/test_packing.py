@@ -73,3 +73,20 @@ def test_very_long_runs_of_white_space(plain):
     t = bpe.ByteBPE(bpe.default_path())
     for s in (" " * 2_000_000, "a" + "\n" * 1_200_000 + "b"):
         assert t.ids([s, "a b"]) == [struct.pack(f"<{len(x)}I", *x) for x in (plain(s), plain("a b"))]
+
+
+def test_queries_encode_added_tokens_as_the_file_does(spark, tmp_path):
+    import corpus_pipeline
+    from lectio.llm import queries
+
+    as_loaded = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = [*ODD, "a<|endoftext|><|endoftext|>b", "<|endoftext", "é <|endoftext|> 日本"]
+    want = [as_loaded.encode(s, add_special_tokens=False).ids for s in texts]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in bpe.ByteBPE(bpe.default_path(), added=True).ids(texts)] == want
+    assert any(50256 in x for x in want)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op2_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.doc_tokens for r in got.collect()} == {i: len(x) + 1 for i, x in enumerate(want)}
+    table = queries.op10_token_counts(spark, str(tmp_path)).collect()
+    assert sum(r.n_tokens * r.n_docs for r in table) == sum(map(len, want))
