@@ -92,10 +92,10 @@ def _keys(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         hashes, counts, any_row = Hashes(), np.zeros(buckets, np.uint32), False
         for b in batches(rows, 500):
             any_row, ns, keys, found = True, [], [], []
-            for t in b.column(1).to_pylist():
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = gram_set(t, n, hashes)
                 ns.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
+                keys.append(set_key(s) if len(s) and doc is not None else None)
                 found.append((s & np.uint64(buckets - 1)).astype(np.int64))
             counts += np.bincount(np.concatenate(found), minlength=buckets).astype(np.uint32)
             yield record(KEYS, b.column(0), ns, keys, pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary()))
@@ -157,7 +157,7 @@ def _postings(docs: DataFrame, n: int, num: int, den: int, counts, parts: int) -
 
         for b in batches(rows, 500):
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = gram_set(t, n, hashes)
+                s = gram_set(t, n, hashes) if doc is not None else ()
                 if not len(s):
                     continue
                 seen = order[(s & np.uint64(len(order) - 1)).astype(np.int64)]
@@ -281,8 +281,8 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     Words are runs of bytes that aren't ASCII white space, A-Z lower-cased; sets hold n-word shingles by 64-bit hash.
     component_id is the smallest doc_id reachable by links, the document included. Null and empty texts have no
     shingles and are their own class; texts with fewer words than n have one shingle, the whole sequence. Equal sets
-    are linked by their key and never paired. A repeated doc_id gives a row each, of the class its text has. An empty
-    table gives no rows. Other columns of docs are ignored.
+    are linked by their key and never paired. A repeated doc_id gives a row each, of the class its text has. A row of a
+    null doc_id links with none: its component_id is null. An empty table gives no rows. Other columns of docs are ignored.
     """
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     first = written(_keys(docs, n, buckets))

@@ -101,3 +101,9 @@ def test_components_of_a_chain_and_a_hub(spark):
     r.shuffle(edges)
     got = {x.node: x.component for x in components(spark.createDataFrame([(b, a) if r.random() < 0.5 else (a, b) for a, b in edges], "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[1000 + i] == 1000 for i in range(50)) and got[2000] == got[-5] == -5
+
+
+def test_rows_of_a_null_doc_id_link_with_none(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (None, None), (None, "g h")]
+    got = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=1 << 10).collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, 3, 1), (2, 3, 1), (None, 0, None), (None, 1, None), (None, 3, None), (None, 3, None)]

@@ -71,3 +71,12 @@ def test_query_is_its_sql(spark, name):
     rel = con.sql(queries.SQL[name])
     order = [rel.columns.index(c) for c in d.columns]
     assert sorted(map(tuple, d.collect())) == sorted(tuple(r[i] for i in order) for r in rel.fetchall())
+
+
+def test_rows_of_a_null_doc_id_pass_the_stages(spark, tmp_path):
+    rows = corpus(spark, tmp_path / "a")
+    whole = spark.read.parquet(f"{tmp_path}/a/documents.parquet").unionByName(spark.createDataFrame([(None, rows[3][1], "en", "s", 1)], COLUMNS))
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert None in got and 3 in got and 101 not in got
