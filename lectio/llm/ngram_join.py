@@ -33,7 +33,7 @@ HUBS = 1
 #: Postings of a class at an n-gram up to which its members are met one by one.
 FEW = 64
 
-KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+KEYS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 POST = np.dtype([("token", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 POSTINGS = "token long, doc long, key long, n int, pos int, leader long, fits boolean"
 
@@ -98,15 +98,16 @@ def _keys(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 keys.append(set_key(s) if len(s) and doc is not None else None)
                 found.append((s & np.uint64(buckets - 1)).astype(np.int64))
             counts += np.bincount(np.concatenate(found), minlength=buckets).astype(np.uint32)
-            yield record(KEYS, b.column(0), ns, keys, pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary()))
+            yield record(KEYS, b.column(0), b.column(2), ns, keys, pa.nulls(len(ns), pa.int32()), pa.nulls(len(ns), pa.binary()))
         if any_row:
             size = min(CHUNK, buckets)
             for c in range(buckets // size):
                 part = counts[c * size : (c + 1) * size]
                 if part.any():
-                    yield record(KEYS, [None], [None], [None], [c], [_pack(part)])
+                    yield record(KEYS, [None], [None], [None], [None], [c], [_pack(part)])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, key long, chunk int, counts binary")
+    tag = F.crc32(F.col("text").cast("binary")).alias("tag")
+    return texts(docs, tag).mapInArrow(run, "doc_id long, tag long, n long, key long, chunk int, counts binary")
 
 
 def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +214,15 @@ def _led(num: int, den: int):
 
 
 def _sets(nodes: DataFrame, reps: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(key, grams): the whole sets of some keys, each from the smallest document that has it."""
+    """(key, grams): the whole sets of some keys, each from the smallest document that has it; other texts under its doc_id give none."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, schema = Hashes(), pa.schema([("key", pa.int64()), ("grams", pa.binary())])
         for b in batches(rows, 500):
-            yield record(schema, b.column(1), [gram_set(t, n, hashes).tobytes() for t in b.column(0).to_pylist()])
+            sets = [gram_set(t, n, hashes) for t in b.column(0).to_pylist()]
+            own = [(k, s.tobytes()) for k, s in zip(b.column(1).to_pylist(), sets, strict=True) if set_key(s) == k]
+            if own:
+                yield record(schema, *zip(*own, strict=True))
 
     wanted = reps.join(nodes, "key", "left_semi").select(F.col("rep").alias("doc_id"), "key")
     return written(texts(docs).join(wanted, "doc_id").select("text", "key").mapInArrow(run, "key long, grams binary").dropDuplicates(["key"]))
@@ -284,9 +288,18 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     are linked by their key and never paired. A repeated doc_id gives a row each, of the class its text has. A row of a
     null doc_id links with none: its component_id is null. An empty table gives no rows. Other columns of docs are ignored.
     """
+    return classes_of(docs, n, num, den, buckets).select("doc_id", "n_shingles", "component_id")
+
+
+def classes_of(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, tag, n_shingles, component_id, class): ngram_join() with crc32 of the text and the class itself.
+
+    class tells classes apart that have the same smallest doc_id, as a repeated doc_id with other texts can make them;
+    it is null where the row is its own class for want of shingles or of a doc_id.
+    """
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     first = written(_keys(docs, n, buckets))
-    keys = first.where("chunk is null").select("doc_id", "n", "key")
+    keys = first.where("chunk is null").select("doc_id", "tag", "n", "key")
     order, size = np.zeros(buckets, np.uint32), min(CHUNK, buckets)
     for c, blob in summed_chunks(first.where("chunk is not null")).toLocalIterator():  # buckets * 4 bytes at most, however large the corpus
         order[c * size : (c + 1) * size] = _unpack(bytes(blob))
@@ -329,6 +342,6 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     final = extended(classes, checked(more))
     named = reps.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
     low = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = written(named.join(low, "c").select("key", "component_id"))
+    named = written(named.join(low, "c").select("key", "component_id", F.col("c").alias("class")))
     discard(shared, best, posted)
-    return keys.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return keys.join(named, "key", "left").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")

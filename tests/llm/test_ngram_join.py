@@ -107,3 +107,23 @@ def test_rows_of_a_null_doc_id_link_with_none(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (None, None), (None, "g h")]
     got = nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=1 << 10).collect()
     assert sorted(map(tuple, got), key=repr) == [(1, 3, 1), (2, 3, 1), (None, 0, None), (None, 1, None), (None, 3, None), (None, 3, None)]
+
+
+def test_other_texts_under_a_doc_id_are_classed_as_themselves(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for i in range(12):  # doc_id i has three unlike texts, each with near copies under other doc_ids
+        for k in range(3):
+            base = [word() for _ in range(60)]
+            rows.append((i, " ".join(base)))
+            for c in range(2):
+                near = list(base)
+                near[r.randrange(60)] = word()
+                rows.append((1000 + 100 * i + 10 * k + c, " ".join(near)))
+    rows.append(rows[0])
+    want = brute(rows, 4, 85, 100)
+    for parts in (1, 5):
+        got = nj.classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), buckets=1 << 10).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
+        assert len({x["class"] for x in got}) == 36

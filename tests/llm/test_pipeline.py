@@ -80,3 +80,14 @@ def test_rows_of_a_null_doc_id_pass_the_stages(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/a/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert None in got and 3 in got and 101 not in got
+
+
+def test_one_row_of_each_class_stays(spark):
+    r = random.Random(3)
+    a, b, c = (" ".join(str(r.randrange(10**6)) for _ in range(40)) for _ in range(3))
+    # 1 has a, twice, and b; 2 has b and a near copy of a; 3 has c twice and a copy of c; no class for the rest
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, a + " x"), (3, c), (3, c), (3, c + " y"), (4, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], COLUMNS).repartition(3)
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert [x for x in got if x[1] in (c, c + " y")] in ([(3, c)], [(3, c + " y")])
+    assert sorted((x for x in got if x[0] != 3), key=repr) == sorted([(1, a), (1, b), (4, None), (None, a), (None, a)], key=repr)
