@@ -101,22 +101,42 @@ def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", views.cluster_count(F.col("text")).cast("long").alias("clusters"), F.length("text").cast("long").alias("code_points"))
 
 
-def _cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cer(spark: SparkSession, sf_dir: str, view: Callable[[str], Column] = _ascii) -> DataFrame:
     p = _pairs(spark, sf_dir).repartition(*KEYS)  # the alignment is the cost, so it is spread before
-    return alignment.cer(alignment.with_clusters(p, g=_ascii("gt"), p=_ascii("pred")), "g", "p")
+    return alignment.cer(alignment.with_clusters(p, g=view("gt"), p=view("pred")), "g", "p")
+
+
+def _whole(c: str) -> Column:
+    return views.normalize(F.col(c))
+
+
+def _panel(rates: DataFrame) -> DataFrame:
+    g = rates.rollup("role").agg(F.sum("edits").alias("edits"), F.sum("denominator").alias("denominator"), _r(F.avg("cer")).alias("macro_cer"), F.count("*").alias("n"))
+    return g.select(F.coalesce("role", F.lit("overall")).alias("stratum"), "edits", "denominator", "macro_cer", "n")
 
 
 @query(f"WITH {PAIRS}, {CER} SELECT conv_id, turn, edits, denominator, round({RATE}, 6) AS cer FROM c")
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1-A3: cluster-aligned error rates."""
+    """A1-A3 on printable ASCII only, which DuckDB's levenshtein can express; whole texts: cer_pairs_whole."""
     return _cer(spark, sf_dir).select(*KEYS, "edits", "denominator", _r("cer").alias("cer"))
 
 
 @query(f"WITH {PAIRS}, {CER} SELECT coalesce(role, 'overall') AS stratum, sum(edits)::BIGINT AS edits, sum(denominator)::BIGINT AS denominator, round(avg({RATE}), 6) AS macro_cer, count(*)::BIGINT AS n FROM c GROUP BY GROUPING SETS ((role), ())")
 def cer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macro rates and totals by stratum and overall."""
-    g = _cer(spark, sf_dir).rollup("role").agg(F.sum("edits").alias("edits"), F.sum("denominator").alias("denominator"), _r(F.avg("cer")).alias("macro_cer"), F.count("*").alias("n"))
-    return g.select(F.coalesce("role", F.lit("overall")).alias("stratum"), "edits", "denominator", "macro_cer", "n")
+    """G4-G6 on printable ASCII only, as cer_pairs; whole texts: cer_panel_whole."""
+    return _panel(_cer(spark, sf_dir))
+
+
+@query()
+def cer_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A3: cluster-aligned error rates of whole normalised texts; tested against a plain cluster alignment."""
+    return _cer(spark, sf_dir, _whole).select(*KEYS, "edits", "denominator", _r("cer").alias("cer"))
+
+
+@query()
+def cer_panel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro rates and totals by stratum and overall, of whole normalised texts."""
+    return _panel(_cer(spark, sf_dir, _whole))
 
 
 @query(rf"WITH {MARKS} SELECT conv_id, turn, type, ordinal, count(*)::BIGINT AS n FROM mgt GROUP BY ALL")
