@@ -41,8 +41,32 @@ def test_against_all_windows(spark, monkeypatch, held):
     rows = corpus(held % 97)
     random.Random(1).shuffle(rows)
     d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, part string").repartition(5)
-    got = sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in ss.remove_repeats(d).collect()), key=repr)
-    assert got == brute(rows, 13)
+    for more in ({}, {"bits": 3}, {"prefix": 1}):  # word hashes of three bits collide everywhere and change nothing
+        found = ss.remove_repeats(d, **more).collect()
+        assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in found), key=repr) == brute(rows, 13)
+        assert all(sum(x.end - x.first for x in r.spans) == r.n_removed for r in found)
+
+
+def test_many_groups_and_parts(spark, monkeypatch):
+    """Groups and parts far beyond the tasks, as in a large corpus; word codes alone settle what is shared."""
+    monkeypatch.setattr(ss, "GROUP", 40)
+    monkeypatch.setattr(ss, "MARKED", 300)
+    monkeypatch.setattr(ss, "TASKS", 6)
+    rows = corpus(5)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in ss.remove_repeats(d).collect()), key=repr) == brute(rows, 13)
+
+
+def test_trees():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x = r.integers(1, 3, (200, 6)).astype(np.uint32)
+    by, common = ss._tree(x)
+    assert [tuple(v) for v in x[by]] == sorted(tuple(v) for v in x)
+    for deep in range(7):
+        node = ss._nodes(by, common, deep)
+        assert len({(n, tuple(v[:deep])) for n, v in zip(node, x)}) == len(set(node)) == len({tuple(v[:deep]) for v in x})
 
 
 def test_other_depth_and_no_rows(spark):
