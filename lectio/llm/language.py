@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +27,6 @@ FAMILIES = {
 }
 #: Size of the features, and documents of each language that the fit may take.
 SIZE, EACH = 2048, 800
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -121,7 +119,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, size: int = SIZE) -> Data
                 langs, scores = ["und"] * len(raw), [0.0] * len(raw)
             else:
                 langs, scores = shared.value.predict(np.stack([byte_grams(t or b"", size) for t in raw]))
-            known = [bool(t) and LETTER.search(t.decode("utf-8", "replace")) is not None for t in raw]
+            known = [bool(t) and any(map(str.isalpha, t.decode("utf-8", "replace"))) for t in raw]
             yield record(schema, b.column(0), [k if ok else "und" for k, ok in zip(langs, known, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(scores, known, strict=True)], b.column(2))
 
     return texts(docs, F.crc32(F.col("text").cast("binary")).alias("tag")).mapInArrow(run, "doc_id long, lang_pred string, score double, tag long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectio.llm import bpe
-from lectio.llm.common import batches, record, texts
+from lectio.llm.common import batches, record, texts, written
 
 #: Neighbouring lengths that one task sums; the sums of the blocks are few.
 BLOCK = 4096
@@ -35,9 +35,10 @@ def length_table(lengths: DataFrame) -> DataFrame:
     all documents, so the q-quantile is the least n_tokens with share_le >= q; truncated_total = sum of
     min(length, n_tokens) over all documents. For a limit L between two rows, truncated_total(L) = tokens below L +
     L * docs_ge(next row). Suffix sums run in blocks of lengths and then over the blocks, so no task sees more than
-    BLOCK lengths or one row a block. An empty table gives no rows; null lengths are left out.
+    BLOCK lengths or one row a block. An empty table gives no rows; null lengths are left out. Documents are counted,
+    and encoded, once: the histogram, with a row a length, is written and read again.
     """
-    hist = lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("tokens", F.expr("n_tokens * n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    hist = written(lengths.where("n_tokens is not null").groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("tokens", F.expr("n_tokens * n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}")))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
