@@ -28,37 +28,42 @@ def tokens(text: bytes | str | None) -> list[bytes]:
 def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (pattern position, text position, length), longest first, that overlap in neither; ties to earlier ones.
 
-    Running Karp-Rabin: for a search length s, hashes of all unmarked runs of s text tokens are looked up for each
-    unmarked run of the pattern and hits are checked and extended. A match over twice s long restarts at its length;
-    otherwise the matches found are marked in order of length and s is halved, down to `least`.
+    Running Karp-Rabin: for a search length s, the hash of each unmarked run of s pattern tokens is looked for among
+    those of the text, and hits are checked and extended by the tokens that both go on with. A match over twice s long
+    restarts at its length; otherwise the matches found are marked in order of length and s is halved, down to `least`.
+    Time is in proportion to the product of both lengths, also where every run is like every other.
     """
     n, m = len(pattern), len(text)
     marked_p, marked_t = np.zeros(n, bool), np.zeros(m, bool)
     tiles: list[tuple[int, int, int]] = []
     s = max(least, min(n, m) // 2)
+    # marked text lets at most so many places of a match of one length fail, so the first ones suffice
+    most = n * (n // least + 2) + 1
     while min(n, m) >= least:
-        table: dict[int, list[int]] = {}
-        free = ~np.convolve(marked_t, np.ones(s, int)).astype(bool)[s - 1 : m] if m >= s else np.zeros(0, bool)
-        for t, h in zip(np.flatnonzero(free).tolist(), grams(text, s)[free].tolist() if m >= s else [], strict=True):
-            table.setdefault(h, []).append(t)
+        runs_p, runs_t = grams(pattern, s), grams(text, s)
         found, longest = [], 0
-        for p, h in enumerate(grams(pattern, s).tolist()):
-            if marked_p[p : p + s].any():
+        common = np.zeros(m + 1, np.int32)  # of the pattern from p and the text from each place
+        for p in range(n - 1, -1, -1):
+            common[:m] = np.where((text == pattern[p]) & ~marked_t, common[1:] + 1, 0) if not marked_p[p] else 0
+            if p + s > n or marked_p[p]:
                 continue
-            for t in table.get(h, ()):
-                k = 0
-                while p + k < n and t + k < m and pattern[p + k] == text[t + k] and not marked_p[p + k] and not marked_t[t + k]:
-                    k += 1
-                if k >= s:
-                    found.append((-k, p, t))
-                    longest = max(longest, k)
+            at = np.flatnonzero(runs_t == runs_p[p])
+            at = at[common[at] >= s]
+            if not len(at):
+                continue
+            k = common[at]
+            longest = max(longest, int(k.max()))
+            if len(at) > most:
+                at = np.concatenate([at[k == x][:most] for x in np.unique(k)])
+                k = common[at]
+            found += [(-x, p, t) for x, t in zip(k.tolist(), at.tolist(), strict=True)]
         if longest > 2 * s:
             s = longest
             continue
         again = False
         for k, p, t in sorted(found):
             if marked_p[p : p - k].any() or marked_t[t : t - k].any():
-                again = again or -k >= s and not (marked_p[p : p + s].any() or marked_t[t : t + s].any())
+                again = again or not (marked_p[p : p + s].any() or marked_t[t : t + s].any())
                 continue
             marked_p[p : p - k] = marked_t[t : t - k] = True
             tiles.append((p, t, -k))
@@ -70,6 +75,37 @@ def tile(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, i
     return tiles
 
 
+def best_covered(h: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, coded: list[tuple[int, np.ndarray]], seed: int, coverage: float) -> tuple[float, int | None, int]:
+    """(coverage, item_id, items covered enough) of a text h whose seeds at `at` are the items' (owner, place).
+
+    Tiles consist of seeds, so the tokens under an item's seeds bound its coverage. Items come by that bound, and none
+    is tiled that can neither be covered enough nor be the best.
+    """
+    by = np.argsort(owner, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, owner[by][1:] != owner[by][:-1]])
+    bounds = []
+    for i, j in zip(cuts, [*cuts[1:], len(by)], strict=True):
+        k = int(owner[by[i]])
+        item_id, pattern = coded[k]
+        under = [np.zeros(size + seed, bool) for size in (len(pattern), len(h))]
+        for x in range(seed):
+            under[0][place[by[i:j]] + x] = under[1][at[by[i:j]] + x] = True
+        bounds.append((-min(under[0].sum(), under[1].sum()) / len(pattern), item_id, pattern, under[1]))
+    best, n = (0.0, None), 0
+    for bound, item_id, pattern, inside in sorted(bounds, key=lambda x: x[:2]):
+        if -bound < coverage and (bound, item_id) > (-best[0], best[1] if best[1] is not None else item_id):
+            continue
+        # the rest of the text can't be in a tile; a gap stays one token
+        cut = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        seen = np.flatnonzero(inside)
+        part = np.insert(h[seen], np.searchsorted(seen, cut), np.uint64(0))
+        share = sum(t[2] for t in tile(pattern, part, seed)) / len(pattern)
+        n += share >= coverage
+        if best[1] is None or (-share, item_id) < (-best[0], best[1]):
+            best = (share, item_id)
+    return *best, n
+
+
 def tile_documents(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, item_block: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, coverage, n_items, contaminated, tag): each document's best covered benchmark item.
 
@@ -80,7 +116,7 @@ def tile_documents(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cove
     doc_id is judged by itself. An empty benchmark leaves every row clean; empty documents give no rows.
 
     Benchmark items are broadcast in blocks of at most item_block, each of which all documents pass once; documents
-    and items meet on the hashes of shared seeds, and only such pairs are tiled.
+    and items meet on the hashes of shared seeds, and of such pairs only those are tiled whose seeds cover enough.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -96,11 +132,12 @@ def tile_documents(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cove
         coded = [x for x in coded if len(x[1]) >= seed]
         keys = np.concatenate([grams(h, seed) for _, h in coded] or [np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(coded)), [len(h) - seed + 1 for _, h in coded]) if coded else np.zeros(0, int)
+        place = np.concatenate([np.arange(len(h) - seed + 1) for _, h in coded] or [np.zeros(0, int)])
         by = np.argsort(keys, kind="stable")
-        shared = spark.sparkContext.broadcast((coded, keys[by], owner[by]))
+        shared = spark.sparkContext.broadcast((coded, keys[by], owner[by].astype(np.int32), place[by].astype(np.int32)))
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coded, keys, owner = shared.value
+            coded, keys, owner, place = shared.value
             words, bits = Hashes(), np.zeros(1 << FILTER_BITS, bool)
             bits[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             for b in batches(rows, 500):
@@ -110,24 +147,10 @@ def tile_documents(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cove
                     g = grams(h, seed)
                     at = np.flatnonzero(bits[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
                     lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
-                    at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-                    scored = []
-                    if len(at):
-                        hit = np.concatenate([owner[i:j] for i, j in zip(lo, hi, strict=True)])
-                        where = np.repeat(at, hi - lo)
-                        for k in np.unique(hit):
-                            item_id, pattern = coded[k]
-                            # a tile consists of seeds, so the rest of the text can't be in one; a gap stays one token
-                            inside = np.zeros(len(h) + 1, bool)
-                            for j in range(seed):
-                                inside[where[hit == k] + j] = True
-                            cut = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-                            seen = np.flatnonzero(inside)
-                            part = np.insert(h[seen], np.searchsorted(seen, cut), np.uint64(0))
-                            scored.append((-sum(t[2] for t in tile(pattern, part, seed)) / len(pattern), item_id))
-                    best = min(scored, default=(0.0, None))
-                    n = sum(-c >= coverage for c, _ in scored)
-                    out.append((doc_id, best[1], -best[0] if scored else 0.0, n, n > 0, tag))
+                    many = hi - lo
+                    hit = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    best = best_covered(h, np.repeat(at, many), owner[hit], place[hit], coded, seed, coverage) if len(hit) else (0.0, None, 0)
+                    out.append((doc_id, best[1], best[0], best[2], best[2] > 0, tag))
                 yield record(schema, *(zip(*out, strict=True) if out else [[]] * 6))
 
         return tagged.mapInArrow(run, ddl)

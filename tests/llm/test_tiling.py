@@ -41,6 +41,31 @@ def test_tiles_are_the_greedy_ones():
         assert sum(k for *_, k in got) == sum(k for *_, k in want), (p, t)
 
 
+def test_every_pair_within_bounds_of_its_seeds():
+    """best_covered() passes over items by their seeds alone, and gives what tiling all of them gives."""
+    r = random.Random(2)
+    for _ in range(60):
+        items = [(i, np.asarray([1 + r.randrange(6) for _ in range(r.randrange(4, 14))], np.uint64)) for i in range(8)]
+        h = np.asarray([1 + r.randrange(6) for _ in range(40)], np.uint64)
+        hits = [(a, k, p) for a in range(38) for k, (_, x) in enumerate(items) for p in range(len(x) - 2) if (x[p : p + 3] == h[a : a + 3]).all()]
+        every = [(sum(t[2] for t in tiling.tile(x, h, 3)) / len(x), i) for i, x in items]
+        at, owner, place = (np.asarray(c, int) for c in zip(*hits))
+        share, item, n = tiling.best_covered(h, at, owner, place, items, 3, 0.5)
+        top = max((s for s, _ in every))
+        assert (share, n) == (top, sum(s >= 0.5 for s, _ in every)) and item == min(i for s, i in every if s == top)
+
+
+def test_texts_of_one_token_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    same = np.full(300_000, 7, np.uint64)
+    assert tiling.tile(np.full(30, 7, np.uint64), same, 4) == [(0, 0, 30)]
+    two = np.tile(np.asarray([7, 8], np.uint64), 150_000)
+    assert sum(k for *_, k in tiling.tile(np.asarray([7, 8] * 9 + [7, 7] + [8, 7] * 5, np.uint64), two, 4)) == 30
+    assert time.time() - began < 20
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, item_id int")
 
