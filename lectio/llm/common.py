@@ -16,10 +16,16 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES, ARROW_ROWS = 300_000, 1000
 
 
+#: Paths of tables that written() made and nothing deleted yet, in order.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master may do without and gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lectio-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,16 +35,47 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again."""
     path = f"{shared_dir(df.sparkSession)}/lectio/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    _MADE[path] = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        if _MADE.pop(p, None):
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables that written() made, once nothing lazy reads them any more."""
+    """Delete tables that written() made, once nothing lazy reads them any more; other frames stay."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        for f in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(f.rpartition("/")[0])
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, [p for p in [getattr(df, "table_path", None)] if p])
+
+
+def tables() -> set[str]:
+    """The tables that stand now, for discard_since()."""
+    return set(_MADE)
+
+
+def discard_since(before: set[str], *keep: DataFrame) -> None:
+    """Delete what was written since, but the tables of keep, once nothing lazy reads the others."""
+    kept = {d.table_path for d in keep}
+    _delete(keep[0].sparkSession, [p for p in _MADE if p not in before and p not in kept])
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """written(make()), after which all tables that make() wrote on its way are deleted."""
+    before = tables()
+    out = written(make())
+    discard_since(before, out)
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this process has written and not deleted yet; no result may be read after it."""
+    _delete(spark, list(_MADE))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -123,6 +160,30 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def evenly(many: DataFrame, one: DataFrame, key: str, how: str = "inner", share: int = 1000, counted: DataFrame | None = None) -> DataFrame:
+    """many.join(one, key), where no key's rows meet in one task: those of a key with more than a `share`-th of all rows,
+    of which there are less than `share`, are dealt by a salt, and the key's row of `one` goes to each salt.
+
+    key is unique in one. how: inner or left. Rows of a null key, which match nothing, aren't shuffled. counted: a table
+    that has the keys as often as many does and is read faster.
+    """
+    spark, named = many.sparkSession, many.where(F.col(key).isNotNull())
+    counted = (many if counted is None else counted).where(F.col(key).isNotNull())
+    most, n = max(share, counted.count() // share), counted.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = [(r[0], -(-r[1] // most)) for r in n.where(F.col("_n") > most).collect()]  # fewer than share rows
+    if hot:
+        salts = F.broadcast(spark.createDataFrame(hot, f"{key} {many.schema[key].dataType.simpleString()}, _salts long"))
+        dealt = named.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*[c for c in many.columns if c != key]), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+        each = one.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        out = dealt.join(each, [key, "_salt"], how).drop("_salt")
+    else:
+        out = named.join(one, key, how)
+    if how == "inner":
+        return out
+    none = many.where(F.col(key).isNull())
+    return out.unionByName(none.select("*", *[F.lit(None).cast(one.schema[c].dataType).alias(c) for c in one.columns if c != key]))
+
+
 def extended(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes (node, component) after further links (a, b); only the classes that links touch are walked again."""
     if links.isEmpty():

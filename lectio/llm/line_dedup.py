@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import batches, discard, mixed, per_document, record, texts, written
+from lectio.llm.common import batches, evenly, mixed, per_document, record, texts, written
 from lectio.llm.ngram_join import CHUNK, _pack, _unpack, summed_chunks
 
 #: Lines a rolling hash spans, one in how many line ends is a boundary, least and most lines of a chunk, buckets of the chunk counts.
@@ -131,7 +131,7 @@ def _removed(docs: DataFrame, spans: Spans, carry: tuple[str, ...], buckets: int
     place = F.struct("doc_id", "tag", "i", "j")
     firsts = written(held.groupBy("sha").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
     overlaps = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("tag") == F.col("first.tag")) & (F.col("i") < F.col("first.j"))  # the first place itself too
-    cut = held.join(firsts.select("sha", "first"), "sha").where(~overlaps)
+    cut = evenly(held, firsts.select("sha", "first"), "sha").where(~overlaps)
     marks = cut.select("doc_id", "tag", F.encode(F.concat_ws(" ", "i", "j"), "utf-8").alias("payload"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 

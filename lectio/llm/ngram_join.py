@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import Hashes, batches, components, discard, extended, grams, partitions, record, texts, written
+from lectio.llm.common import Hashes, batches, components, discard, discard_since, evenly, extended, grams, partitions, record, tables, texts, written
 
 #: Buckets of the n-gram counts (4 bytes each, sent to every executor), counts in one shuffled row, postings a task holds before it deals them out.
 BUCKETS, CHUNK, HELD = 1 << 22, 1 << 16, 2_000_000
 #: Groups of tasks whose n-gram counts are summed before the sums are.
 GROUPS = 64
+#: Shingles whose postings a task reads, and tasks of a shuffle at most.
+SHINGLES, TASKS = 12_000_000, 20_000
 #: Rounds in which postings meet their n-gram's most linked set before the rest meets across classes.
 HUBS = 1
 #: Postings of a class at an n-gram up to which its members are met one by one.
@@ -242,8 +244,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield record(schema, b.column(0).filter(ok), b.column(1).filter(ok))
 
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+    # a set that many are compared with is dealt out, as each pair takes a copy of it along
+    left = evenly(pairs, sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a", share=100)
+    both = evenly(left, sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b", share=100, counted=pairs).select("a", "b", "ga", "gb")
     return written(both.mapInArrow(compare, "a long, b long"))
 
 
@@ -297,9 +300,36 @@ def classes_of(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     class tells classes apart that have the same smallest doc_id, as a repeated doc_id with other texts can make them;
     it is null where the row is its own class for want of shingles or of a doc_id.
     """
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
+    keys, named, links = _joined(docs, n, num, den, buckets)
+    discard(links)
+    return _members(keys, named)
+
+
+def classes_and_links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """classes_of(), and (a, b): verified links between documents, each the smallest that has its set, that connect every class.
+
+    A pair of sets within a class that other links connect already isn't tried, so these are not all its links. Equal
+    sets have no pair; the table of classes says which they are. a <= b; the two are the same only where a doc_id is
+    repeated with other texts.
+    """
+    keys, named, links = _joined(docs, n, num, den, buckets)
+    reps = keys.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    of = lambda c: reps.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"))
+    pairs = links.join(of("a"), "a").join(of("b"), "b")
+    return _members(keys, named), pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+
+
+def _members(keys: DataFrame, named: DataFrame) -> DataFrame:
+    return evenly(keys, named, "key", "left").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, tag, n, key), classes of keys (key, component_id, class), and the links (a, b) between keys."""
+    spark, before = docs.sparkSession, tables()
     first = written(_keys(docs, n, buckets))
     keys = first.where("chunk is null").select("doc_id", "tag", "n", "key")
+    shingles = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    parts = min(TASKS, max(partitions(spark), shingles // SHINGLES))
     order, size = np.zeros(buckets, np.uint32), min(CHUNK, buckets)
     for c, blob in summed_chunks(first.where("chunk is not null")).toLocalIterator():  # buckets * 4 bytes at most, however large the corpus
         order[c * size : (c + 1) * size] = _unpack(bytes(blob))
@@ -315,8 +345,8 @@ def classes_of(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
     best = shared.groupBy("key").agg(F.max(F.struct("n", F.bitwise_not("leader").alias("not_leader"))).alias("m")).withColumn("leader", F.bitwise_not("m.not_leader"))
     best = best.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
     best = written(best.distinct())
-    sets = _sets(_ends(shared), reps, docs, n)
-    tried, links = best, _verify(best, sets, num, den)
+    sets, tried = _sets(_ends(shared), reps, docs, n), best
+    links = _verify(best, sets, num, den)
     classes = written(components(links))
 
     def checked(more: DataFrame) -> DataFrame:
@@ -339,9 +369,10 @@ def classes_of(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bucke
         rows = _mixed(rows, classes)
 
     more = written(_across(rows, num, den).join(tried, ["a", "b"], "left_anti"))
-    final = extended(classes, checked(more))
+    found = checked(more)
+    links, final = written(links.unionByName(found)), extended(classes, found)
     named = reps.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
     low = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = written(named.join(low, "c").select("key", "component_id", F.col("c").alias("class")))
-    discard(shared, best, posted)
-    return keys.join(named, "key", "left").select("doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    discard_since(before, first, named, links)
+    return keys, named, links

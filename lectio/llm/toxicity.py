@@ -14,6 +14,8 @@ from lectio.llm.features import sampled_texts, sigmoid
 
 #: Words of a window and from one window's start to the next; labelled documents of each class that the fit may take.
 WINDOW, STRIDE, EACH = 48, 32, 1200
+#: Bytes of a labelled text that the fit may take.
+MOST_BYTES = 1 << 16
 #: Passes over the sample, more where that makes fewer than so many updates.
 EPOCHS, UPDATES = 12, 400
 #: Hash bits of the word and the character inputs, width of an input, units in each direction.
@@ -253,9 +255,13 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(np.concatenate(logit).astype(float), cuts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, epochs: int = EPOCHS) -> Network | None:
-    """labels: (doc_id, label 0 or 1). Fitted on whole texts of at most `each` documents a label; None if a label is missing."""
-    got = sorted((bytes(r.text), int(r.label)) for r in sampled_texts(docs, labels, "label", each).collect())
+def fit(docs: DataFrame, labels: DataFrame, each: int = EACH, epochs: int = EPOCHS, most_bytes: int = MOST_BYTES) -> Network | None:
+    """labels: (doc_id, label 0 or 1). Fitted on whole texts of at most `each` documents a label, none longer than most_bytes.
+
+    So the driver holds at most 2 * each * most_bytes of text. None if a label is missing from what is left; rows of a
+    null doc_id or label don't count.
+    """
+    got = sorted((bytes(r.text), int(r.label)) for r in sampled_texts(docs, labels, "label", each, most_bytes=most_bytes).collect())
     net = train(got, epochs)
     if net:  # the sample holds the labels in other shares than the corpus does
         every = {int(r.label): r["count"] for r in labels.where("label is not null").groupBy("label").count().collect()}

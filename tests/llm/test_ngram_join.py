@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectio.llm import ngram_join as nj
-from lectio.llm.common import components
+from lectio.llm.common import components, evenly
 
 
 def shingles(text, n):
@@ -127,3 +127,34 @@ def test_other_texts_under_a_doc_id_are_classed_as_themselves(spark):
         got = nj.classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), buckets=1 << 10).collect()
         assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
         assert len({x["class"] for x in got}) == 36
+
+
+def test_links_connect_the_classes(spark):
+    rows = corpus(11)
+    sets = {d: shingles(t, 4) for d, t in rows}
+    classes, links = nj.classes_and_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), buckets=1 << 10)
+    pairs = sorted(map(tuple, links.collect()))
+    assert pairs and len(set(pairs)) == len(pairs)
+    assert all(a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in pairs)
+    up = {d: min(x for x, s in sets.items() if s and s == sets[d]) if sets[d] else d for d in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert {d: root(d) for d in sets} == {x.doc_id: x.component_id for x in classes.collect()}
+
+
+@pytest.mark.parametrize("share", [3, 1000])
+def test_a_hot_key_is_dealt_and_gives_the_same_join(spark, share):
+    many = [(k, i) for i, k in enumerate([1] * 200 + [2] * 90 + [3, 4, 5, None, None])]
+    one = [(1, "a", None), (2, "b", 1), (3, "c", 2), (9, "d", 3)]
+    m, o = spark.createDataFrame(many, "k long, i long"), spark.createDataFrame(one, "k long, x string, y long")
+    for how in ("inner", "left"):
+        got = evenly(m, o, "k", how, share)
+        assert got.columns == ["k", "i", "x", "y"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, m.join(o, "k", how).collect()), key=repr)
