@@ -51,7 +51,7 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 def discard(*frames: DataFrame) -> None:
     """Delete tables that written() made, once nothing lazy reads them any more; other frames stay."""
     for df in frames:
-        _delete(df.sparkSession, [p for p in [getattr(df, "table_path", None)] if p])
+        _delete(df.sparkSession, [p for p in [vars(df).get("table_path")] if p])
 
 
 def tables() -> set[str]:
@@ -124,6 +124,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Which bytes are ASCII white space, and the low n bytes of eight.
+_GAP = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+_LOW = np.asarray([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes from which a word is hashed by itself.
+_LONG = 256
+
+
+def split_words(texts_: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(words with one space after each, words in each text, bytes of each word, 64-bit hash of each word), as bytes.split() has them."""
+    raw = b"\n".join(t or b"" for t in texts_) + b"\n"
+    data = np.frombuffer(raw, np.uint8)
+    gap = _GAP[data]
+    word = ~gap
+    turn = np.flatnonzero(np.diff(np.r_[False, word]))
+    start, size = turn[::2], turn[1::2] - turn[::2]
+    ends = np.cumsum([len(t or b"") + 1 for t in texts_])
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    word[turn[1::2]] = True  # and the gap's first byte
+    plain = np.where(gap, np.uint8(32), data)[word].tobytes()
+    eight = np.ndarray((len(data),), "<u8", raw + bytes(8), 0, (1,))
+    h, live, done = np.zeros(len(start), np.uint64), np.flatnonzero(size < _LONG), 0
+    while len(live):
+        h[live] = mixed(h[live] * np.uint64(0x9E3779B97F4A7C15) + (eight[start[live] + done] & _LOW[np.minimum(size[live] - done, 8)]) + np.uint64(1))
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size >= _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + size[i]])
+    return plain, counts, size, h
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word runs that start at each word; fewer words than n give none."""
     if len(h) < n:
