@@ -105,6 +105,18 @@ def needles(texts: DataFrame, subject: str, text: str, terms: DataFrame, whiteli
     return d.join(n, hit).select("subject", "needle")
 
 
+def whole_words(texts: DataFrame, subject: str, text: str, words: list[str], rule: str = "legacy word") -> DataFrame:
+    """Lines that have one of the words whole, in whatever case: the subject with its line number, and the word.
+
+    Only texts with a hit are taken apart into lines.
+    """
+    whole = lambda w: rf"(?i)(?<![\p{{L}}\p{{N}}_])\Q{w}\E(?![\p{{L}}\p{{N}}_])"
+    some = texts.select(F.col(subject).cast("string").alias("s"), F.col(text).alias("t")).where(reduce(Column.__or__, [F.col("t").rlike(whole(w)) for w in words]))
+    lines = some.select("s", F.posexplode(F.split("t", r"\r\n|\n|\r")).alias("at", "line"))
+    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(whole(w)), F.lit(w)) for w in words]))
+    return lines.select(F.lit(rule).alias("rule"), F.concat_ws(":", "s", (F.col("at") + 1).cast("string")).alias("subject"), F.explode(hits).alias("detail"))
+
+
 def immutable_fields(head: DataFrame, staged: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Fields of rows in both that had a value and have another now."""
     j = head.select(key, *[F.col(f).alias(f"_h_{f}") for f in fields]).join(staged.select(key, *[F.col(f).alias(f"_s_{f}") for f in fields]), key)

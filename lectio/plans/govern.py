@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
+import tomllib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectio.functions import views
 from lectio.functions.scalars import package_name, version_admitted, visible_text
+from lectio.operators import schema
 from lectio.operators import validate as v
 from lectio.sources import documents
 
@@ -18,6 +24,10 @@ MOST_BYTES = 5 * 1024 * 1024
 # Bodies that stand where a statement should and say nothing, and fields a sign-off needs.
 PLACEHOLDERS = ("tbd", "todo", "tba", "n/a", "na", "none", "nil", "xxx", "pending", "coming soon")
 SIGNOFF_FIELDS = ("Version", "Authorized by", "Authorization", "Signed off")
+#: A requirement: a package's name, its extras in brackets, its specifier; what follows a semicolon is a condition.
+REQUIREMENT = re.compile(r"\s*(?P<name>[A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?P<pin>[^;@]*)")
+#: Documents that are checked against a schema of the same tree, where both are there.
+SCHEMAS = {"leaderboard.json": "schemas/leaderboard.schema.json", "iaa_report.json": "schemas/iaa_report.schema.json"}
 IMMUTABLE = ("manuscript", "book", "folio", "gt_hash", "gt_source")
 
 
@@ -56,11 +66,20 @@ def front_matter(cards: DataFrame, keys: tuple[str, ...] = ("language:", "licens
 
 
 def digests(files: DataFrame, recorded: DataFrame) -> DataFrame:
-    """recorded (id, source, digest), source as "path@revision (…)": files whose sha256 isn't the recorded one."""
-    path = F.regexp_extract("source", r"^([^@\s]+)", 1)
-    j = recorded.where("digest is not null").withColumn("path", path).join(files.select("path", "sha256"), "path", "left")
-    bad = j.where(~F.coalesce(F.col("sha256").startswith(F.col("digest")), F.lit(False)))
-    return bad.select(F.when(F.col("sha256").isNull(), "file missing").otherwise("digest differs").alias("rule"), F.col("id").cast("string").alias("subject"), F.col("path").alias("detail"))
+    """recorded (id, source, digest) of frozen folios, source as "path@revision (…)", against files (path, sha256).
+
+    A digest is the first 16 lower-case hexadecimal digits of the file's sha256, no more and no fewer, and says which
+    file it is of. Each row breaks the first rule that it meets; no rows at all are a violation too.
+    """
+    head = F.substring_index("source", " ", 1)
+    j = recorded.withColumn("path", F.regexp_extract(head, r"(?s)^(.*)@", 1)).join(files.select("path", "sha256"), "path", "left")
+    rule = (
+        F.when(F.col("digest").isNull(), "no digest").when(~F.col("digest").rlike(r"\A[0-9a-f]{16}\z"), "malformed digest")
+        .when(F.coalesce("source", F.lit("")) == "", "no source").when(~F.contains(head, F.lit("@")), "source without revision")
+        .when(F.col("sha256").isNull(), "file missing").when(F.left("sha256", F.lit(16)) != F.col("digest"), "digest differs")
+    )
+    none = recorded.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("nothing frozen").alias("rule"), F.lit("").alias("subject"), F.lit("").alias("detail"))
+    return j.select(rule.alias("rule"), F.col("id").cast("string").alias("subject"), F.col("path").alias("detail")).where("rule is not null").unionByName(none)
 
 
 def successor(head: DataFrame, staged: DataFrame, head_log: DataFrame, staged_log: DataFrame, head_frozen_at: str, staged_frozen_at: str, reason: str = r"^phase \d+(\.\d+)?: ") -> DataFrame:
@@ -89,14 +108,19 @@ def sections(texts: DataFrame) -> DataFrame:
 
 
 def versioned(texts: DataFrame, tag: str) -> DataFrame:
-    """The first section whose heading names the tag as a whole word."""
-    hit = sections(texts).where(F.col("heading").rlike(rf"(?<![\w.-]){re.escape(tag)}(?=\s|$)"))
+    """The first section whose heading has the tag at the end of a word, and not as the end of a longer name or version."""
+
+    def names(word):
+        before = F.substr(word, F.length(word) - len(tag), F.lit(1))
+        return F.endswith(word, F.lit(tag)) & ((F.length(word) == len(tag)) | ~before.rlike(r"[\p{L}\p{N}_.-]"))
+
+    hit = sections(texts).where(F.exists(views.tokens(F.col("heading")), names))
     return hit.groupBy("path").agg(F.min_by("body", "at").alias("body"))
 
 
 def substantive(body):
     """Whether a body says something once it is read as a reader sees it."""
-    plain = F.lower(F.trim(F.regexp_replace(visible_text(body), r"[\s*_`>#.\-]+", " ")))
+    plain = F.lower(F.trim(F.regexp_replace(visible_text(body), rf"[{views.SPACE}*_`>#.\-]+", " ")))
     return (plain != "") & ~plain.isin(*PLACEHOLDERS)
 
 
@@ -123,13 +147,63 @@ def _or_missing(d: DataFrame, found: DataFrame, rule: str, subject: str) -> Data
     return found.unionByName(none)
 
 
+PIN = T.StructType([T.StructField(c, T.StringType()) for c in ("package", "specifier", "extra")])
+
+
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("version", T.StringType()), T.StructField("pins", T.ArrayType(PIN))]))
+def project(toml: pd.Series) -> pd.DataFrame:
+    """Name, version and requirements of a project file, optional ones with their group; nulls and no requirements for what isn't one."""
+
+    def of(text: str | None) -> dict:
+        try:
+            p = tomllib.loads(text or "").get("project")
+        except tomllib.TOMLDecodeError:
+            p = None
+        p = p if isinstance(p, dict) else {}
+        optional = p.get("optional-dependencies")
+        groups = [(None, p.get("dependencies")), *(optional.items() if isinstance(optional, dict) else ())]
+        wanted = [(extra, REQUIREMENT.match(r)) for extra, rs in groups if isinstance(rs, list) for r in rs if isinstance(r, str)]
+        pins = [{"package": m["name"], "specifier": (m["pin"] or "").strip(" ()"), "extra": extra} for extra, m in wanted if m]
+        return {**{k: p[k] if isinstance(p.get(k), str) else None for k in ("name", "version")}, "pins": pins}
+
+    return pd.DataFrame([of(t) for t in toml], columns=["name", "version", "pins"])
+
+
+def consumers(files: DataFrame) -> DataFrame:
+    """(path, consumer, package, specifier, extra) of every requirement in project files (path, value)."""
+    p = files.select("path", project("value").alias("p"))
+    return p.select("path", F.col("p.name").alias("consumer"), F.explode("p.pins").alias("x")).select("path", "consumer", "x.*")
+
+
+def changed_versions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, package, version) of project files (path, value) whose version isn't the old one's; a new file counts as changed."""
+    of = lambda d, *as_: d.select("path", project("value").alias("p")).select("path", F.col("p.name").alias(as_[0]), F.col("p.version").alias(as_[1]))
+    j = of(new, "package", "version").where("package is not null and version is not null").join(of(old, "_name", "_version"), "path", "left")
+    return j.where(~F.col("version").eqNullSafe(F.col("_version"))).select("path", "package", "version")
+
+
 def version_cascade(changes: DataFrame, consumers: DataFrame) -> DataFrame:
-    """changes (package, version), consumers (consumer, package, specifier): pins that the new version breaks, itself left out."""
-    c = changes.select(package_name(F.col("package")).alias("p"), "version")
-    j = consumers.withColumn("p", package_name(F.col("package"))).join(c, "p").where(package_name(F.col("consumer")) != F.col("p"))
+    """changes (package, version), consumers (consumer, package, specifier): pins that the new version breaks, itself left out.
+
+    Where both have a path, the changed package's own file is left out instead of the consumer of its name. A pin
+    without a specifier admits every version.
+    """
+    by_path = "path" in changes.columns and "path" in consumers.columns
+    c = changes.select(package_name(F.col("package")).alias("p"), "version", *([F.col("path").alias("own")] if by_path else []))
+    j = consumers.withColumn("p", package_name(F.col("package"))).join(c, "p")
+    j = j.where(F.col("path") != F.col("own")) if by_path else j.where(package_name(F.col("consumer")) != F.col("p"))
     return j.where(~version_admitted("version", "specifier")).select(F.lit("pin doesn't admit").alias("rule"), F.col("consumer").alias("subject"), F.concat_ws(" ", "p", "specifier", "version").alias("detail"))
 
 
+def catalog(entries: DataFrame, schema_of_entry: dict, folios: DataFrame) -> DataFrame:
+    """entries (at, value as JSON) of a catalog: each valid, ids unique, and an entry for every manuscript of the folios; no entries is a violation."""
+    ids = entries.select(F.get_json_object("value", "$.id").alias("id")).where("id is not null")
+    labelled = entries.withColumn("label", F.coalesce(F.get_json_object("value", "$.id"), F.concat(F.lit("entry "), F.col("at").cast("string"))))
+    wanted = folios.where("manuscript is not null").select(F.col("manuscript").alias("id"))
+    none = entries.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no entries").alias("rule"), F.lit("").alias("subject"), F.lit("").alias("detail"))
+    return v.all_of(schema.violations(labelled, "label", "value", schema_of_entry), v.duplicates(ids, "id"), v.referenced(wanted, ids, "id", "no catalog entry"), none)
+
+
 def reverified(metrics: DataFrame, pinned: DataFrame, tolerance: float = 5e-5) -> DataFrame:
     """pinned (metric, value): values that recomputing (metric, point) doesn't give."""
     j = pinned.join(metrics.select("metric", "point"), "metric", "left")
@@ -137,8 +211,11 @@ def reverified(metrics: DataFrame, pinned: DataFrame, tolerance: float = 5e-5) -
     return bad.select(F.lit("pinned value").alias("rule"), F.col("metric").alias("subject"), F.concat_ws(" ", F.col("value").cast("string"), F.col("point").cast("string")).alias("detail"))
 
 
-def audit(spark: SparkSession, root: str, manuscript: str, book: str, terms: DataFrame, whitelist: DataFrame | None = None, release: bool = False, folders: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
-    """All release checks of a tree with manifest.json, results/<baseline>/*.json and README.md, as one table."""
+def audit(spark: SparkSession, root: str, manuscript: str, book: str, terms: DataFrame, whitelist: DataFrame | None = None, release: bool = False, folders: list[str] | None = None, extensions: list[str] | None = None, legacy: list[str] | None = None, legacy_allowed: tuple[str, ...] = ()) -> DataFrame:
+    """All release checks of a tree with manifest.json, results/<baseline>/*.json and README.md, as one table.
+
+    legacy: words that no file may have any more, but those at the paths (from the root) in legacy_allowed.
+    """
     man = documents.manifest(spark, f"{root}/manifest.json").persist()
     folios, files = documents.folios(man), documents.files(spark, root, content=False)
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,md,txt,yaml}").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -156,6 +233,14 @@ def audit(spark: SparkSession, root: str, manuscript: str, book: str, terms: Dat
         v.promised(expected, shipped, "baseline"),
         front_matter(texts.where(F.col("path").endswith("/data/README.md"))),
     ]
+    at_root = lambda name: texts.where(F.col("path").endswith(f"{root.rstrip('/').rpartition('/')[2]}/{name}"))
+    for name, schema_name in SCHEMAS.items():
+        if rules := at_root(schema_name).first():
+            found.append(schema.violations(at_root(name), "path", "value", json.loads(rules.value), f"schema of {name}"))
+    if legacy:
+        kept = [at_root(p).select("path") for p in legacy_allowed]
+        rest = texts.join(v.all_of(*kept), "path", "left_anti") if kept else texts
+        found.append(v.whole_words(rest, "path", "value", legacy))
     if release:
         found.append(report_status(texts.where(F.col("path").endswith("/iaa_report.json"))))
     return v.all_of(*found)

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import os
 import shutil
+import time
 import warnings
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -97,18 +98,28 @@ class Staging:
         if kind is None:
             shutil.rmtree(self.stage, ignore_errors=True)
 
-    def write(self, folio: str, data: dict, diagnostic: dict | None = None, check: Callable[[dict], None] | None = None) -> None:
+    def write(self, folio: str, data: dict, diagnostic: dict | None = None, check: Callable[[dict], None] | None = None, beside: dict[str, dict] | None = None) -> None:
+        """A folio's document, its diagnostic and the documents (name -> data) of its own folder."""
         atomic_json(data, self.stage / f"{folio}.json", check)
         if diagnostic is not None:
             atomic_json(diagnostic, self.stage / "diagnostic" / f"{folio}.gt_fed.json")
+        for name, document in (beside or {}).items():
+            atomic_json(document, self.stage / folio / name)
 
     def promote(self, folio: str, manifest_path: str | Path, bump: Callable[[dict], dict]) -> None:
-        """Move a folio's documents and write its manifest, or neither."""
-        names = [f"{folio}.json", *(n for n in (f"diagnostic/{folio}.gt_fed.json",) if (self.stage / n).exists())]
-        moved = []
+        """Move a folio's document, its folder and its diagnostic, and write its manifest, or none of them.
+
+        A folder that stood in the final place is put aside until all is done, and put back if it isn't.
+        """
+        if not (self.stage / f"{folio}.json").exists():
+            raise FileNotFoundError(self.stage / f"{folio}.json")
+        names = [f"{folio}.json", *(n for n in (folio, f"diagnostic/{folio}.gt_fed.json") if (self.stage / n).exists())]
+        moved, aside = [], self.stage / f".{folio}.before"
         try:
             for n in names:
                 (self.final / n).parent.mkdir(parents=True, exist_ok=True)
+                if (self.final / n).is_dir():
+                    os.replace(self.final / n, aside)
                 os.replace(self.stage / n, self.final / n)
                 moved.append(n)
                 _settled(self.final / n)
@@ -117,7 +128,20 @@ class Staging:
         except BaseException:
             for n in reversed(moved):
                 os.replace(self.final / n, self.stage / n)
+            if aside.exists():
+                os.replace(aside, self.final / folio)
             raise
+        shutil.rmtree(aside, ignore_errors=True)
+
+    def promote_all(self) -> None:
+        """Move everything of the run; each file at once, a folder in place of the one that stood there. The last step of a run."""
+        self.final.mkdir(parents=True, exist_ok=True)
+        for source in sorted(self.stage.iterdir()):
+            target = self.final / source.name
+            if target.is_dir():
+                shutil.rmtree(target)
+            os.replace(source, target)
+            _settled(target)
 
     def count(self) -> int:
         return len([p for p in self.final.glob("*.json") if p.name != "run_meta.json"])
@@ -131,24 +155,64 @@ def _settled(path: Path) -> None:
         os.close(fd)
 
 
-def run(baseline: str, folios: DataFrame, wanted: DataFrame, infer: Callable[[DataFrame], DataFrame], root: str | Path, manifest_path: str | Path, meta: dict | None = None, check: Callable[[dict], None] | None = None) -> int:
+def affordable(estimates: DataFrame, manifest: dict) -> None:
+    """estimates (id, usd): raise before any call if a folio, or all together, would go over the manifest's caps."""
+    per_folio, per_run = cost_caps(manifest)
+    e = estimates.agg(F.coalesce(F.sum("usd"), F.lit(0.0)).alias("all"), F.max_by("id", "usd").alias("id"), F.coalesce(F.max("usd"), F.lit(0.0)).alias("most")).first()
+    if e.most > per_folio:
+        raise BudgetExceeded(f"{e.id}: {e.most} USD expected, {per_folio} allowed a folio")
+    if e.all > per_run:
+        raise BudgetExceeded(f"{e['all']} USD expected, {per_run} allowed a run")
+
+
+def run(
+    baseline: str, folios: DataFrame, wanted: DataFrame, infer: Callable[[DataFrame], DataFrame], root: str | Path, manifest_path: str | Path,
+    meta: dict | None = None, check: Callable[[dict], None] | None = None, estimates: DataFrame | None = None, meta_check: Callable[[dict], None] | None = None,
+) -> int:
     """Predict the wanted folios and promote each with its manifest; returns how many reports stand.
 
+    In this order: every wanted folio is in the frozen scope; the estimates, if any, keep to the manifest's caps; then,
+    folio by folio, its scope once more by the manifest as it stands, its document checked and written, and promoted;
+    last the run's own document, checked too, and the count. A failure leaves the staged documents where they are.
+
     folios: the manifest's, with in_frozen_scope; infer: folios -> (folio_id, value) prediction documents as JSON,
-    distributed however it likes. Documents arrive one at a time, in order of folio.
+    distributed however it likes, and called for folios in scope alone. Documents arrive one at a time, in order of folio.
     """
     frozen = folios.where("in_frozen_scope")
     preflight(wanted, frozen)
+    stands = lambda: json.loads(Path(manifest_path).read_text(encoding="utf-8"))
+    if estimates is not None:
+        affordable(estimates.join(wanted.select("id"), "id", "left_semi"), stands())
     made = infer(frozen.join(wanted.select("id"), "id", "left_semi"))
     with Staging(root, baseline) as s:
         for r in made.orderBy("folio_id").toLocalIterator():
+            if not any(f.get("id", f.get("folio_id")) == r.folio_id and f.get("in_frozen_scope", True) for f in stands()["folios"]):
+                raise ScopeViolation(f"not in the frozen scope: {r.folio_id}")
             s.write(r.folio_id, json.loads(r.value), check=check)
             s.promote(r.folio_id, manifest_path, lambda m, f=r.folio_id: bumped(m, baseline, f))
-        atomic_json({"baseline_id": baseline, **(meta or {})}, s.final / "run_meta.json")
-        check_counts(json.loads(Path(manifest_path).read_text(encoding="utf-8")), baseline, s.count())
+        atomic_json({"baseline_id": baseline, **(meta or {})}, s.final / "run_meta.json", meta_check)
+        check_counts(stands(), baseline, s.count())
         return s.count()
 
 
+def attempted(call: Callable[[dict], object], request: dict, usd: float, charge: Callable[[float], None], retryable: tuple[type[Exception], ...], attempts: int = 3, base: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> tuple[object, float]:
+    """(response, USD charged): a call tried again after an error that may pass, each try charged before it is made.
+
+    The pause doubles from `base` seconds; the last error is raised, other errors at once. charge raises at a cap.
+    """
+    spent = 0.0
+    for k in range(attempts):
+        charge(usd)
+        spent += usd
+        try:
+            return call(request), spent
+        except retryable:
+            if k == attempts - 1:
+                raise
+            sleep(base * 2**k)
+    raise ValueError("no attempt allowed")
+
+
 def cost_caps(manifest: dict) -> tuple[float, float]:
     """(per folio, per run) in USD; only the manifest sets them, so a manifest without either refuses the run."""
     caps = manifest.get("cost_caps_usd") or {}

@@ -6,10 +6,11 @@ import json
 import os
 import tempfile
 from pathlib import Path
-from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that a line of an append-only log may have, newline included, so that one write is one block.
 LOG_LINE = 4096
@@ -84,11 +85,44 @@ def prediction_json(predictions: DataFrame) -> DataFrame:
     return predictions.select("folio_id", F.to_json(F.struct(*[c for c in predictions.columns]), {"ignoreNullFields": "true"}).alias("value"))
 
 
-def page_xml(lines: list[dict], image: str, width: int, height: int) -> str:
-    """A page-layout document of one folio's lines (line_id, bbox, text, conf), byte for byte the same for the same lines."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15">', f'  <Page imageFilename={quoteattr(image)} imageWidth="{width}" imageHeight="{height}">', '    <TextRegion id="region_1">']
-    for x in lines:
-        x0, y0, x1, y1 = x["bbox"]
-        conf = "" if x.get("conf") is None else f' conf="{x["conf"]:.4f}"'
-        out += [f"      <TextLine id={quoteattr(x['line_id'])}>", f'        <Coords points="{x0},{y0} {x1},{y0} {x1},{y1} {x0},{y1}"/>', f"        <TextEquiv{conf}><Unicode>{escape(x['text'])}</Unicode></TextEquiv>", "      </TextLine>"]
-    return "\n".join([*out, "    </TextRegion>", "  </Page>", "</PcGts>", ""])
+# The namespace and the frame of a page-layout document without page geometry.
+PAGE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"
+HEAD = """<?xml version='1.0' encoding='UTF-8'?>\n<PcGts xmlns="{ns}"><Metadata><Creator>{creator}</Creator></Metadata><Page imageFilename="{image}" imageWidth="0" imageHeight="0"><TextRegion id="region_{folio}"><Coords points="0,0 0,0 0,0 0,0"/>"""
+TAIL = "</TextRegion></Page></PcGts>"
+
+
+def _escaped(c: Column, attribute: bool = False) -> Column:
+    """Text as an XML serialiser writes it."""
+    pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")] + ([('"', "&quot;"), ("\n", "&#10;"), ("\t", "&#9;")] if attribute else [])
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+@F.pandas_udf(T.StringType())
+def _four_places(x: pd.Series) -> pd.Series:
+    # the JVM rounds a double's shortest decimal, other serialisers its exact value
+    return x.map(lambda v: None if pd.isna(v) else f"{round(float(v), 4):.4f}")
+
+
+def page_xml(lines: DataFrame, creator: str, order: str = "at", image: str | None = None) -> DataFrame:
+    """(folio_id, value): a page-layout document a folio from lines (folio_id, at, line_id, bbox, tier1, kraken_confidence).
+
+    Byte for byte the same for the same lines: no times, a fixed order, the text as it is. A line's number is that of
+    its id's suffix _L<number>, else its place. image: a column with the image's name; else it is <folio_id>.jpg. A
+    folio without lines has no rows here and so no document.
+    """
+    number = F.coalesce(F.regexp_extract("line_id", r"_L([0-9]+)$", 1).try_cast("long"), F.col("_at"))
+    x0, y0, x1, y1 = (F.col("bbox")[i].cast("string") for i in range(4))
+    corner = lambda x, y: F.concat_ws(",", x, y)
+    points = F.concat_ws(" ", corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
+    conf = F.when(F.col("kraken_confidence").isNull(), "").otherwise(F.concat(F.lit(' conf="'), _four_places(F.col("kraken_confidence").cast("double")), F.lit('"')))
+    place = F.row_number().over(Window.partitionBy("folio_id").orderBy(order)).cast("long")
+    line = F.concat(F.lit('<TextLine id="line_'), number.cast("string"), F.lit('"><Coords points="'), points, F.lit('"/><TextEquiv'), conf, F.lit("><Unicode>"), _escaped(F.col("tier1")), F.lit("</Unicode></TextEquiv></TextLine>"))
+    named = F.col(image) if image else F.concat("folio_id", F.lit(".jpg"))
+    made = lines.withColumn("_at", place).select("folio_id", "_at", line.alias("line"), named.alias("image"))
+    g = made.groupBy("folio_id").agg(F.array_sort(F.collect_list(F.struct("_at", "line"))).alias("l"), F.min("image").alias("image"))
+    head = F.lit(HEAD.replace("{ns}", PAGE)).alias("head")
+    for key, c in (("{creator}", _escaped(F.lit(creator))), ("{image}", _escaped(F.col("image"), True)), ("{folio}", _escaped(F.col("folio_id"), True))):
+        head = F.replace(head, F.lit(key), c)
+    return g.select("folio_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit(TAIL)).alias("value"))

@@ -124,10 +124,33 @@ def test_sinks(spark, tmp_path):
     assert documents.json_lines(spark, log, "k int, v string").count() == 2
     with pytest.raises(Exception, match="too long"):
         sinks.append_lines(spark.createDataFrame([(1, "x" * 5000)], "k int, v string"), log)
-    xml = sinks.page_xml([{"line_id": "l1", "bbox": [0, 1, 2, 3], "text": "<ב>", "conf": 0.5}], "i.png", 10, 20)
-    p = tmp_path / "o.xml"
-    p.write_text(xml, encoding="utf-8")
-    assert page_layout.lines(spark, str(p)).first().text == "<ב>"
     assert sinks.prediction_json(spark.createDataFrame([("f", None)], "folio_id string, x string")).first().value == '{"folio_id":"f"}'
     with pytest.raises(ValueError):
         sinks.score_report({}, [], "p", "g", "", "v")
+
+
+def test_page_layout_documents_are_those_of_an_xml_writer(spark, tmp_path):
+    from xml.etree import ElementTree as E
+
+    rows = [("f", 1, "f_L007", [0, 1, 2, 3], "<ב> & \"q\" \u034f", 0.12345), ("f", 0, "odd", [4, 5, 6, 7], "", None), ("f", 2, "f_Lx", [1, 1, 1, 1], "a\rb", 0.12335), ("g&", 0, "g_L1", [0, 0, 0, 0], "x", 1.0)]
+    d = spark.createDataFrame(rows, "folio_id string, at int, line_id string, bbox array<int>, tier1 string, kraken_confidence double").repartition(3)
+    got = {r.folio_id: r.value for r in sinks.page_xml(d, "me <1>").collect()}
+    assert set(got) == {"f", "g&"}
+    for folio, value in got.items():
+        E.register_namespace("", sinks.PAGE)
+        n = lambda x: f"{{{sinks.PAGE}}}{x}"
+        top = E.Element(n("PcGts"))
+        E.SubElement(E.SubElement(top, n("Metadata")), n("Creator")).text = "me <1>"
+        region = E.SubElement(E.SubElement(top, n("Page"), imageFilename=f"{folio}.jpg", imageWidth="0", imageHeight="0"), n("TextRegion"), id=f"region_{folio}")
+        E.SubElement(region, n("Coords"), points="0,0 0,0 0,0 0,0")
+        for _, at, line_id, (x0, y0, x1, y1), text, conf in sorted(r for r in rows if r[0] == folio):
+            number = int(line_id[-1]) if line_id[-1].isdigit() else at + 1
+            line = E.SubElement(region, n("TextLine"), id=f"line_{number}")
+            E.SubElement(line, n("Coords"), points=f"{x0},{y0} {x1},{y0} {x1},{y1} {x0},{y1}")
+            equiv = E.SubElement(line, n("TextEquiv"), {} if conf is None else {"conf": f"{round(conf, 4):.4f}"})
+            E.SubElement(equiv, n("Unicode")).text = text.replace("\r", "@CR@")
+        want = "<?xml version='1.0' encoding='UTF-8'?>\n" + E.tostring(top, encoding="unicode", short_empty_elements=True)
+        want = want.replace(" />", "/>").replace("@CR@", "&#13;").replace("<Unicode/>", "<Unicode></Unicode>")
+        assert value == want
+        (tmp_path / f"{folio[0]}.xml").write_text(value, encoding="utf-8")
+    assert {r.text for r in page_layout.lines(spark, str(tmp_path / "f.xml")).collect()} >= {rows[0][4], "a\rb"}
