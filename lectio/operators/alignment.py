@@ -1,15 +1,17 @@
 """Sequence alignment of grapheme clusters and of letters.
 
-Edit totals have a native form (nested aggregate) for verse-length texts; alignments with their traceback, and long
-texts, run in Arrow batches on numpy rows.
+Where every cluster is one code point all costs are one: totals are the built-in edit distance, and alignments come from
+bit vectors of a column's differences. Otherwise totals of verse-length texts have a native form (nested aggregate), and
+alignments and long texts run in Arrow batches on numpy rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +19,9 @@ from pyspark.sql import types as T
 from lectio.functions import views
 from lectio.functions.scalars import rate
 
-#: Clusters up to which the native form is the faster one; rows of a score matrix that are kept at once.
-NATIVE_CLUSTERS, ROWS = 32, 256
+#: Clusters up to which the native form is the faster one; rows or columns of a score matrix that are kept at once;
+#: product of lengths up to which the built-in edit distance is the faster one.
+NATIVE_CLUSTERS, ROWS, BUILT_IN = 32, 256, 4_000_000
 PAIRS = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())]))
 
 
@@ -38,11 +41,13 @@ class _Matrix:
     """Rows of the alignment's score matrix, recomputed in blocks so that memory stays at ROWS rows."""
 
     def __init__(self, g: list[str], p: list[str]):
-        names_g, ig = np.unique(np.asarray(g, object), return_inverse=True) if g else (np.array([]), np.zeros(0, int))
-        names_p, ip = np.unique(np.asarray(p, object), return_inverse=True) if p else (np.array([]), np.zeros(0, int))
-        self.cost = np.asarray([[_distance(a, b) for b in names_p] for a in names_g], np.int64).reshape(len(names_g), len(names_p))[ig][:, ip] if g and p and len(g) * len(p) < 4_000_000 else None
+        codes: dict[str, int] = {}
+        names_g, self.ig = self._coded(g, codes)
+        codes = {}
+        names_p, self.ip = self._coded(p, codes)
         self.table = np.asarray([[_distance(a, b) for b in names_p] for a in names_g], np.int64).reshape(len(names_g), len(names_p))
-        self.ig, self.ip = ig, ip
+        # each distinct cluster of g against the whole of p
+        self.wide = self.table[:, self.ip] if len(names_g) * len(p) < 4_000_000 else None
         self.up = np.asarray([len(x) for x in g], np.int64)
         self.along = np.cumsum([0, *(len(x) for x in p)])
         self.starts, row = {0: self.along.copy()}, self.along.copy()
@@ -52,8 +57,13 @@ class _Matrix:
                 self.starts[i] = row
         self.last, self.block = row, (-1, [])
 
+    @staticmethod
+    def _coded(clusters: list[str], codes: dict[str, int]) -> tuple[list[str], np.ndarray]:
+        at = np.fromiter((codes.setdefault(x, len(codes)) for x in clusters), np.int64, len(clusters))
+        return list(codes), at
+
     def costs(self, i: int) -> np.ndarray:
-        return self.cost[i - 1] if self.cost is not None else self.table[self.ig[i - 1]][self.ip]
+        return self.wide[self.ig[i - 1]] if self.wide is not None else self.table[self.ig[i - 1]][self.ip]
 
     def next(self, row: np.ndarray, i: int) -> np.ndarray:
         best = row + self.up[i - 1]
@@ -70,29 +80,90 @@ class _Matrix:
             self.block = (k, rows)
         return self.block[1][i - k]
 
+    def score(self, i: int, j: int) -> int:
+        return self.row(i)[j]
 
-def align_clusters(g: list[str], p: list[str]) -> list[tuple[str | None, str | None]]:
-    """The optimal alignment; ties go to the pair, then to a deletion from g, then to an insertion from p."""
-    m, out, i, j = _Matrix(g, p), [], len(g), len(p)
+
+class _Unit:
+    """The same matrix where all costs are one, by columns: bit i of `plus` and `minus` is the step from row i to i + 1.
+
+    A column takes a few operations on integers of as many bits as g has letters; columns are recomputed in blocks, so
+    that memory stays at ROWS of them and the first of each block.
+    """
+
+    def __init__(self, g: str | list[str], p: str | list[str]):
+        self.rows = (1 << len(g)) - 1
+        self.where: dict[str, int] = {}
+        for i, x in enumerate(g):
+            self.where[x] = self.where.get(x, 0) | 1 << i
+        self.p, self.starts, at = p, {0: (self.rows, 0)}, (self.rows, 0)
+        for j in range(1, len(p) + 1):
+            at = self.next(at, j)
+            if j % ROWS == 0:
+                self.starts[j] = at
+        self.total, self.block = self._value(at, len(g), len(p)), (-1, [])
+
+    def next(self, column: tuple[int, int], j: int) -> tuple[int, int]:
+        plus, minus = column
+        same = self.where.get(self.p[j - 1], 0)
+        down = same | minus
+        across = ((same & plus) + plus ^ plus) | same
+        more, less = (minus | ~(across | plus)) << 1 | 1, (plus & across) << 1
+        return (less | ~(down | more)) & self.rows, more & down & self.rows
+
+    def column(self, j: int) -> tuple[int, int]:
+        k = j // ROWS * ROWS
+        if self.block[0] != k:
+            columns = [self.starts[k]]
+            for c in range(k + 1, min(k + ROWS, len(self.p)) + 1):
+                columns.append(self.next(columns[-1], c))
+            self.block = (k, columns)
+        return self.block[1][j - k]
+
+    @staticmethod
+    def _value(column: tuple[int, int], i: int, j: int) -> int:
+        under = (1 << i) - 1
+        return j + (column[0] & under).bit_count() - (column[1] & under).bit_count()
+
+    def score(self, i: int, j: int) -> int:
+        return self._value(self.column(j), i, j)
+
+
+def _single(g: list[str], p: list[str]) -> bool:
+    return len("".join(g)) == len(g) and len("".join(p)) == len(p)
+
+
+def alignment_places(g: list[str], p: list[str]) -> list[tuple[int | None, int | None]]:
+    """Places in g and p of the optimal alignment; ties go to the pair, then to a deletion from g, then to an insertion from p."""
+    unit = _single(g, p)
+    m, out, i, j = _Unit(g, p) if unit else _Matrix(g, p), [], len(g), len(p)
+    here = m.score(i, j)
     while i or j:
-        here = m.row(i)[j]
-        if i and j and here == m.row(i - 1)[j - 1] + m.costs(i)[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((g[i], p[j]))
-        elif i and here == m.row(i - 1)[j] + len(g[i - 1]):
-            i -= 1
-            out.append((g[i], None))
+        if i and j:
+            diagonal = m.score(i - 1, j - 1)
+            if here == diagonal + (g[i - 1] != p[j - 1] if unit else m.costs(i)[j - 1]):
+                i, j, here = i - 1, j - 1, diagonal
+                out.append((i, j))
+                continue
+        up = m.score(i - 1, j) if i else None
+        if i and here == up + len(g[i - 1]):
+            i, here = i - 1, up
+            out.append((i, None))
         else:
-            j -= 1
-            out.append((None, p[j]))
+            j, here = j - 1, here - len(p[j - 1])
+            out.append((None, j))
     return out[::-1]
 
 
+def align_clusters(g: list[str], p: list[str]) -> list[tuple[str | None, str | None]]:
+    return [(None if i is None else g[i], None if j is None else p[j]) for i, j in alignment_places(g, p)]
+
+
 def align_letters(side: str, backbone: str) -> list[int | None]:
     """For each letter of side, the 1-based letter of backbone it stands for, or None. Ties: match, substitution, deletion, insertion."""
     m, out, i, j = _Unit(side, backbone), [None] * len(side), len(side), len(backbone)
     while i and j:
-        diag, up, left = m.row(i - 1)[j - 1] + (side[i - 1] != backbone[j - 1]), m.row(i - 1)[j] + 1, m.row(i)[j - 1] + 1
+        diag, up, left = m.score(i - 1, j - 1) + (side[i - 1] != backbone[j - 1]), m.score(i - 1, j) + 1, m.score(i, j - 1) + 1
         if diag <= up and diag <= left:
             i, j = i - 1, j - 1
             out[i] = j + 1
@@ -103,28 +174,38 @@ def align_letters(side: str, backbone: str) -> list[int | None]:
     return out
 
 
-class _Unit(_Matrix):
-    """All costs are one."""
-
-    def __init__(self, a: str, b: str):
-        super().__init__(list(a), list(b))
+def cluster_cost(g: list[str], p: list[str]) -> int:
+    return _Unit(g, p).total if _single(g, p) else int(_Matrix(g, p).last[-1])
 
 
-@F.pandas_udf(PAIRS)
-def aligned(g: pd.Series, p: pd.Series) -> pd.Series:
-    """Aligned pairs of two cluster arrays; null stands for a gap."""
-    return pd.Series([None if a is None or b is None else [{"g": x, "p": y} for x, y in align_clusters(list(a), list(b))] for a, b in zip(g, p, strict=True)])
+def _rows(f: Callable, *columns: pa.Array) -> list:
+    """f of each row's values; a null in any gives null."""
+    return [None if any(x is None for x in row) else f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
 
 
-@F.pandas_udf(T.IntegerType())
-def edit_total(g: pd.Series, p: pd.Series) -> pd.Series:
+@F.arrow_udf(PAIRS)
+def aligned(g: pa.Array, p: pa.Array) -> pa.Array:
+    """Aligned pairs of two cluster arrays; null stands for a gap."""
+    left, right, ends, none = [], [], [0], []
+    for a, b in zip(g.to_pylist(), p.to_pylist(), strict=True):
+        none.append(a is None or b is None)
+        for i, j in () if none[-1] else alignment_places(a, b):
+            left.append(None if i is None else a[i])
+            right.append(None if j is None else b[j])
+        ends.append(len(left))
+    pairs = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["g", "p"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array(none, pa.bool_()))
+
+
+@F.arrow_udf(T.IntegerType())
+def edit_total(g: pa.Array, p: pa.Array) -> pa.Array:
     """Cost of the optimal alignment of two cluster arrays of any length."""
-    return pd.Series([None if a is None or b is None else int(_Matrix(list(a), list(b)).last[-1]) for a, b in zip(g, p, strict=True)], dtype="Int32")
+    return pa.array(_rows(cluster_cost, g, p), pa.int32())
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def letter_alignment(side: pd.Series, backbone: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else align_letters(a, b) for a, b in zip(side, backbone, strict=True)])
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def letter_alignment(side: pa.Array, backbone: pa.Array) -> pa.Array:
+    return pa.array(_rows(align_letters, side, backbone), pa.list_(pa.int32()))
 
 
 def native_edit_total(g: Column, p: Column) -> Column:
@@ -152,18 +233,21 @@ def alignment_cost(pairs: Column) -> Column:
 def cer(pairs: DataFrame, gt: str, pred: str, name: str = "", native: bool = True) -> DataFrame:
     """Adds edits, denominator and cer of two cluster-array columns.
 
-    native: rows of up to NATIVE_CLUSTERS clusters a side use the built-in form, longer ones the Arrow form; both give
-    the same integers. Null arrays give null.
+    native: rows whose clusters are single code points take the built-in edit distance, others of up to NATIVE_CLUSTERS
+    clusters a side the nested aggregate, and only the rest the Arrow form; all give the same integers. Null arrays give
+    null.
     """
     g, p = F.col(gt), F.col(pred)
-    short = F.greatest(F.size(g), F.size(p)) <= NATIVE_CLUSTERS
+    length = F.length(F.array_join(g, ""))
     total = edit_total(g, p)
     if native:
+        single = (length == F.size(g)) & (F.length(F.array_join(p, "")) == F.size(p)) & (F.size(g).cast("long") * F.size(p) <= BUILT_IN)
+        short = ~single & (F.greatest(F.size(g), F.size(p)) <= NATIVE_CLUSTERS)
         # a row that isn't meant for a form passes it empty arrays
-        none = F.array().cast("array<string>")
-        total = F.when(short, native_edit_total(F.when(short, g).otherwise(none), F.when(short, p).otherwise(none))).otherwise(edit_total(F.when(short, none).otherwise(g), F.when(short, none).otherwise(p)))
+        only = lambda c, here: F.when(here, c).otherwise(F.array().cast("array<string>"))
+        distance = F.levenshtein(F.array_join(g, ""), F.array_join(p, ""))
+        total = F.when(single, distance).when(short, native_edit_total(only(g, short), only(p, short))).otherwise(edit_total(only(g, ~single & ~short), only(p, ~single & ~short)))
     total = F.when(g.isNotNull() & p.isNotNull(), total)
-    length = F.length(F.array_join(g, ""))
     out = pairs.withColumn(f"{name}edits", total.cast("long")).withColumn(f"{name}denominator", length.cast("long"))
     return out.withColumn(f"{name}cer", rate(F.col(f"{name}edits"), F.col(f"{name}denominator")))
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectio import codepoints as cp
 from lectio.functions import views
 
+CONSONANT, VOWEL = re.compile(f"[{cp.CONSONANT}]"), re.compile(f"[{cp.VOWEL_DECISION}]")
+
 
 def _counted(names: Column) -> Column:
     """array<struct<class, name, n>> of distinct names."""
@@ -37,24 +47,45 @@ def mark_confusion(pairs: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return flat.select(*keys, F.explode(F.concat("hits", zipped)).alias("m")).groupBy(*keys, F.col("m.gt").alias("gt_mark"), F.col("m.pred").alias("pred_mark")).agg(F.count("*").alias("n"))
 
 
+@lru_cache(maxsize=200_000)
+def _judged(g: str, p: str) -> tuple[int, ...]:
+    """Of a pair of clusters: vowel decisions, code points and vowel points, each to be judged and right."""
+    vg, vp = VOWEL.findall(g), VOWEL.findall(p)
+    decides, same = CONSONANT.search(g) is not None, lambda a, b: sum(map(operator.eq, a, b))
+    return int(decides), int(decides and sorted(vg) == sorted(vp)), max(len(g), len(p)), same(g, p), max(len(vg), len(vp)), same(vg, vp)
+
+
+JUDGED = ("_dt", "_dc", "_ct", "_cc", "_vt", "_vc")
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in JUDGED]))
+def pair_counts(pairs: pa.Array) -> pa.Array:
+    """Sums of what _judged() says over an array of aligned pairs, a gap counting as an empty cluster; null for null.
+
+    A batch has few distinct pairs: each is judged once.
+    """
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(pairs), 0).to_numpy(zero_copy_only=False)
+    inside = pairs.flatten()
+    g, p = (pa.compute.fill_null(inside.field(k), "").dictionary_encode() for k in range(2))
+    key = g.indices.to_numpy().astype(np.int64) * (len(p.dictionary) + 1) + p.indices.to_numpy()
+    distinct, of = np.unique(key, return_inverse=True)
+    names_g, names_p = g.dictionary.to_pylist(), p.dictionary.to_pylist()
+    each = np.asarray([_judged(names_g[k // (len(names_p) + 1)], names_p[k % (len(names_p) + 1)]) for k in distinct.tolist()], np.int64).reshape(-1, len(JUDGED))
+    sums = np.vstack([np.zeros((1, len(JUDGED)), np.int64), np.cumsum(each[of], axis=0)])
+    ends = np.cumsum(sizes)
+    total = sums[ends] - sums[ends - sizes]
+    return pa.StructArray.from_arrays([pa.array(total[:, k]) for k in range(len(JUDGED))], list(JUDGED), mask=pairs.is_null())
+
+
 def factoring(df: DataFrame, pairs: str, gt: str, pred: str) -> DataFrame:
-    """Adds dec, cha, voc of an aligned column and wor of the two views; nothing to judge gives 1."""
-    s = lambda x: F.coalesce(x, F.lit(""))
+    """Adds dec, cha, voc of an aligned column and wor of the two views; nothing to judge gives 1. Null alignments and views give null."""
     equal = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda z: z))
-    total = lambda f: F.aggregate(F.col(pairs), F.lit(0), lambda acc, x: acc + f(s(x["g"]), s(x["p"])))
-    chars, points = views.code_points, views.vowel_points
-    counts = {
-        "_dt": total(lambda g, p: views.has_consonant(g).cast("int")),
-        "_dc": total(lambda g, p: (views.has_consonant(g) & (views.vowel_decision(g) == views.vowel_decision(p))).cast("int")),
-        "_ct": total(lambda g, p: F.greatest(F.length(g), F.length(p))),
-        "_cc": total(lambda g, p: equal(chars(g), chars(p))),
-        "_vt": total(lambda g, p: F.greatest(F.size(points(g)), F.size(points(p)))),
-        "_vc": total(lambda g, p: equal(points(g), points(p))),
-        "_wt": F.greatest(F.size(views.tokens(F.col(gt))), F.size(views.tokens(F.col(pred)))),
-        "_wc": equal(views.tokens(F.col(gt)), views.tokens(F.col(pred))),
-    }
+    words = {"_wt": F.greatest(F.size("_wg"), F.size("_wp")), "_wc": equal(F.col("_wg"), F.col("_wp"))}
+    counted = df.withColumns({"_j": pair_counts(pairs), "_wg": views.tokens(F.col(gt)), "_wp": views.tokens(F.col(pred))})
+    counted = counted.withColumns({**{c: F.col(f"_j.{c}") for c in JUDGED}, **words})
     share = lambda c, t: F.when(F.col(t) == 0, 1.0).otherwise(F.col(c) / F.col(t))
-    return df.withColumns(counts).withColumns({"dec": share("_dc", "_dt"), "cha": share("_cc", "_ct"), "voc": share("_vc", "_vt"), "wor": share("_wc", "_wt")}).drop(*counts)
+    out = counted.withColumns({"dec": share("_dc", "_dt"), "cha": share("_cc", "_ct"), "voc": share("_vc", "_vt"), "wor": share("_wc", "_wt")})
+    return out.drop(*JUDGED, *words, "_j", "_wg", "_wp")
 
 
 def multiset(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
