@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.common import Hashes, batches, grams, partitions, record, texts, written
+from lectio.llm.common import batches, grams, partitions, record, split_words, texts, written
 from lectio.llm.ngram_join import CHUNK, _pack, _unpack, summed_chunks
 
 #: Words of the longest prefix, buckets of the counts of prefixes of each length.
 PREFIX, BUCKETS = 4, 1 << 20
 #: Suffixes that a group is to hold, words a task holds before it merges, words whose marks are in memory at once.
-GROUP, HELD, MARKED = 1_000_000, 2_000_000, 4_000_000
+GROUP, HELD, MARKED = 1_000_000, 2_000_000, 1_000_000
 #: Tasks of a shuffle at most.
 TASKS = 20_000
 BLOBS = pa.schema([("part", pa.int64()), ("suffixes", pa.bool_()), ("payload", pa.binary())])
@@ -57,8 +57,8 @@ def _lengths(prefix: int) -> tuple[int, ...]:
     return tuple(p for p in (1, 2) if p < prefix) + (prefix,)
 
 
-def _hashed(words: list[bytes], hashes: Hashes, bits: int) -> np.ndarray:
-    return hashes.of(words) & np.uint64((1 << bits) - 1)
+def _low(h: np.ndarray, bits: int) -> np.ndarray:
+    return h & np.uint64((1 << bits) - 1)
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
@@ -70,15 +70,19 @@ def _prefix_counts(docs: DataFrame, prefix: int, bits: int) -> tuple[np.ndarray,
     schema, lengths = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]), _lengths(prefix)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, held, many = Hashes(), np.zeros((len(lengths), BUCKETS), np.uint32), [], 0
+        counts, held, many = np.zeros((len(lengths), BUCKETS), np.uint32), [], 0
 
         def add() -> None:
+            sizes = np.concatenate([n for n, _ in held])
+            ends, h = np.repeat(np.cumsum(sizes), sizes), _low(np.concatenate([h for _, h in held]), bits)
             for i, p in enumerate(lengths):
-                counts[i] += np.bincount(_bucket(np.concatenate([grams(h, p) for h in held])), minlength=BUCKETS).astype(np.uint32)
+                inside = np.arange(len(h) - p + 1) + p <= ends[: len(h) - p + 1] if len(h) >= p else np.zeros(0, bool)
+                counts[i] += np.bincount(_bucket(grams(h, p)[inside]), minlength=BUCKETS).astype(np.uint32)
 
         for b in batches(rows, 500):
-            held += [_hashed((t or b"").split(), hashes, bits) for t in b.column(1).to_pylist()]
-            many += sum(map(len, held[-b.num_rows :]))
+            _, sizes, _, h = split_words(b.column(1).to_pylist())
+            held.append((sizes, h))
+            many += len(h)
             if many >= HELD:
                 add()
                 held, many = [], 0
@@ -139,6 +143,14 @@ class _Codes(dict):
         return c
 
 
+def _suspects(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows, in ascending order of documents, whose key two documents have."""
+    by = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+    several = doc[by[cuts]] != doc[by[np.r_[cuts[1:], len(by)] - 1]]
+    return np.sort(by[np.repeat(several, np.diff(np.r_[cuts, len(by)]))])
+
+
 def _shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, doc: np.ndarray, depth: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, run) of every run of `depth` words that a smaller document has too.
 
@@ -146,19 +158,8 @@ def _shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np
     before the anchor; its runs start at each of its words that has depth - 1 more behind it. Rows are in ascending
     order of documents.
     """
-    anchor, codes = begin + left, int(flat.max(initial=0)) + 1
-    # the same first words in two documents, or there is nothing to share
-    key = flat[anchor].astype(np.int64)
-    for j in range(1, prefix):
-        key = np.unique(key * codes + flat[anchor + j], return_inverse=True)[1]
-    by = np.argsort(key, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-    several = doc[by[cuts]] != doc[by[np.r_[cuts[1:], len(by)] - 1]]
-    use = np.sort(by[np.repeat(several, np.diff(np.r_[cuts, len(by)]))])
-    if not len(use):
-        return use, use
-    size, left, doc, anchor = size[use], left[use], doc[use], anchor[use]
-    after, before = np.zeros((len(use), depth), np.uint32), np.zeros((len(use), max(1, depth - prefix)), np.uint32)
+    anchor = begin + left
+    after, before = np.zeros((len(doc), depth), np.uint32), np.zeros((len(doc), max(1, depth - prefix)), np.uint32)
     for j in range(depth):
         has = j < size - left
         after[has, j] = flat[anchor[has] + j]
@@ -170,10 +171,10 @@ def _shared_runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np
     for o in range(depth - prefix + 1):
         here = np.flatnonzero((o <= left) & (left - o <= size - depth))
         if len(here):
-            node = _nodes(*right, depth - o)[here] * (len(use) + 1) + _nodes(*left_tree, o)[here]
+            node = _nodes(*right, depth - o)[here] * (len(doc) + 1) + _nodes(*left_tree, o)[here]
             order, other = _merge(node, doc[here])
             hit = here[order[other]]
-            rows.append(use[hit])
+            rows.append(hit)
             runs.append(left[hit] - o)
     return np.concatenate(rows), np.concatenate(runs)
 
@@ -195,14 +196,14 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = PREFIX, bits: int =
     lengths, choices = _lengths(prefix), depth - prefix + 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, many = Hashes(), counts.value, [], 0
+        seen, held, many = counts.value, [], 0
 
         def deal() -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: x[:2])
             ids, tags = (np.fromiter((x[k] for x in held), np.int64, len(held)) for k in (0, 1))
             sizes = np.fromiter((len(x[2]) for x in held), np.int64, len(held))
             starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
-            h, text = np.concatenate([x[2] for x in held]), b" ".join(x[3] for x in held) + b" "
+            h, text = _low(np.concatenate([x[2] for x in held]), bits), b"".join(x[3] for x in held)
             byte = np.r_[0, np.cumsum(np.concatenate([x[4] for x in held]) + 1)]
             owner = np.repeat(np.arange(len(held)), sizes)
             g = [grams(h, p) for p in lengths]
@@ -236,16 +237,18 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = PREFIX, bits: int =
                 shape = np.concatenate([anchor[k] - low[k], high[k] - low[k]]).astype("<u4").tobytes()
                 said = zlib.compress(b"\n".join([cut[x] for x in k.tolist()]), 1)
                 head = (_shrunk(ids[inside]), _shrunk(tags[inside]), _shrunk(begins), _shrunk(low[k] - starts[row[k]]))
-                out.append((int(group[k[0]]), True, b"".join((*head, zlib.compress(shape, 1), said))))
+                out.append((int(group[k[0]]), True, b"".join((*head, g[-1][anchor[k]].astype("<u4").tobytes(), zlib.compress(shape, 1), said))))
             for x in range(0, len(out), 64):
                 yield record(BLOBS, *zip(*out[x : x + 64], strict=True))
 
         for b in batches(rows, 500):
-            for doc_id, tag, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = (t or b"").split()
-                if len(words) >= depth and doc_id is not None:
-                    held.append((doc_id, tag, _hashed(words, hashes, bits), b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))))
-                    many += len(words)
+            plain, sizes, long, h = split_words(b.column(1).to_pylist())
+            ends = np.cumsum(sizes)
+            bytes_ = np.r_[0, np.cumsum(long + 1)]
+            for doc_id, tag, i, j in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                if j - i >= depth and doc_id is not None:
+                    held.append((doc_id, tag, h[i:j], plain[bytes_[i] : bytes_[j]], long[i:j]))
+                    many += j - i
                 if many >= HELD:
                     yield from deal()
                     held, many = [], 0
@@ -253,23 +256,34 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = PREFIX, bits: int =
             yield from deal()
 
     def settled(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        codes, ids, tags, lows, lefts, highs, flat = _Codes(), [], [], [], [], [], []
+        parsed = []
         for blob in held:
             i, rest = _grown(memoryview(blob))
             t, rest = _grown(rest)
             begins, rest = _grown(rest)
             low, rest = _grown(rest)
-            z = zlib.decompressobj()
-            shape = np.frombuffer(z.decompress(rest), "<u4").astype(np.int64)
-            words = zlib.decompress(z.unused_data).split()
-            flat.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
+            z, key = zlib.decompressobj(), np.frombuffer(rest[: 4 * len(low)], "<u4")
+            shape = np.frombuffer(z.decompress(rest[4 * len(low) :]), "<u4").astype(np.int64)
             row = np.repeat(np.arange(len(i)), np.diff(begins, append=len(low)))
-            for column, x in zip((ids, tags, lows, lefts, highs), (i[row], t[row], low, shape[: len(low)], shape[len(low) :]), strict=True):
-                column.append(x)
-        ids, tags, low, left, high = (np.concatenate(x) for x in (ids, tags, lows, lefts, highs))
-        size = high + depth
-        begin, by = np.cumsum(size) - size, np.lexsort((low, tags, ids))
-        ids, tags, low, left, size, begin = ids[by], tags[by], low[by], left[by], size[by], begin[by]
+            parsed.append((i[row], t[row], low, shape[: len(low)], shape[len(low) :] + depth, key, z.unused_data))
+        ids, tags, low, left, size, key = (np.concatenate([x[c] for x in parsed]) for c in range(6))
+        by = np.lexsort((low, tags, ids))
+        # the same first words in two documents, by hash, or there is nothing to share; only these rows' words are read
+        use = by[_suspects(key[by], ids[by])]
+        if not len(use):
+            return
+        chosen, many, at = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), 0
+        chosen[use] = True
+        codes, flat = _Codes(), []
+        for x in parsed:
+            some = chosen[at : at + len(x[2])]
+            if some.any():
+                words = b" ".join(compress(zlib.decompress(x[-1]).split(b"\n"), some)).split()
+                flat.append(np.fromiter(map(codes.__getitem__, words), np.uint32, len(words)))
+                many[at : at + len(x[2])][some] = x[4][some]
+            at += len(x[2])
+        begin = (np.cumsum(many) - many)[use]
+        ids, tags, low, left, size = ids[use], tags[use], low[use], left[use], size[use]
         rows, runs = _shared_runs(np.concatenate(flat), begin, size, left, ids, depth, prefix)
         if len(rows):
             new = np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]

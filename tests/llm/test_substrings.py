@@ -74,3 +74,17 @@ def test_other_depth_and_no_rows(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in ss.remove_repeats(d, 2).collect()), key=repr) == brute(rows, 2)
     assert ss.remove_repeats(d.where("false")).count() == 0
+
+
+def test_words_are_those_of_split():
+    from lectio.llm.common import split_words
+
+    r = random.Random(0)
+    pieces = [" ", "\t", "\n\x0b", "\r\x0c  ", "a", "bc", "ü", "\x1c", "\xa0", "日本", "x" * 7, "y" * 8, "z" * 9, "w" * 40, "v" * 300]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(40))).encode() for _ in range(300)] + [None, b"", b" "]
+    plain, counts, sizes, h = split_words(texts)
+    want = [(t or b"").split() for t in texts]
+    flat = [w for ws in want for w in ws]
+    assert counts.tolist() == list(map(len, want)) and sizes.tolist() == list(map(len, flat))
+    assert plain == b"".join(w + b" " for w in flat)
+    assert len(set(zip(flat, h.tolist()))) == len(set(flat)) == len(set(h.tolist()))
