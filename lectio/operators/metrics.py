@@ -158,8 +158,8 @@ def plan(spark: SparkSession, n: int, b: int = cp.RESAMPLES, seed: int = cp.SEED
 
 
 def resampled(stats: DataFrame, metrics: list[Metric], drawn: DataFrame) -> DataFrame:
-    """(b, metric values…). stats: one row a unit, numbered by i; it goes to the plan, which is the larger by far."""
-    return evaluate(drawn.join(F.broadcast(stats), "i"), metrics, ["b"], F.col("w"))
+    """(b, metric values…). stats: one row a unit, numbered by i; Spark broadcasts it to the plan where it measures it as small."""
+    return evaluate(drawn.join(stats, "i"), metrics, ["b"], F.col("w"))
 
 
 def jackknife(stats: DataFrame, metrics: list[Metric], unit: str = "i") -> DataFrame:
@@ -224,5 +224,14 @@ def _adjusted(below: int, n: int, a: float) -> tuple[float, float]:
 
 
 def numbered(units: DataFrame, order: list[str]) -> DataFrame:
-    """Adds i, a unit's place from 0 in the order that the resampling indexes."""
-    return units.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds i, a unit's place from 0 in the order that the resampling indexes.
+
+    Units are dealt by ranges of the order; each range is numbered by itself, from where those before it end. Rows of
+    equal order are numbered in any order, and lie in one range.
+    """
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_part").withColumn("i", (F.col("_before") + place - 1).cast("int")).drop("_part", "_before")

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Terms that are broadcast at once.
+NEEDLES = 100_000
+
+
 def _said(d: DataFrame, rule: str, subject: Column, detail: Column | str = "") -> DataFrame:
     detail = F.lit(detail) if isinstance(detail, str) else detail
     return d.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail"))
@@ -86,11 +90,13 @@ def bound_to(d: DataFrame, subject: str, value: str, expected: str | None, rule:
     return _said(d.where(F.col(value).isNotNull() & (F.col(value) != expected)), rule, F.col(subject), F.col(value))
 
 
-def needles(texts: DataFrame, subject: str, text: str, terms: DataFrame, whitelist: DataFrame | None = None, allowed: list[str] | None = None, fold: bool = True) -> DataFrame:
+def needles(texts: DataFrame, subject: str, text: str, terms: DataFrame, whitelist: DataFrame | None = None, allowed: list[str] | None = None, fold: bool = True, block: int = NEEDLES) -> DataFrame:
     """(subject, needle): texts that contain a term, whitelisted subjects and allowed strings left out first.
 
-    terms (needle, optional exempt: array of subjects). The term list is configuration: it goes to the texts when Spark
-    measures it as small, and every text is read once.
+    terms (needle, optional exempt: array of subjects). A term of three words or more is anchored at its longest inner
+    word, which a text that contains it has as a word too: texts and terms meet on it, and only then is the term looked
+    for. Shorter terms are looked for in every text. Terms are broadcast in blocks of `block`, texts read once a block.
+    Null texts and terms take no part.
     """
     body = F.lower(text) if fold else F.col(text)
     for a in allowed or []:
@@ -98,11 +104,21 @@ def needles(texts: DataFrame, subject: str, text: str, terms: DataFrame, whiteli
     d = texts.select(F.col(subject).alias("subject"), body.alias("_body"))
     if whitelist is not None:
         d = d.join(whitelist.select(F.col(whitelist.columns[0]).alias("subject")), "subject", "left_anti")
-    n = terms.withColumn("_needle", F.lower("needle") if fold else F.col("needle"))
+    inner = F.split("_needle", r"\s+")
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
+    n = terms.where("needle is not null").withColumn("_needle", F.lower("needle") if fold else F.col("needle"))
+    n = n.withColumn("_anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    blocks = max(1, -(-n.count() // block))
     hit = F.contains("_body", "_needle")
     if "exempt" in terms.columns:
         hit = hit & ~F.coalesce(F.array_contains("exempt", F.col("subject")), F.lit(False))
-    return d.join(n, hit).select("subject", "needle")
+    words = d.select("subject", "_body", F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("_anchor"))
+    found = []
+    for k in range(blocks):
+        some = n.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == k) if blocks > 1 else n
+        found.append(words.join(F.broadcast(some.where("_anchor is not null")), "_anchor").where(hit).select("subject", "needle"))
+        found.append(d.join(F.broadcast(some.where("_anchor is null")), hit).select("subject", "needle"))
+    return all_of(*found)
 
 
 def whole_words(texts: DataFrame, subject: str, text: str, words: list[str], rule: str = "legacy word") -> DataFrame:

@@ -90,7 +90,7 @@ def error_rates(verses: DataFrame, reference: str, hypothesis: str) -> DataFrame
     d = verses.withColumns({"_r": views.normalize(views.strip_editor_tokens(F.col(reference))), "_h": views.normalize(views.strip_editor_tokens(F.col(hypothesis)))})
     for t, view in views.TIERS.items():
         d = d.withColumns({"_g": views.clusters(view(F.col("_r"))), "_p": views.clusters(view(F.col("_h")))})
-        d = alignment.cer(d, "_g", "_p", "_", native=False)
+        d = alignment.cer(d, "_g", "_p", "_")
         d = d.withColumns({f"cer_{t}": F.col("_cer"), f"edits_{t}": F.col("_edits"), f"denominator_{t}": F.col("_denominator")})
     return d.select("i", "folio", *[f"{c}_{t}" for t in views.TIERS for c in ("cer", "edits", "denominator")], F.lit(1).alias("one"))
 

@@ -68,6 +68,21 @@ def test_signoff_and_disclosure(spark):
     assert ("has a disclosure", "c.md") in found(govern.disclosure(log("nothing"), "v1"))
 
 
+def test_needles_are_those_of_a_plain_scan(spark):
+    import random
+
+    r = random.Random(0)
+    word = lambda: r.choice(["a", "bb", "Ccc", "dd.", "e-e", "f"])
+    gap = lambda: r.choice([" ", " ", "  ", "\n"])
+    say = lambda n: "".join(word() + gap() for _ in range(n))
+    texts = [(i, say(r.randrange(30))) for i in range(60)] + [(99, None)]
+    terms = sorted({say(r.randrange(1, 6))[r.randrange(3) :] for _ in range(60)} | {"x", " a bb ", "c dd. e"} - {""})
+    d, n = spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame([(x,) for x in terms] + [(None,)], "needle string")
+    want = sorted((i, x) for i, t in texts for x in terms if t is not None and x.lower() in t.lower())
+    for block in (1000, 7):
+        assert sorted(map(tuple, v.needles(d, "i", "t", n, block=block).collect())) == want
+
+
 def test_digests_are_of_sixteen_digits_and_say_what_of(spark):
     full = "ab" * 32
     have = spark.createDataFrame([("f", full), ("g", "00" * 32), ("a@b", full)], "path string, sha256 string")
