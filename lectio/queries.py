@@ -15,7 +15,7 @@ from lectio.functions import scalars, views
 from lectio.operators import alignment, confusion, marks
 from lectio.operators import metrics as m
 from lectio.operators import validate as v
-from lectio.plans import govern, score
+from lectio.plans import score
 from lectio.sources import documents, edition, page_layout, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,13 @@ def _r(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
-def _ascii(c: str) -> Column:
-    return F.regexp_replace(c, r"[^\x20-\x7E]", "")
+#: Letters past ASCII, and unused characters of one byte that stand for them, as DuckDB's levenshtein compares bytes.
+WIDE = "éèêçüßäöóñíÉÈÊÇÜÄÖÓÑÍ"
+NARROW = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
+
+
+def _narrow(c: str) -> Column:
+    return F.translate(c, WIDE, NARROW)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 PAIRS = "p AS (SELECT a.conv_id, a.turn, a.role, a.text AS gt, b.text AS pred FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
-FOLDED = "regexp_replace({c}, '[^\\x20-\\x7E]', '', 'g')"
+FOLDED = f"translate({{c}}, '{WIDE}', '{NARROW}')"
 CER = f"c AS (SELECT conv_id, turn, role, levenshtein({FOLDED.format(c='gt')}, {FOLDED.format(c='pred')})::BIGINT AS edits, length({FOLDED.format(c='gt')})::BIGINT AS denominator FROM p)"
 RATE = "CASE WHEN denominator = 0 THEN CASE WHEN edits = 0 THEN 0.0 ELSE 1.0 END ELSE edits / denominator END"
 
@@ -101,7 +106,7 @@ def cluster_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", views.cluster_count(F.col("text")).cast("long").alias("clusters"), F.length("text").cast("long").alias("code_points"))
 
 
-def _cer(spark: SparkSession, sf_dir: str, view: Callable[[str], Column] = _ascii) -> DataFrame:
+def _cer(spark: SparkSession, sf_dir: str, view: Callable[[str], Column] = _narrow) -> DataFrame:
     p = _pairs(spark, sf_dir).repartition(*KEYS)  # the alignment is the cost, so it is spread before
     return alignment.cer(alignment.with_clusters(p, g=view("gt"), p=view("pred")), "g", "p")
 
@@ -117,13 +122,13 @@ def _panel(rates: DataFrame) -> DataFrame:
 
 @query(f"WITH {PAIRS}, {CER} SELECT conv_id, turn, edits, denominator, round({RATE}, 6) AS cer FROM c")
 def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1-A3 on printable ASCII only, which DuckDB's levenshtein can express; whole texts: cer_pairs_whole."""
+    """A1-A3: error rates of whole texts, letter for letter; normalised to clusters of several code points: cer_pairs_whole."""
     return _cer(spark, sf_dir).select(*KEYS, "edits", "denominator", _r("cer").alias("cer"))
 
 
 @query(f"WITH {PAIRS}, {CER} SELECT coalesce(role, 'overall') AS stratum, sum(edits)::BIGINT AS edits, sum(denominator)::BIGINT AS denominator, round(avg({RATE}), 6) AS macro_cer, count(*)::BIGINT AS n FROM c GROUP BY GROUPING SETS ((role), ())")
 def cer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G4-G6 on printable ASCII only, as cer_pairs; whole texts: cer_panel_whole."""
+    """Macro rates and totals by stratum and overall of the texts of cer_pairs."""
     return _panel(_cer(spark, sf_dir))
 
 
@@ -199,20 +204,6 @@ def partial_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("conv_id", *[F.col(c).cast("long").alias(c) for c in ("tp_exact", "tp_partial", "fp", "fn")], _r("precision").alias("precision"), _r("recall").alias("recall"))
 
 
-@query()
-def tolerant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact first, then greedily within one; tested against a plain loop."""
-    a, b = (marks.detections(x, *KEYS) for x in _sides(spark, sf_dir))
-    return marks.match_counts(a, b, KEYS, 1)
-
-
-@query()
-def offset_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed offsets of tolerant pairs."""
-    a, b = (marks.detections(x, *KEYS) for x in _sides(spark, sf_dir))
-    return marks.offsets(marks.match_table(a, b, KEYS, 1)).withColumn("histogram", F.to_json("histogram"))
-
-
 def _coders(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Cells of two coders, quality and toxic, a row a label."""
     t = _t(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
@@ -238,13 +229,6 @@ def coder_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.evaluate(_nominal(_coders(spark, sf_dir)), AGREE).select(*[_r(x.name).alias(x.name) for x in AGREE])
 
 
-@query("SELECT quality::VARCHAR AS gt_mark, toxic::VARCHAR AS pred_mark, count(*)::BIGINT AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL")
-def coder_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G11 in long form."""
-    t = _t(spark, sf_dir, "labels").where("quality is not null and toxic is not null")
-    return t.groupBy(F.col("quality").cast("string").alias("gt_mark"), F.col("toxic").cast("string").alias("pred_mark")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {PAIRS},
 g AS (SELECT conv_id, turn, token, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split_regex(gt, '\\s+')) AS token FROM p) WHERE token <> '' GROUP BY ALL),
 q AS (SELECT conv_id, turn, token, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split_regex(pred, '\\s+')) AS token FROM p) WHERE token <> '' GROUP BY ALL),
@@ -257,21 +241,6 @@ def token_multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion.multiset(side("gt"), side("pred"), KEYS, "token").groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("common", "a_only", "b_only")])
 
 
-@query(f"""WITH {PAIRS}, w AS (SELECT conv_id, turn, list_filter(string_split_regex(gt, '\\s+'), lambda x: x <> '') AS g, list_filter(string_split_regex(pred, '\\s+'), lambda x: x <> '') AS q FROM p)
-SELECT conv_id, turn, round(CASE WHEN greatest(len(g), len(q)) = 0 THEN 1.0 ELSE len(list_filter(range(1, least(len(g), len(q)) + 1), lambda i: g[i] = q[i])) / greatest(len(g), len(q)) END, 6) AS wor FROM w""")
-def word_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words equal in place. The aligned accuracies beside it are tested on fixtures."""
-    p = _pairs(spark, sf_dir).withColumn("al", F.array().cast(alignment.PAIRS))
-    return confusion.factoring(p, "al", "gt", "pred").select(*KEYS, _r("wor").alias("wor"))
-
-
-@query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 4) AS lo, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, round(quantile_cont(o_totalprice, 0.975), 4) AS hi FROM orders GROUP BY o_orderpriority")
-def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linearly interpolated percentiles."""
-    g = _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(*[F.lit(x) for x in (0.025, 0.25, 0.5, 0.75, 0.975)])).alias("q"))
-    return g.select("o_orderpriority", *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("lo", "q1", "median", "q3", "hi"))])
-
-
 UNITS, DRAWS = 200, 400
 
 
@@ -310,29 +279,6 @@ def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.jackknife(d, AGREE[:2], "source").select("source", _r("kappa").alias("kappa"), _r("pabak").alias("pabak"))
 
 
-@query(f"""WITH j AS (SELECT quality, toxic, lang, source FROM labels JOIN documents USING (doc_id)),
-u AS (SELECT 'lang' AS kind, lang AS stratum, count(*)::BIGINT AS n, {CELL_SQL} FROM j GROUP BY lang UNION ALL SELECT 'source', source, count(*), {CELL_SQL} FROM j GROUP BY source)
-SELECT kind, stratum, n, round(CASE WHEN 2 * pp + pn + np = 0 THEN 1.0 ELSE 2 * pp / (2 * pp + pn + np) END, 6) AS f1, round(2 * (pp + nn) / n - 1, 6) AS pabak FROM u""")
-def strata_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stratifications in one aggregation."""
-    d = _coders(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").withColumn("one", F.lit(1))
-    s = d.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("stratum")) for k in ("lang", "source")]))).select("*", "_s.*")
-    got = m.evaluate(s, [m.Metric("n", ("one",), lambda x: x), m.f1("f1", "pp", "np", "pn"), AGREE[1]], ["kind", "stratum"])
-    return got.select("kind", "stratum", "n", _r("f1").alias("f1"), _r("pabak").alias("pabak"))
-
-
-@query(r"""WITH l AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z][^A-Za-z]*')) AS c FROM conversations)
-SELECT conv_id, count_if(gold AND rule)::BIGINT AS tp, count_if(rule AND NOT gold)::BIGINT AS fp, count_if(gold AND NOT rule)::BIGINT AS fn
-FROM (SELECT conv_id, contains(c, '.') AS gold, c[1] IN ('b', 'g', 'd', 'k', 'p', 't') AND NOT contains(c, ',') AS rule FROM l) GROUP BY conv_id HAVING count_if(gold OR rule) > 0""")
-def rule_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule by letter class and the lack of a following mark, against the marks there are."""
-    parts = F.regexp_extract_all("text", F.lit("[A-Za-z][^A-Za-z]*"), F.lit(0))
-    l = _t(spark, sf_dir, "conversations").select(*KEYS, F.posexplode(parts).alias("ordinal", "c"))  # noqa: E741
-    rafe = lambda cond: l.where(cond).select(*KEYS, "ordinal", F.lit("rafe").alias("type"))
-    gold, rule = rafe(F.contains("c", F.lit("."))), rafe(F.left("c", F.lit(1)).isin(*"bgdkpt") & ~F.contains("c", F.lit(",")))
-    return marks.match_counts(gold, rule, KEYS).groupBy("conv_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-
-
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linenumber AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity::INT, l_partkey::INT DESC, l_linenumber, l_suppkey) AS place FROM lineitem)
 SELECT l_orderkey, string_agg(t, ' ' ORDER BY place) AS text FROM o GROUP BY l_orderkey""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,13 +374,13 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", h.alias("full_hash"), scalars.sha256_hex(F.col("text"), 16).alias("short_hash"), scalars.model_hash(F.col("lang"), F.col("source"), h).alias("model_hash"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_type <> 'error')
+@query("""WITH e AS (SELECT event_id, user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
 SELECT user_id, count(*)::BIGINT AS read_parts, count_if(event_type = 'view')::BIGINT AS fallbacks FROM e WHERE NOT (event_type = 'view' AND nxt IS NOT DISTINCT FROM 'click') GROUP BY user_id""")
 def pending_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A written form goes where its read form follows."""
     tag = F.when(F.col("event_type") == "view", "k").when(F.col("event_type") == "click", "q").otherwise("w")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, sf_dir, "events").where("event_type <> 'error'").select(F.lit("").alias("path"), F.col("user_id").alias("seq"), F.row_number().over(w).alias("pos"), tag.alias("tag"))
+    e = _t(spark, sf_dir, "events").select(F.lit("").alias("path"), F.col("user_id").alias("seq"), F.row_number().over(w).alias("pos"), tag.alias("tag"))
     return edition.spoken_parts(e).groupBy(F.col("seq").alias("user_id")).agg(F.count("*").alias("read_parts"), F.count_if(F.col("tag") == "k").alias("fallbacks"))
 
 
@@ -461,13 +407,6 @@ def mean_without_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.disagreement_rates(d, ["lang"]).withColumn("rate", _r("rate"))
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::BIGINT AS links FROM pages""")
-def markup_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S5's extraction from markup."""
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("links"))
-
-
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS line, CASE l_returnflag WHEN 'R' THEN 'Deut' WHEN 'A' THEN '1Sam' ELSE 'Other' END || '.' || l_orderkey || '.' || l_linenumber AS ref, CASE l_returnflag WHEN 'R' THEN 'Deut' WHEN 'A' THEN '1Sam' ELSE 'Other' END AS book, l_orderkey::BIGINT AS chapter FROM lineitem")
 def verse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P20: references built and parsed."""
@@ -509,15 +448,12 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.score(p).drop("alignment")
 
 
-@query()
-def readers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees of a page's markup."""
-    return _t(spark, sf_dir, "pages").select("page_id", F.sha2(scalars.visible_text(F.col("html")), 256).alias("digest"), govern.substantive(F.col("html")).alias("substantive"))
-
-
 def queries() -> dict[str, Query]:
+    from lectio import pointed  # noqa: F401 - adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
