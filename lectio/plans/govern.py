@@ -82,6 +82,20 @@ def digests(files: DataFrame, recorded: DataFrame) -> DataFrame:
     return j.select(rule.alias("rule"), F.col("id").cast("string").alias("subject"), F.col("path").alias("detail")).where("rule is not null").unionByName(none)
 
 
+def fused(folios: DataFrame, files: DataFrame, golden: str, golden_revision: str, source: str, source_revision: str) -> DataFrame:
+    """folios with the digest of each frozen folio's golden file, once and for all; digests() holds afterwards.
+
+    files: (path, sha256); golden: a path with {id}, a projection of source. Raises where a frozen folio has a digest
+    already or no golden file. Other folios stay as they are.
+    """
+    path = F.concat(F.lit(golden.split("{id}")[0]), F.col("id"), F.lit(golden.split("{id}")[1]))
+    j = folios.withColumn("_path", path).join(files.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha")), "_path", "left")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col("id")))
+    digest = F.when(F.col("gt_hash").isNotNull(), fail("digest already set: ")).when(F.col("_sha").isNull(), fail("no golden file: ")).otherwise(F.left("_sha", F.lit(16)))
+    said = F.concat("_path", F.lit(f"@{golden_revision} (projection of {source}@{source_revision})"))
+    return j.withColumns({"gt_hash": F.when(F.col("in_frozen_scope"), digest).otherwise(F.col("gt_hash")), "gt_source": F.when(F.col("in_frozen_scope"), said).otherwise(F.col("gt_source"))}).drop("_path", "_sha")
+
+
 def successor(head: DataFrame, staged: DataFrame, head_log: DataFrame, staged_log: DataFrame, head_frozen_at: str, staged_frozen_at: str, reason: str = r"^phase \d+(\.\d+)?: ") -> DataFrame:
     """Illegal changes from one manifest to the next: folio tables, and their changelogs numbered by at."""
     n = head_log.count()

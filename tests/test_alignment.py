@@ -62,6 +62,39 @@ def test_clusters_align_as_the_whole_table_says(monkeypatch, rows):
         assert al._Matrix(g, p).last[-1] == cost
 
 
+def plain_letters(side, backbone):
+    n, m = len(side), len(backbone)
+    s = [[i + j if not (i and j) else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            s[i][j] = min(s[i - 1][j - 1] + (side[i - 1] != backbone[j - 1]), s[i - 1][j] + 1, s[i][j - 1] + 1)
+    out, i, j = [None] * n, n, m
+    while i and j:
+        d, u, left = s[i - 1][j - 1] + (side[i - 1] != backbone[j - 1]), s[i - 1][j] + 1, s[i][j - 1] + 1
+        if d <= u and d <= left:
+            i, j = i - 1, j - 1
+            out[i] = j + 1
+        elif u <= left:
+            i -= 1
+        else:
+            j -= 1
+    return out, s
+
+
+@pytest.mark.parametrize("rows", [1, 3, 256])
+def test_bit_vectors_give_the_whole_table(monkeypatch, rows):
+    monkeypatch.setattr(al, "ROWS", rows)
+    r = random.Random(rows)
+    for _ in range(60):
+        a, b = ("".join(r.choice("abcé") for _ in range(r.randrange(70))) for _ in range(2))
+        want, table = plain_letters(a, b)
+        m = al._Unit(a, b)
+        assert m.total == table[-1][-1] and all(m.score(i, j) == table[i][j] for i in range(len(a) + 1) for j in range(len(b) + 1))
+        assert al.align_letters(a, b) == want
+        assert al.align_clusters(list(a), list(b)) == plain_alignment(list(a), list(b))[0]
+        assert al.cluster_cost(list(a), list(b)) == table[-1][-1]
+
+
 def test_native_and_arrow_totals_agree(spark):
     rows = [(i, g, p, plain_alignment(g, p)[1]) for i, (g, p) in enumerate([(list(a), list(b)) for a, b in CASES] + some(2))]
     d = spark.createDataFrame(rows, "i int, g array<string>, p array<string>, want int").repartition(3)
@@ -72,7 +105,9 @@ def test_native_and_arrow_totals_agree(spark):
 
 def test_cer_of_little_and_of_nothing(spark):
     d = spark.createDataFrame([("qamatz", ["בָ"], ["בַ"]), ("lost", ["בָ", "רָ"], ["בָ"]), ("none", [], []), ("all", [], ["ב"]), ("null", None, ["ב"])], "k string, g array<string>, p array<string>")
+    whole = spark.createDataFrame([(i, list(a), list(b), plain_distance(a, b)) for i, (a, b) in enumerate([("kitten" * 20, "sitting" * 20), ("a" * 40, ""), ("é" * 50, "ée" * 30)])], "i int, g array<string>, p array<string>, want int")
     for native in (True, False):
+        assert all(r.edits == r.want for r in al.cer(whole, "g", "p", native=native).collect())
         got = {r.k: (r.edits, r.denominator, r.cer) for r in al.cer(d, "g", "p", native=native).collect()}
         assert got == {"qamatz": (1, 2, 0.5), "lost": (2, 4, 0.5), "none": (0, 0, 0.0), "all": (1, 0, 1.0), "null": (None, None, None)}
 

@@ -94,6 +94,21 @@ def test_digests_are_of_sixteen_digits_and_say_what_of(spark):
     assert found(govern.digests(have, d.where("false"))) == [("nothing frozen", "")]
 
 
+def test_digests_are_set_once(spark):
+    have = spark.createDataFrame([(f"g/{i}.json", f"{i * 16}" + "0" * 48) for i in "ab"], "path string, sha256 string")
+    rows = [("a", None, None, True), ("b", None, None, True), ("z", "old", "x@1", False)]
+    d = spark.createDataFrame(rows, "id string, gt_hash string, gt_source string, in_frozen_scope boolean")
+    go = lambda x: govern.fused(x, have, "g/{id}.json", "r1", "all.json", "r2")
+    got = {r.id: (r.gt_hash, r.gt_source) for r in go(d).collect()}
+    assert got == {**{i: (i * 16, f"g/{i}.json@r1 (projection of all.json@r2)") for i in "ab"}, "z": ("old", "x@1")}
+    recorded = go(d).where("in_frozen_scope").select("id", F.col("gt_source").alias("source"), F.col("gt_hash").alias("digest"))
+    assert found(govern.digests(have, recorded)) == []
+    with pytest.raises(Exception, match="already set"):
+        go(go(d)).collect()
+    with pytest.raises(Exception, match="no golden"):
+        go(d.withColumn("id", F.lit("c"))).collect()
+
+
 SEEN = {
     "<!-- closed --> a": "a", "b <!-- open\n\nc": "b", "<style>body{color:red}</style>": "", "<SCRIPT x>\ny</script >z": "z", "<template>open": "",
     "<https://example.org>": "<https://example.org>", "real <em>text</em><br/>": "real text", "a < b > c": "a < b > c",

@@ -81,3 +81,11 @@ def test_accuracies(spark):
     d = spark.createDataFrame([("x", [{"g": a, "p": b} for a, b in align_clusters(g, p)], "בָר אב", "בַר אב"), ("none", [], "", "")], f"k string, al {PAIRS.simpleString()}, gt string, pred string")
     got = {r.k: (r.dec, r.cha, r.voc, r.wor) for r in confusion.factoring(d, "al", "gt", "pred").collect()}
     assert got == {"x": (0.5, 2 / 3, 0.0, 0.5), "none": (1.0, 1.0, 1.0, 1.0)}
+
+
+def test_accuracies_of_nulls_and_gaps(spark):
+    rows = [("gap", [("\u05d1\u05b8", None), (None, "\u05d2"), ("\u05d3\u05b7\u05bc", "\u05d3\u05bc\u05b7")], "\u05d1 \u05d3", "\u05d2 \u05d3"), ("none", [], "", ""), ("null", None, None, "x")]
+    d = spark.createDataFrame(rows, "k string, al array<struct<g:string,p:string>>, gt string, pred string").repartition(2)
+    got = {r.k: (r.dec, r.cha, r.voc, r.wor) for r in confusion.factoring(d, "al", "gt", "pred").collect()}
+    # decisions: one of two consonants right, whatever the order of points; code points and points by place
+    assert got["gap"] == (0.5, 1 / 6, 0.0, 0.5) and got["none"] == (1.0, 1.0, 1.0, 1.0) and got["null"][:3] == (None, None, None)
