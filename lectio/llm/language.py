@@ -91,7 +91,9 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, each: int = EACH, size: int = SIZE) -> Hierarchy | None:
-    """Fitted on whole texts of a sample of at most `each` documents a language; None when no row has text and lang."""
+    """Fitted on whole texts of a sample of at most `each` documents a language and features.MOST in all; no language of a
+    row is left out while there are at most as many. None when no row has text and lang.
+    """
     schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,8 @@ def fit(docs: DataFrame, each: int = EACH, size: int = SIZE) -> Hierarchy | None
 def identify(docs: DataFrame, model: Hierarchy | None, size: int = SIZE) -> DataFrame:
     """(doc_id, lang_pred, score, tag) of every whole text; `und` with score 0 if it is null, has no letter, or nothing could be fitted.
 
-    Only the text enters a prediction. Each row of a repeated doc_id is judged by itself; an empty table gives no rows.
+    A letter is what Unicode calls one (str.isalpha); digits, fractions and Roman numeral signs aren't. Only the text
+    enters a prediction. Each row of a repeated or null doc_id is judged by itself; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("tag", pa.int64())])

@@ -16,7 +16,10 @@ BLOCK = 4096
 
 
 def token_lengths(docs: DataFrame, path: str | None = None, added: bool = False) -> DataFrame:
-    """(doc_id, n_tokens) of every whole text; null and empty texts have 0 tokens. added: as in packing.pack()."""
+    """(doc_id, n_tokens) of every whole text; null and empty texts have 0 tokens. added: as in packing.pack().
+
+    A row each for repeated and null doc_ids; an empty table gives no rows. Other columns of docs are ignored.
+    """
     path = path or bpe.default_path()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 

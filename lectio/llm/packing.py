@@ -92,8 +92,9 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
 
     derive: further columns from ids; keep_ids=False drops ids, so that closed windows' ids are never stored.
     added: the content of an added token in a text is that token, as the tokenizer's file has it, not plain text.
-    Null and empty texts are documents of the one token end_id; repeated doc_ids are packed as documents of their own;
-    an empty table gives no rows; other columns of docs are ignored.
+    Null and empty texts are documents of the one token end_id; repeated and null doc_ids are packed as documents of
+    their own, under the id that they have; an empty table gives no rows; other columns of docs are ignored. Of windows
+    with equal room the one opened first is taken.
     """
     path, derive = path or bpe.default_path(), derive or {}
 

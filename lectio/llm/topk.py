@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from lectio.llm.common import partitions, record, written
 
 #: Rows of a block, blocks that a task holds and orders by similarity, depth of the first look into the lists.
-BLOCK, HELD_BLOCKS, DEPTH = 4096, 4, 8
+BLOCK, HELD_BLOCKS, DEPTH = 4096, 8, 8
 #: Queries scored at once, bytes of queries in a broadcast, rows that the first k-th scores come from, rows that others are likened to.
-QUERIES, QUERY_BYTES, SAMPLE, PIVOTS = 512, 64 << 20, 1024, 32
+QUERIES, QUERY_BYTES, SAMPLE, PIVOTS = 512, 64 << 20, 1024, 256
 #: Bytes of candidates in a task.
 TASK_BYTES = 64 << 20
 
@@ -96,15 +96,17 @@ class Best:
         self.looked, self.most = 0, _largest(q)
 
     def see(self, ids: np.ndarray, x: np.ndarray, block: int) -> None:
-        """Rows of any number: those alike, by the likest of a few queries, form blocks; the most promising block comes first."""
+        """Rows of any number: those alike, by the likest of some queries, form blocks; the most promising block comes first."""
         near = (x.astype(float) @ self.q[:PIVOTS].T.astype(float)).argmax(1)
         by = np.argsort(near, kind="stable")
+        ends = np.flatnonzero(np.r_[near[by][1:] != near[by][:-1], True]) + 1
         blocks = []
-        for i in range(0, len(by), block):
-            part = x[by[i : i + block]]
-            # below 2**53 doubles are exact integers; larger values are Python's
-            exact = x.shape[1] * _largest(part) * self.most < 2**52
-            blocks.append((exact, Lists(ids[by[i : i + block]], part.astype(float if exact else object))))
+        for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            for k in range(i, j, block):
+                at = by[k : min(j, k + block)]
+                # below 2**53 doubles are exact integers; larger values are Python's
+                exact = x.shape[1] * _largest(x[at]) * self.most < 2**52
+                blocks.append((exact, Lists(ids[at], x[at].astype(float if exact else object))))
         blocks.sort(key=lambda b: -float(np.abs(b[1].value[[0, -1]]).sum()))
         for exact, lists in blocks:
             query, score, row, looked = lists.search(self.q.astype(float if exact else object), self.own, self.kth, self.k)

@@ -274,7 +274,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, score): the highest probability of any window of the whole text; windows overlap by WINDOW - STRIDE words.
 
     Null and empty texts score as a window without words; without a network every score is 0. Only the text enters.
-    Each row of a repeated doc_id is scored by itself; an empty table gives no rows.
+    Each row of a repeated or null doc_id is scored by itself; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

@@ -113,3 +113,38 @@ def test_fit_sample_is_bounded(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("k"))
     got = sample(d, F.col("k"), 50).groupBy("k").count().collect()
     assert sum(x["count"] for x in got) <= 150 and min(x["count"] for x in got) > 20
+
+
+def test_a_sample_has_every_class_and_no_more_than_its_bound(spark):
+    from lectio.llm import features
+
+    rows = [(i, f"k{i}") for i in range(1001)] + [(2000 + i, "big") for i in range(5000)] + [(9000 + i, None) for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = [r.lang for r in features.sample(d, F.col("lang"), 800, 3000).collect()]
+    assert set(got) == {x for _, x in rows if x} and len(got) <= 3000
+    few = [r.lang for r in features.sample(d, F.col("lang"), 800, 500).collect()]
+    assert len(few) == 500  # more classes than rows allowed
+    two = [r.lang for r in features.sample(d.where("doc_id >= 1000"), F.col("lang"), 800).collect()]
+    assert two.count("k1000") == 1 and 600 < two.count("big") < 1000
+    assert features.sample(d.where("false"), F.col("lang"), 5).count() == 0
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    from lectio.llm import language
+
+    r = random.Random(0)
+    words = {"en": ["the", "with", "thing"], "de": ["der", "und", "nicht"]}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(["en", "de"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2167 12"), (3, "_"), (4, None), (5, ""), (6, "the"), (None, "und")], "doc_id long, text string")
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(odd, language.fit(docs)).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(1, 6)) and got[6][0] == "en" and got[None][0] == "de"
+
+
+def test_long_labelled_texts_stay_out_of_the_toxicity_fit(spark):
+    from lectio.llm import features
+
+    docs = spark.createDataFrame([(1, "a" * 100), (2, "b" * 5), (3, None), (4, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, None), (None, 1)], "doc_id long, label int")
+    assert [bytes(x.text) for x in features.sampled_texts(docs, labels, "label", 10, most_bytes=50).collect()] == [b"bbbbb"]
+    assert features.sampled_texts(docs, labels, "label", 10).count() == 2

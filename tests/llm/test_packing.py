@@ -61,6 +61,53 @@ def test_each_token_lies_in_one_piece(spark, plain, parts, merge):
         assert n <= 128 and n & (n - 1) == 0  # full windows and powers of two: no padding
 
 
+def plain_packing(pieces, size, most):
+    """Windows one by one, by looking at all that are open: (number, pieces) in the order in which they close, and the rest."""
+    windows, closed, made = {}, [], 0
+    room = lambda w: size - sum(len(p[2]) // 4 for p in windows[w])
+    for doc, ids in pieces:
+        start, total = 0, len(ids) // 4
+        while ids:
+            n = len(ids) // 4
+            fits = [w for w in windows if room(w) >= n]
+            if n >= size:
+                w, take = made, size
+            elif fits:
+                w, take = min(fits, key=lambda x: (room(x), x)), n
+            elif len(windows) < most:
+                w, take = made, n
+            else:
+                w = min(windows, key=lambda x: (room(x), x))
+                take = room(w)
+            if w == made:
+                windows[w], made = [], made + 1
+            windows[w].append((doc, start, ids[: 4 * take], total))
+            start, ids = start + take, ids[4 * take :]
+            if not room(w):
+                closed.append((w, windows.pop(w)))
+    return closed, windows
+
+
+@pytest.mark.parametrize("most", [1, 2, 16])
+def test_windows_are_those_of_a_plain_best_fit(most):
+    r = random.Random(most)
+    for _ in range(30):
+        pieces = [(i, bytes(4 * r.choice([1, 2, 3, 5, 9, 16, 31, 32, 33, 70]))) for i in range(r.randrange(80))]
+        w = packing.Windows(32, most, 0)
+        for doc, ids in pieces:
+            w.add(doc, 0, ids, len(ids) // 4)
+        assert (w.take(), w.inside) == plain_packing(pieces, 32, most)
+
+
+def test_rows_of_a_null_doc_id_are_documents(spark):
+    d = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
+    got = packing.pack(d, keep_ids=False, derive={"c": F.crc32}).where("start = 0").collect()
+    assert sorted(((r.doc_id, r.doc_tokens) for r in got), key=repr) == [(1, 3), (None, 1), (None, 3)]
+    from lectio.llm import lengths
+
+    assert sorted(((r.doc_id, r.n_tokens) for r in lengths.token_lengths(d).collect()), key=repr) == [(1, 2), (None, 0), (None, 2)]
+
+
 def test_without_ids_and_without_rows(spark):
     d = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     got = packing.pack(d, keep_ids=False, derive={"c": F.crc32})

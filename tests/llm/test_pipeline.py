@@ -91,3 +91,68 @@ def test_one_row_of_each_class_stays(spark):
     got = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert [x for x in got if x[1] in (c, c + " y")] in ([(3, c)], [(3, c + " y")])
     assert sorted((x for x in got if x[0] != 3), key=repr) == sorted([(1, a), (1, b), (4, None), (None, a), (None, a)], key=repr)
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    corpus(spark, tmp_path / "a")
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_only_the_last_table_of_a_run_stays(spark, tmp_path):
+    from lectio.llm import common
+
+    corpus(spark, tmp_path)
+    before = common.tables()
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    assert common.tables() - before == {run.table_path} and run.count() > 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from lectio.llm import common
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_a_run_is_its_plain_version(spark, tmp_path):
+    """All five stages by loops over rows, on what the one before kept."""
+    import zlib
+
+    import numpy as np
+    import tokenizers
+    from test_line_dedup import brute_runs
+    from test_ngram_join import brute
+
+    from lectio.llm import bpe, features
+
+    rows = corpus(spark, tmp_path)
+    model = language.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    texts = [(i, t) for i, t, *_ in rows]
+    langs, scores = model.predict(np.stack([features.byte_grams((t or "").encode(), language.SIZE) for _, t in texts]))
+    texts = [x for x, s in zip(texts, scores, strict=True) if x[1] and any(map(str.isalpha, x[1])) and s >= corpus_pipeline.LEAST_SCORE]
+    texts = [(d, t) for d, t, _, gone in brute_runs(texts) if not gone or t.strip()]
+    texts = [x for x in texts if x[0] in {d for d, _, low in brute(texts, 5, 80, 100) if d == low}]
+    words = lambda t: tiling.Hashes().of(tiling.tokens(t))
+    item = words(spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text)
+    texts = [(d, t) for d, t in texts if sum(k for *_, k in tiling.tile(item, words(t), tiling.SEED)) < tiling.COVERAGE * len(item)]
+    tok = tokenizers.Tokenizer.from_file(bpe.default_path())
+    ids = {d: [*tok.encode(t, add_special_tokens=False).ids, 0] for d, t in texts}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in got} == set(ids) and len(ids) > 50
+    for d, own in ids.items():
+        pieces = sorted((p for p in got if p.doc_id == d), key=lambda p: p.start)
+        assert [p.start for p in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))]
+        assert sum(p.length for p in pieces) == len(own) == pieces[0].doc_tokens
+        assert all(p.ids_crc32 == zlib.crc32(np.asarray(own[p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
