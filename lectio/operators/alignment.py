@@ -20,8 +20,8 @@ from lectio.functions import views
 from lectio.functions.scalars import rate
 
 #: Clusters up to which the native form is the faster one; rows or columns of a score matrix that are kept at once;
-#: product of lengths up to which the built-in edit distance is the faster one.
-NATIVE_CLUSTERS, ROWS, BUILT_IN = 32, 256, 4_000_000
+#: products of lengths up to which all rows are kept, and up to which the built-in edit distance is the faster one.
+NATIVE_CLUSTERS, ROWS, WHOLE, BUILT_IN = 32, 256, 2_000_000, 4_000_000
 PAIRS = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())]))
 
 
@@ -38,40 +38,55 @@ def _distance(a: str, b: str) -> int:
 
 
 class _Matrix:
-    """Rows of the alignment's score matrix, recomputed in blocks so that memory stays at ROWS rows."""
+    """Rows of the alignment's score matrix, all of a small one; of others they are recomputed in blocks, so that memory stays at ROWS rows.
 
-    def __init__(self, g: list[str], p: list[str]):
-        codes: dict[str, int] = {}
-        names_g, self.ig = self._coded(g, codes)
-        codes = {}
-        names_p, self.ip = self._coded(p, codes)
-        self.table = np.asarray([[_distance(a, b) for b in names_p] for a in names_g], np.int64).reshape(len(names_g), len(names_p))
+    A row is kept less the cost of inserting p so far, so that insertions are a running minimum.
+    """
+
+    def __init__(self, g: list[str], p: list[str], back: bool = True):
+        names_g, self.ig = self._coded(g)
+        names_p, self.ip = self._coded(p)
+        sizes = np.asarray([len(x) for x in names_p], np.int32)
+        self.table = np.asarray([[_distance(a, b) for b in names_p] for a in names_g], np.int32).reshape(len(names_g), len(names_p)) - sizes
         # each distinct cluster of g against the whole of p
         self.wide = self.table[:, self.ip] if len(names_g) * len(p) < 4_000_000 else None
-        self.up = np.asarray([len(x) for x in g], np.int64)
-        self.along = np.cumsum([0, *(len(x) for x in p)])
-        self.starts, row = {0: self.along.copy()}, self.along.copy()
+        self.up = [len(x) for x in g]
+        self.along = np.cumsum([0, *(len(x) for x in p)]).astype(np.int32)
+        row = np.zeros(len(p) + 1, np.int32)
+        self.every = back and len(g) * len(p) <= WHOLE
+        self.starts, self.block = {0: row}, (0, [row])
         for i in range(1, len(g) + 1):
             row = self.next(row, i)
-            if i % ROWS == 0:
+            if self.every:
+                self.block[1].append(row)
+            elif i % ROWS == 0:
                 self.starts[i] = row
-        self.last, self.block = row, (-1, [])
+        self.last = row + self.along
+        if not self.every:
+            self.block = (-1, [])
 
     @staticmethod
-    def _coded(clusters: list[str], codes: dict[str, int]) -> tuple[list[str], np.ndarray]:
+    def _coded(clusters: list[str]) -> tuple[list[str], np.ndarray]:
+        codes: dict[str, int] = {}
         at = np.fromiter((codes.setdefault(x, len(codes)) for x in clusters), np.int64, len(clusters))
         return list(codes), at
 
-    def costs(self, i: int) -> np.ndarray:
+    def shifted(self, i: int) -> np.ndarray:
+        """Costs of pairing g's cluster i with each of p's, less p's."""
         return self.wide[self.ig[i - 1]] if self.wide is not None else self.table[self.ig[i - 1]][self.ip]
 
+    def cost(self, i: int, j: int) -> int:
+        return self.table[self.ig[i - 1], self.ip[j - 1]] + self.along[j] - self.along[j - 1]
+
     def next(self, row: np.ndarray, i: int) -> np.ndarray:
-        best = row + self.up[i - 1]
+        best = row + np.int32(self.up[i - 1])
         if len(self.ip):
-            best[1:] = np.minimum(best[1:], row[:-1] + self.costs(i))
-        return np.minimum.accumulate(best - self.along) + self.along
+            np.minimum(best[1:], row[:-1] + self.shifted(i), out=best[1:])
+        return np.minimum.accumulate(best, out=best)
 
     def row(self, i: int) -> np.ndarray:
+        if self.every:
+            return self.block[1][i]
         k = i // ROWS * ROWS
         if self.block[0] != k:
             rows = [self.starts[k]]
@@ -81,7 +96,7 @@ class _Matrix:
         return self.block[1][i - k]
 
     def score(self, i: int, j: int) -> int:
-        return self.row(i)[j]
+        return int(self.row(i)[j]) + int(self.along[j])
 
 
 class _Unit:
@@ -141,7 +156,7 @@ def alignment_places(g: list[str], p: list[str]) -> list[tuple[int | None, int |
     while i or j:
         if i and j:
             diagonal = m.score(i - 1, j - 1)
-            if here == diagonal + (g[i - 1] != p[j - 1] if unit else m.costs(i)[j - 1]):
+            if here == diagonal + (g[i - 1] != p[j - 1] if unit else m.cost(i, j)):
                 i, j, here = i - 1, j - 1, diagonal
                 out.append((i, j))
                 continue
@@ -175,7 +190,7 @@ def align_letters(side: str, backbone: str) -> list[int | None]:
 
 
 def cluster_cost(g: list[str], p: list[str]) -> int:
-    return _Unit(g, p).total if _single(g, p) else int(_Matrix(g, p).last[-1])
+    return _Unit(g, p).total if _single(g, p) else int(_Matrix(g, p, back=False).last[-1])
 
 
 def _rows(f: Callable, *columns: pa.Array) -> list:
@@ -197,6 +212,10 @@ def aligned(g: pa.Array, p: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array(none, pa.bool_()))
 
 
+# a filter on a column of it, such as explode() brings along, would else align all over again below the column
+aligned = aligned.asNondeterministic()
+
+
 @F.arrow_udf(T.IntegerType())
 def edit_total(g: pa.Array, p: pa.Array) -> pa.Array:
     """Cost of the optimal alignment of two cluster arrays of any length."""

@@ -28,14 +28,20 @@ def mark_confusion(pairs: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys…, gt_mark, pred_mark, n) over an array<struct<g, p>> column of aligned clusters.
 
     In a pair, equal names match as multisets; what is left of a class is zipped in order of name, and the rest is
-    confused with the absent label.
+    confused with the absent label. Distinct pairs are counted first, and each is settled once.
     """
-    flat = pairs.select(*keys, F.posexplode(column).alias("at", "pair")).where("pair.g is not null or pair.p is not null")
+    flat = pairs.select(*keys, F.explode(column).alias("pair")).select(*keys, "pair.g", "pair.p").where("g is not null or p is not null")
+    counted = flat.groupBy(*keys, "g", "p").agg(F.count("*").alias("n"))
+    met = _confused(counted).select(*keys, "n", F.explode("m").alias("m"))
+    return met.groupBy(*keys, F.col("m.gt").alias("gt_mark"), F.col("m.pred").alias("pred_mark")).agg(F.sum("n").alias("n"))
+
+
+def _confused(flat: DataFrame) -> DataFrame:
+    """Adds m, array<struct<gt, pred>>, to pairs of clusters (g, p); clusters hold a handful of points, so a pair is settled in its row."""
     empty = F.array().cast("array<string>")
-    side = lambda c: F.when(F.col(f"pair.{c}").isNull(), empty).otherwise(views.mark_names(F.col(f"pair.{c}")))
-    flat = flat.select(*keys, side("g").alias("g"), side("p").alias("p")).where("size(g) + size(p) > 0")
-    # clusters hold a handful of points, so a pair is settled in its row and nothing is shuffled but the counts
-    g, p = F.col("g"), F.col("p")
+    side = lambda c: F.when(F.col(c).isNull(), empty).otherwise(views.mark_names(F.col(c)))
+    flat = flat.withColumns({"ng": side("g"), "np": side("p")}).where("size(ng) + size(np) > 0")
+    g, p = F.col("ng"), F.col("np")
     n = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     hits = F.flatten(F.transform(F.array_distinct(F.array_intersect(g, p)), lambda x: F.array_repeat(F.struct(x.alias("gt"), x.alias("pred")), F.least(n(g, x), n(p, x)))))
     left = lambda a, b: F.array_sort(F.flatten(F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(n(a, x) - n(b, x), F.lit(0))))))
@@ -44,7 +50,7 @@ def mark_confusion(pairs: DataFrame, column: str, keys: list[str]) -> DataFrame:
     of = lambda a, c: F.filter(a, lambda x: views.mark_class(x) == c)
     absent = lambda x: F.coalesce(x, F.lit(cp.ABSENT))
     zipped = F.flatten(F.transform(classes, lambda c: F.zip_with(of(F.col("lg"), c), of(F.col("lp"), c), lambda x, y: F.struct(absent(x).alias("gt"), absent(y).alias("pred")))))
-    return flat.select(*keys, F.explode(F.concat("hits", zipped)).alias("m")).groupBy(*keys, F.col("m.gt").alias("gt_mark"), F.col("m.pred").alias("pred_mark")).agg(F.count("*").alias("n"))
+    return flat.withColumn("m", F.concat("hits", zipped))
 
 
 @lru_cache(maxsize=200_000)
