@@ -31,7 +31,7 @@ from lectio.llm.ngram_join import CHUNK, _pack, _unpack, summed_chunks
 #: Words of the longest prefix, buckets of the counts of prefixes of each length.
 PREFIX, BUCKETS = 4, 1 << 20
 #: Suffixes that a group is to hold, words a task holds before it merges, words whose marks are in memory at once.
-GROUP, HELD, MARKED = 1_000_000, 2_000_000, 1_000_000
+GROUP, HELD, MARKED = 1_000_000, 1_000_000, 1_000_000
 #: Tasks of a shuffle at most.
 TASKS = 20_000
 BLOBS = pa.schema([("part", pa.int64()), ("suffixes", pa.bool_()), ("payload", pa.binary())])
