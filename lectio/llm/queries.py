@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import language, lengths, line_dedup, ngram_join, packing, quality, substrings, tiling, topk, toxicity
+from lectio.llm import language, lengths, line_dedup, ngram_join, packing, periods, quality, substrings, tiling, topk, toxicity
 from lectio.llm.common import crc_mod
 
 
@@ -70,6 +70,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_table(lengths.token_lengths(_t(spark, sf_dir, "documents"), added=True))
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """docs, a tenth of whose texts go round in their own words from some word on: where and how often, the id's CRC-32 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, n, g = F.col("_words"), F.size("_words"), F.expr("_h div 10")
+    first = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - first) / (3 + g % 8))).cast("int")
+    rounds = F.array_repeat(F.slice(words, first + 1, p), F.ceil((n - first) / p).cast("int"))
+    turned = F.array_join(F.concat(F.slice(words, F.lit(1), first), F.slice(F.flatten(rounds), F.lit(1), n - first)), " ")
+    split = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return docs.select("doc_id", "text", h.alias("_h"), split.alias("_words")).select("doc_id", F.when(n > 0, turned).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.collapse(made_periodic(_t(spark, sf_dir, "documents")))
+    return found.withColumn("best", periods.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periods.lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,12 +98,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_ngram_join, op2_packing, op3_language, op4_line_dedup, op5_quality, op6_decontamination, op7_substrings, op8_toxicity, op9_topk, op10_token_counts, pipeline)
+    ops = (op1_ngram_join, op2_packing, op3_language, op4_line_dedup, op5_quality, op6_decontamination, op7_substrings, op8_toxicity, op9_topk, op10_token_counts, op11_periods, pipeline)
     return {f.__name__: f for f in ops}
 
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of ASCII text."""
+    bits = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ord(s)::BIGINT)), lambda c, x: {bits}))"
+
+
 SQL = {
     "op1_ngram_join": rf"""
 WITH RECURSIVE w AS (
@@ -108,6 +136,26 @@ kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.pos) AS t FROM p ANT
 lost AS (SELECT doc_id, count(*) AS k FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(lost.k, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)""",
+    "op11_periods": rf"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+g AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS turned, (h // 10) % greatest(len(ws), 1) AS a, 3 + (h // 10) % 8 AS parts FROM h),
+d AS (
+  SELECT doc_id, n, CASE WHEN turned THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE ws END AS ws FROM g),
+w AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS pos FROM d),
+e AS (SELECT x.doc_id, x.pos, y.pos - x.pos AS p FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.pos > x.pos AND 4 * (y.pos - x.pos) <= x.n),
+i AS (SELECT doc_id, p, pos, pos - row_number() OVER (PARTITION BY doc_id, p ORDER BY pos) AS island FROM e),
+s AS (SELECT doc_id, p, min(pos) AS start, count(*) + p AS length FROM i GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY doc_id, start, length),
+b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS spans FROM r GROUP BY doc_id),
+k AS (
+  SELECT doc_id, start, length, period FROM r
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS pos FROM r),
+c AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS t FROM w ANTI JOIN x ON x.doc_id = w.doc_id AND x.pos = w.pos GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(spans, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op9_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
