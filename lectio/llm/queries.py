@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectio.llm import language, lengths, line_dedup, ngram_join, packing, periods, quality, substrings, tiling, topk, toxicity
+from lectio.llm import fingerprints, language, lengths, line_dedup, ngram_join, packing, periods, quality, repair, substrings, tiling, topk, toxicity
 from lectio.llm.common import crc_mod
 
 
@@ -91,6 +91,26 @@ def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a row in twenty each left out, emptied, without ends of sentences, repeated and of another role, by its CRC-32."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    what = F.crc32(F.concat_ws(":", plain("conv_id"), plain("turn")).cast("binary")) % 20
+    text = F.when(what == 1, "").when(what == 2, F.regexp_replace(plain("text"), "[.!?]", "")).otherwise(plain("text"))
+    role = F.when(what == 4, "user").otherwise(plain("role"))
+    copies = F.when(what == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.where(what != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations")
+    return repair.repair(damaged(rows), rows)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.following(_t(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_ngram_join, op2_packing, op3_language, op4_line_dedup, op5_quality, op6_decontamination, op7_substrings, op8_toxicity, op9_topk, op10_token_counts, op11_periods, pipeline)
+    ops = (op1_ngram_join, op2_packing, op3_language, op4_line_dedup, op5_quality, op6_decontamination, op7_substrings, op8_toxicity, op9_topk, op10_token_counts, op11_periods, op12_repair, op13_fingerprints, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -156,6 +176,45 @@ c AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.pos) AS t FROM w ANTI J
 SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
   (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(spans, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op12_repair": rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT *, {_crc32("name")} % 20 AS what FROM o),
+m AS (
+  SELECT conv_id, turn, CASE what WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE what WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h WHERE what <> 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), copy) AS pos, left(role, 1) AS i FROM m),
+f AS (
+  SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || '.' || i AS pair,
+    CASE WHEN NOT regexp_matches(text, '{WORDS}') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '-' END AS fault FROM p),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('s.u', 'u.a', 'a.u')) AS illegal, max(pos) AS n FROM f GROUP BY conv_id),
+follow(last, later) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+ins(last, edits, later) AS (VALUES ('', '', ''), ('', 'I', 'u'), ('', 'II', 'a'), ('s', '', 's'), ('s', 'I', 'u'), ('s', 'II', 'a'), ('u', '', 'u'), ('u', 'I', 'a'), ('a', '', 'a'), ('a', 'I', 'u')),
+ways AS (
+  SELECT DISTINCT i.last, i.edits, e.edit, CASE e.edit WHEN 'D' THEN i.later ELSE x.later END AS later
+  FROM ins i CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(edit) LEFT JOIN follow x ON x.last = i.later AND e.edit <> 'D' AND (e.edit = 'K' OR x.later <> 's')),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS t, '' AS last, {{'cost': 0::BIGINT, 'audit': ''}} AS best, '' AS body FROM n
+  UNION ALL
+  SELECT conv_id, t, last, best, body FROM (
+    SELECT d.conv_id, d.t + 1 AS t, w.later AS last, {{'cost': d.best.cost + 5 * length(w.edits) + CASE w.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN w.edit <> 'D' AND f.fault = 't' THEN 5 ELSE 0 END, 'audit': d.best.audit || w.edits || w.edit}} AS best,
+      d.body || CASE w.edits WHEN '' THEN '' WHEN 'I' THEN CASE d.last WHEN 'u' THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE 'user:' || chr(10) || 'assistant:' || chr(10) END
+        || CASE w.edit WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE CASE w.later WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text || chr(10) END AS body
+    FROM dp d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.t + 1 JOIN ways w ON w.last = d.last AND (w.edit = 'D' OR f.fault NOT IN ('b', 'd') AND (w.edit = 'R' OR w.later = f.i)))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, last ORDER BY best.cost, best.audit) = 1),
+z AS (
+  SELECT n.*, d.best.cost + 5 * length(i.edits) AS cost, d.best.audit || i.edits AS audit,
+    d.body || CASE i.edits WHEN '' THEN '' WHEN 'I' THEN 'assistant:' || chr(10) ELSE 'user:' || chr(10) || 'assistant:' || chr(10) END AS body
+  FROM n JOIN dp d ON d.conv_id IS NOT DISTINCT FROM n.conv_id AND d.t = n.n JOIN ins i ON i.last = d.last AND i.later IN ('', 'a')
+  QUALIFY row_number() OVER (PARTITION BY n.conv_id ORDER BY d.best.cost + 5 * length(i.edits), d.best.audit || i.edits) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(body, length(body) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op9_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
