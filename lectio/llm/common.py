@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries a worker keeps in a word cache before it starts afresh, and rows in an Arrow batch of texts.
 CACHE_ENTRIES, ARROW_ROWS = 300_000, 1000
@@ -256,7 +257,8 @@ def per_document(docs: DataFrame, marks: DataFrame, make, schema: pa.Schema, ddl
             more = [b.column(4 + i).take(pa.array(taken, pa.int32())) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays(cols + more, names=[*schema.names, *carry])
 
-    return rows.mapInArrow(run, ddl + "".join(f", `{k.name}` {k.dataType.simpleString()}" for k in kinds))
+    made = T.StructType(T.StructType.fromDDL(ddl).fields + kinds)
+    return rows.mapInArrow(run, made)
 
 
 def crc_mod(col: str, n: int):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.common import batches, record, texts
-from lectio.llm.features import byte_grams, sample, sigmoid
+from lectio.llm.features import byte_grams, sampled_texts, sigmoid
 
 # Closely related written languages by ISO 639-1 code. A code in none of them is a family by itself.
 FAMILIES = {
@@ -92,7 +92,9 @@ class Hierarchy:
 
 def fit(docs: DataFrame, each: int = EACH, size: int = SIZE) -> Hierarchy | None:
     """Fitted on whole texts of a sample of at most `each` documents a language and features.MOST in all; no language of a
-    row is left out while there are at most as many. None when no row has text and lang.
+    row is left out while there are at most as many. Only the sample's ids, which are bounded, go to the texts, which
+    become features where they lie. Of rows that repeat a doc_id the smallest text and lang count; rows of a null doc_id
+    teach nothing. None when no row has doc_id, text and lang.
     """
     schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
 
@@ -100,8 +102,8 @@ def fit(docs: DataFrame, each: int = EACH, size: int = SIZE) -> Hierarchy | None
         for b in batches(rows):
             yield record(schema, b.column(1), [byte_grams(t, size).astype(np.float32).tobytes() for t in b.column(0).to_pylist()])
 
-    rows = sample(docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang")), F.col("lang"), each)
-    got = rows.select(F.col("text").cast("binary").alias("text"), "lang").mapInArrow(run, "lang string, x binary").collect()
+    known = docs.where("text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    got = sampled_texts(known, known, "lang", each).select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.x)))
     return Hierarchy(np.stack([np.frombuffer(r.x, np.float32) for r in got]), [r.lang for r in got]) if got else None
 

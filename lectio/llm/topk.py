@@ -9,6 +9,7 @@ k-th score starts from a sample of rows and goes on from block to block.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,8 +158,9 @@ def top_k(vectors: DataFrame, queries, k: int = 10, scale: int = 1024, block: in
     as a query such an id counts once, with the least of its vectors. A score past the range of a long is the range's end.
     An empty table gives no rows. Other columns are ignored.
 
-    Queries go to the candidates in groups of at most query_bytes, each of which passes the candidates once; a task
-    sends on k rows a query, which are merged by rank.
+    Queries go to the candidates in groups of at most query_bytes, one group after the other, so that driver and tasks
+    hold one group whatever their number; each passes the candidates once. A task sends on k rows a query, which are
+    merged by rank.
     """
     spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
@@ -194,10 +196,12 @@ def top_k(vectors: DataFrame, queries, k: int = 10, scale: int = 1024, block: in
             for one in best.values():
                 yield record(schema, one.own[one.query], one.id, [int(s) for s in one.score])
 
-        return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        found = candidates.mapInArrow(run, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(w))
+        found = found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if groups > 1:  # k rows a query are kept of a group, and nothing of its vectors
+            found = written(found)
+            shared.destroy()
+        return found
 
-    found = of_group(0)
-    for g in range(1, groups):
-        found = found.unionByName(of_group(g))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return functools.reduce(DataFrame.unionByName, [of_group(g) for g in range(groups)])

@@ -156,3 +156,34 @@ def test_a_run_is_its_plain_version(spark, tmp_path):
         assert [p.start for p in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))]
         assert sum(p.length for p in pieces) == len(own) == pieces[0].doc_tokens
         assert all(p.ids_crc32 == zlib.crc32(np.asarray(own[p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
+
+
+#: Names that operators, joins and windows use themselves, and some that need quoting.
+CLASHING = ["n_removed", "n_lines", "_id", "_tag", "_row", "tag", "mark", "payload", "c0", "_others", "class", "a`b.c", "DOC_ID2", "score"]
+
+
+def with_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    extra = [F.concat(F.lit(f"{i}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for i, c in enumerate(CLASHING)]
+    return docs.select(F.create_map(F.lit("k"), F.col("doc_id")).alias("kv"), *extra, *docs.columns, F.struct(F.col("doc_id").alias("x`y")).alias("text2"))
+
+
+def test_stages_take_any_other_columns(spark, tmp_path):
+    rows = corpus(spark, tmp_path / "a")
+    plain = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    docs = with_clashing_columns(plain.unionByName(plain.where("doc_id in (3, 5, 104)")).unionByName(spark.createDataFrame([(None, rows[7][1], "en", "s", 1)] * 2, COLUMNS)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/a/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, docs, str(tmp_path)), stage(spark, docs.select(*COLUMNS_OF), str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        got = out.collect()
+        assert sorted(map(str, ((x.doc_id, x.text, x.n_chars) for x in got))) == sorted(map(str, ((x.doc_id, x.text, x.n_chars) for x in want.collect())))
+        for x in got:
+            assert x["a`b.c"] == f"{CLASHING.index('a`b.c')}/{'-' if x.doc_id is None else x.doc_id}" and x.kv == {"k": x.doc_id} and x.text2[0] == x.doc_id
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= {None, 3}
+
+
+COLUMNS_OF = ["doc_id", "text", "lang", "source", "n_chars"]
