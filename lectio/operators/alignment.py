@@ -1,106 +1,31 @@
 """Sequence alignment of grapheme clusters and of letters.
 
-Where every cluster is one code point all costs are one: totals are the built-in edit distance, and alignments come from
-bit vectors of a column's differences. Otherwise totals of verse-length texts have a native form (nested aggregate), and
-alignments and long texts run in Arrow batches on numpy rows.
+Alignments of an Arrow batch's rows are filled and read back together, in bands (banded.py). Totals need no way back: where
+every cluster is one code point they are the built-in edit distance or bit vectors of a column's differences, in
+verse-length texts a nested aggregate, else the batch's tables without their choices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectio.functions import views
 from lectio.functions.scalars import rate
+from lectio.operators.banded import shared
 
-#: Clusters up to which the native form is the faster one; rows or columns of a score matrix that are kept at once;
-#: products of lengths up to which all rows are kept, and up to which the built-in edit distance is the faster one.
-NATIVE_CLUSTERS, ROWS, WHOLE, BUILT_IN = 32, 256, 2_000_000, 4_000_000
+#: Clusters up to which the native form is the faster one; columns of bit vectors that are kept at once; products of
+#: lengths up to which the built-in edit distance is the faster one.
+NATIVE_CLUSTERS, ROWS, BUILT_IN = 32, 256, 4_000_000
 PAIRS = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())]))
 
 
-@lru_cache(maxsize=200_000)
-def _distance(a: str, b: str) -> int:
-    if a == b:
-        return 0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-class _Matrix:
-    """Rows of the alignment's score matrix, all of a small one; of others they are recomputed in blocks, so that memory stays at ROWS rows.
-
-    A row is kept less the cost of inserting p so far, so that insertions are a running minimum.
-    """
-
-    def __init__(self, g: list[str], p: list[str], back: bool = True):
-        names_g, self.ig = self._coded(g)
-        names_p, self.ip = self._coded(p)
-        sizes = np.asarray([len(x) for x in names_p], np.int32)
-        self.table = np.asarray([[_distance(a, b) for b in names_p] for a in names_g], np.int32).reshape(len(names_g), len(names_p)) - sizes
-        # each distinct cluster of g against the whole of p
-        self.wide = self.table[:, self.ip] if len(names_g) * len(p) < 4_000_000 else None
-        self.up = [len(x) for x in g]
-        self.along = np.cumsum([0, *(len(x) for x in p)]).astype(np.int32)
-        row = np.zeros(len(p) + 1, np.int32)
-        self.every = back and len(g) * len(p) <= WHOLE
-        self.starts, self.block = {0: row}, (0, [row])
-        for i in range(1, len(g) + 1):
-            row = self.next(row, i)
-            if self.every:
-                self.block[1].append(row)
-            elif i % ROWS == 0:
-                self.starts[i] = row
-        self.last = row + self.along
-        if not self.every:
-            self.block = (-1, [])
-
-    @staticmethod
-    def _coded(clusters: list[str]) -> tuple[list[str], np.ndarray]:
-        codes: dict[str, int] = {}
-        at = np.fromiter((codes.setdefault(x, len(codes)) for x in clusters), np.int64, len(clusters))
-        return list(codes), at
-
-    def shifted(self, i: int) -> np.ndarray:
-        """Costs of pairing g's cluster i with each of p's, less p's."""
-        return self.wide[self.ig[i - 1]] if self.wide is not None else self.table[self.ig[i - 1]][self.ip]
-
-    def cost(self, i: int, j: int) -> int:
-        return self.table[self.ig[i - 1], self.ip[j - 1]] + self.along[j] - self.along[j - 1]
-
-    def next(self, row: np.ndarray, i: int) -> np.ndarray:
-        best = row + np.int32(self.up[i - 1])
-        if len(self.ip):
-            np.minimum(best[1:], row[:-1] + self.shifted(i), out=best[1:])
-        return np.minimum.accumulate(best, out=best)
-
-    def row(self, i: int) -> np.ndarray:
-        if self.every:
-            return self.block[1][i]
-        k = i // ROWS * ROWS
-        if self.block[0] != k:
-            rows = [self.starts[k]]
-            for r in range(k + 1, min(k + ROWS, len(self.up)) + 1):
-                rows.append(self.next(rows[-1], r))
-            self.block = (k, rows)
-        return self.block[1][i - k]
-
-    def score(self, i: int, j: int) -> int:
-        return int(self.row(i)[j]) + int(self.along[j])
-
-
 class _Unit:
-    """The same matrix where all costs are one, by columns: bit i of `plus` and `minus` is the step from row i to i + 1.
+    """Scores where all costs are one, by columns: bit i of `plus` and `minus` is the step from row i to i + 1.
 
     A column takes a few operations on integers of as many bits as g has letters; columns are recomputed in blocks, so
     that memory stays at ROWS of them and the first of each block.
@@ -148,67 +73,57 @@ def _single(g: list[str], p: list[str]) -> bool:
     return len("".join(g)) == len(g) and len("".join(p)) == len(p)
 
 
-def alignment_places(g: list[str], p: list[str]) -> list[tuple[int | None, int | None]]:
-    """Places in g and p of the optimal alignment; ties go to the pair, then to a deletion from g, then to an insertion from p."""
-    unit = _single(g, p)
-    m, out, i, j = _Unit(g, p) if unit else _Matrix(g, p), [], len(g), len(p)
-    here = m.score(i, j)
-    while i or j:
-        if i and j:
-            diagonal = m.score(i - 1, j - 1)
-            if here == diagonal + (g[i - 1] != p[j - 1] if unit else m.cost(i, j)):
-                i, j, here = i - 1, j - 1, diagonal
-                out.append((i, j))
-                continue
-        up = m.score(i - 1, j) if i else None
-        if i and here == up + len(g[i - 1]):
-            i, here = i - 1, up
-            out.append((i, None))
-        else:
-            j, here = j - 1, here - len(p[j - 1])
-            out.append((None, j))
-    return out[::-1]
+def _lists(*columns: pa.Array) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray]:
+    """(each column's rows as numbers of elements, begin of each row among the column's elements, which rows have a null)."""
+    flat = [c.flatten().dictionary_encode() for c in columns]
+    numbers = shared().numbers([x for f in flat for x in f.dictionary.to_pylist()])
+    rows, begins, at = [], [], 0
+    for c, f in zip(columns, flat, strict=True):
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        codes = numbers[at : at + len(f.dictionary)][f.indices.to_numpy()] if len(f) else np.zeros(0, np.int64)
+        rows.append([codes[i:j] for i, j in zip(ends - sizes, ends, strict=True)])
+        begins.append(ends - sizes)
+        at += len(f.dictionary)
+    return rows, begins, np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
 
 
 def align_clusters(g: list[str], p: list[str]) -> list[tuple[str | None, str | None]]:
-    return [(None if i is None else g[i], None if j is None else p[j]) for i, j in alignment_places(g, p)]
+    """Columns of the optimal alignment; ties go to the pair, then to a deletion from g, then to an insertion from p."""
+    numbers = shared().numbers([*g, *p])
+    left, right = shared().ways([numbers[: len(g)]], [numbers[len(g) :]])[0]
+    return [(None if i < 0 else g[i], None if j < 0 else p[j]) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+
+
+def _places(left: np.ndarray, right: np.ndarray) -> list[int | None]:
+    """For each place on the left the 1-based place on the right that it stands for."""
+    return [None if j < 0 else j + 1 for j in right[left >= 0].tolist()]
 
 
 def align_letters(side: str, backbone: str) -> list[int | None]:
     """For each letter of side, the 1-based letter of backbone it stands for, or None. Ties: match, substitution, deletion, insertion."""
-    m, out, i, j = _Unit(side, backbone), [None] * len(side), len(side), len(backbone)
-    while i and j:
-        diag, up, left = m.score(i - 1, j - 1) + (side[i - 1] != backbone[j - 1]), m.score(i - 1, j) + 1, m.score(i, j - 1) + 1
-        if diag <= up and diag <= left:
-            i, j = i - 1, j - 1
-            out[i] = j + 1
-        elif up <= left:
-            i -= 1
-        else:
-            j -= 1
-    return out
+    numbers = shared().numbers([*side, *backbone])
+    return _places(*shared().ways([numbers[: len(side)]], [numbers[len(side) :]])[0])
 
 
 def cluster_cost(g: list[str], p: list[str]) -> int:
-    return _Unit(g, p).total if _single(g, p) else int(_Matrix(g, p, back=False).last[-1])
-
-
-def _rows(f: Callable, *columns: pa.Array) -> list:
-    """f of each row's values; a null in any gives null."""
-    return [None if any(x is None for x in row) else f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+    if _single(g, p):
+        return _Unit(g, p).total
+    numbers = shared().numbers([*g, *p])
+    return int(shared().totals([numbers[: len(g)]], [numbers[len(g) :]])[0])
 
 
 @F.arrow_udf(PAIRS)
 def aligned(g: pa.Array, p: pa.Array) -> pa.Array:
     """Aligned pairs of two cluster arrays; null stands for a gap."""
-    left, right, ends, none = [], [], [0], []
-    for a, b in zip(g.to_pylist(), p.to_pylist(), strict=True):
-        none.append(a is None or b is None)
-        for i, j in () if none[-1] else alignment_places(a, b):
-            left.append(None if i is None else a[i])
-            right.append(None if j is None else b[j])
-        ends.append(len(left))
-    pairs = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["g", "p"])
+    (gs, ps), (g_at, p_at), none = _lists(g, p)
+    ways = shared().ways(*([x[:0] if skip else x for x, skip in zip(side, none, strict=True)] for side in (gs, ps)))
+    ends, sides = np.r_[0, np.cumsum([len(x) for x, _ in ways])], []
+    for k, (column, begin) in enumerate(((g, g_at), (p, p_at))):
+        at = np.concatenate([w[k] for w in ways]) if ways else np.zeros(0, np.int64)
+        gap, at = at < 0, at + np.repeat(begin, np.diff(ends))
+        sides.append(column.flatten().take(pa.array(at, pa.int64(), mask=gap)))
+    pairs = pa.StructArray.from_arrays(sides, ["g", "p"])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array(none, pa.bool_()))
 
 
@@ -219,12 +134,16 @@ aligned = aligned.asNondeterministic()
 @F.arrow_udf(T.IntegerType())
 def edit_total(g: pa.Array, p: pa.Array) -> pa.Array:
     """Cost of the optimal alignment of two cluster arrays of any length."""
-    return pa.array(_rows(cluster_cost, g, p), pa.int32())
+    (gs, ps), _, none = _lists(g, p)
+    return pa.array(shared().totals(gs, ps), pa.int32(), mask=none)
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def letter_alignment(side: pa.Array, backbone: pa.Array) -> pa.Array:
-    return pa.array(_rows(align_letters, side, backbone), pa.list_(pa.int32()))
+    """For each letter of side its place on the backbone, as align_letters() has it."""
+    letters = [pa.array([None if x is None else list(x) for x in c.to_pylist()], pa.list_(pa.string())) for c in (side, backbone)]
+    (a, b), _, none = _lists(*letters)
+    return pa.array([None if skip else _places(*way) for skip, way in zip(none, shared().ways(a, b), strict=True)], pa.list_(pa.int32()))
 
 
 def native_edit_total(g: Column, p: Column) -> Column:

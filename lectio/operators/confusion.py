@@ -28,14 +28,32 @@ def mark_confusion(pairs: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys…, gt_mark, pred_mark, n) over an array<struct<g, p>> column of aligned clusters.
 
     In a pair, equal names match as multisets; what is left of a class is zipped in order of name, and the rest is
-    confused with the absent label. Distinct pairs are counted first, and each is settled once.
+    confused with the absent label. Distinct pairs are counted first, where they are aligned, and each is settled once.
     """
-    flat = pairs.select(*keys, F.explode(column).alias("pair")).select(*keys, "pair.g", "pair.p").where("g is not null or p is not null")
-    counted = flat.groupBy(*keys, "g", "p").agg(F.count("*").alias("n"))
+    counted = pair_numbers(pairs, column, keys).groupBy(*keys, "g", "p").agg(F.sum("n").alias("n"))
     met = _confused(counted).select(*keys, "n", F.explode("m").alias("m"))
     return met.groupBy(*keys, F.col("m.gt").alias("gt_mark"), F.col("m.pred").alias("pred_mark")).agg(F.sum("n").alias("n"))
 
 
+def pair_numbers(pairs: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(keys…, g, p, n): how often each pair of clusters stands in an aligned column, counted in each Arrow batch; other batches may have the same pairs."""
+    d = pairs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(column).alias("pairs"))
+    named = [f"k{i}" for i in range(len(keys))]
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(len(named))
+            rows, inside = pa.compute.list_parent_indices(lists), lists.flatten()
+            t = pa.table([*(b.column(i).take(rows) for i in range(len(named))), inside.field(0), inside.field(1)], names=[*named, "g", "p"])
+            t = t.group_by([*named, "g", "p"]).aggregate([([], "count_all")])
+            for out in t.select([*named, "g", "p", "count_all"]).rename_columns([*named, "g", "p", "n"]).to_batches():
+                yield out
+
+    kinds = [T.StructField(f"k{i}", d.schema[f"k{i}"].dataType) for i in range(len(keys))]
+    made = T.StructType([*kinds, T.StructField("g", T.StringType()), T.StructField("p", T.StringType()), T.StructField("n", T.LongType())])
+    return d.mapInArrow(run, made).withColumnsRenamed({f"k{i}": k for i, k in enumerate(keys)})
+
+
 def _confused(flat: DataFrame) -> DataFrame:
     """Adds m, array<struct<gt, pred>>, to pairs of clusters (g, p); clusters hold a handful of points, so a pair is settled in its row."""
     empty = F.array().cast("array<string>")

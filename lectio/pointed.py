@@ -25,7 +25,7 @@ POINTS = ("aeiou,.;:!?-", "\u05B7\u05B6\u05B4\u05B9\u05BB\u05AF\u05BF\u05BC\u05C
 TURNED = ("\u05BB", "\u05B9")
 
 
-def pointed(c: str) -> Column:
+def pointed(c: str | Column) -> Column:
     s = F.lower(c)
     for pattern, new in ((r"([aeiou])[aeiou]+", "$1"), (r"([.,;:!?\-])[.,;:!?\-]+", "$1"), (r"([.,;:!?\-])([aeiou])", "$1 $2")):
         s = F.regexp_replace(s, pattern, new)
@@ -118,6 +118,31 @@ def aligned_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion.factoring(d, "al", "g", "p").select(*KEYS, *[_r(c).alias(c) for c in ("dec", "cha", "voc", "wor")])
 
 
+CLUSTER_SQL = r"(?s).[\x{0591}-\x{05BD}\x{05BF}]*"
+#: Letters and points as ASCII letters, which the pointed text has none of: SQL's edit distance counts bytes.
+PLAIN_SQL = lambda x: f"translate({x}, '{LETTERS[1] + POINTS[1]}', '{''.join(map(chr, [*range(65, 91), *range(97, 116)]))}')"
+NAMED = ("p_name", "p_brand", "p_type")
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT p_partkey, regexp_extract_all({_sql(" || ' ' || ".join(NAMED))}, '{CLUSTER_SQL}') AS cs FROM part),
+s AS (SELECT a.p_partkey, a.cs AS g, b.cs AS p FROM x a JOIN x b ON b.p_partkey = a.p_partkey + 1),
+t(p_partkey, i, g, p, scores) AS (
+  SELECT p_partkey, 0::BIGINT, g, p, list_transform(range(len(p) + 1), lambda j: {{'c': length(array_to_string(p[1:j], ''))::BIGINT, 'w': repeat('i', j)}}) FROM s
+  UNION ALL
+  SELECT p_partkey, i + 1, g, p, list_reduce(list_prepend([{{'c': scores[1].c + length(g[i + 1]), 'w': scores[1].w || 'd'}}], list_transform(range(1, len(p) + 1), lambda j: [
+      {{'c': scores[j].c + levenshtein({PLAIN_SQL('g[i + 1]')}, {PLAIN_SQL('p[j]')}), 'w': scores[j].w || 'm'}}, {{'c': scores[j + 1].c + length(g[i + 1]), 'w': scores[j + 1].w || 'd'}}, {{'c': length(p[j])::BIGINT, 'w': 'i'}}])),
+    lambda a, x: list_append(a, CASE WHEN x[1].c <= x[2].c AND x[1].c <= a[-1].c + x[3].c THEN x[1] WHEN x[2].c <= a[-1].c + x[3].c THEN x[2] ELSE {{'c': a[-1].c + x[3].c, 'w': a[-1].w || 'i'}} END))
+  FROM t WHERE i < len(g))
+SELECT p_partkey, scores[-1].c AS edits, length(array_to_string(g, ''))::BIGINT AS denominator, scores[-1].w AS way FROM t WHERE i = len(g)""")
+def gapped_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2: unlike pointed texts aligned cluster by cluster, with gaps, ties and pairs of clusters of several code points; each part against the next."""
+    x = _t(spark, sf_dir, "part").select("p_partkey", views.clusters(pointed(F.concat_ws(" ", *NAMED))).alias("cs"))
+    pairs = x.select("p_partkey", F.col("cs").alias("g")).join(x.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("cs").alias("p")), "p_partkey")
+    move = lambda c: F.when(c["g"].isNull(), "i").when(c["p"].isNull(), "d").otherwise("m")
+    al = pairs.withColumn("al", alignment.aligned("g", "p"))
+    return al.select("p_partkey", alignment.alignment_cost(F.col("al")).alias("edits"), F.length(F.array_join("g", "")).cast("long").alias("denominator"), F.array_join(F.transform("al", move), "").alias("way"))
+
+
 @query(f"""WITH {TURNED_SQL}, c AS (SELECT role, unnest(string_split(g, '')) AS c FROM x), n AS (SELECT role, c, CASE unicode(c) {NAMED_SQL} END AS gt_mark FROM c)
 SELECT role, gt_mark, CASE WHEN c = '{TURNED[0]}' THEN 'holam' ELSE gt_mark END AS pred_mark, count(*)::BIGINT AS n FROM n WHERE gt_mark IS NOT NULL GROUP BY ALL""")
 def point_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,14 +175,14 @@ def whole_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH x AS (SELECT conv_id, turn, unnest(string_split(replace({_sql('text')}, chr(10), ' '), '{cp.SOF_PASUQ}')) AS c FROM conversations), y AS (SELECT conv_id, turn, regexp_replace(c, '^\s+|\s+$', '', 'g') AS c FROM x)
 SELECT conv_id, turn, count(*)::BIGINT AS chunks, sum(length(c))::BIGINT AS total FROM y WHERE c <> '' GROUP BY conv_id, turn""")
 def verse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text cut at verse ends."""
+    """A text cut at verse ends."""
     c = documents.chunked(_t(spark, sf_dir, "conversations").select(*KEYS, F.concat(F.lit("<MF>"), pointed("text")).alias("t")), "t")
     return c.groupBy(*KEYS).agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("total"))
 
 
 @query(f"""WITH {RECORDS_SQL} SELECT conv_id, turn, (len(cs) + CASE WHEN turn % 3 = 1 THEN 1 ELSE 0 END)::BIGINT AS stored, turn % 3 = 1 OR (turn % 3 = 2 AND len(list_filter(cs, lambda c: contains(c, '{cp.CIRCELLUS}') OR contains(c, '{cp.RAFE}'))) > 0) AS drift FROM x""")
 def drifted_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored counts and marks against what a text yields."""
+    """Stored counts and marks against what a text yields."""
     x = _t(spark, sf_dir, "conversations").select(*KEYS, pointed("text").alias("chunk"))
     kept = F.when(F.col("turn") % 3 == 2, F.array().cast(documents.POSITIONAL)).otherwise(marks.extract_positional(F.col("chunk")))
     x = x.withColumns({"consonant_count": views.consonant_count(F.col("chunk")) + (F.col("turn") % 3 == 1).cast("int"), "tier4_positional": kept})
@@ -180,7 +205,7 @@ def ruled_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT 'folio' AS kind, folio AS stratum, pp, pn, np, nn FROM u UNION ALL SELECT 'section', 'prose', sum(pp), sum(pn), sum(np), sum(nn) FROM u)
 SELECT kind, stratum, (pp + pn + np + nn)::BIGINT AS n_verses, round(CASE WHEN 2 * pp + pn + np = 0 THEN 1.0 ELSE 2 * pp / (2 * pp + pn + np) END, 6) AS f1, round(2 * (pp + nn) / (pp + pn + np + nn) - 1, 6) AS pabak FROM s""")
 def label_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both stratifications of a panel in one aggregation."""
+    """Both stratifications of a panel in one aggregation."""
     d = _coders(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("folio")), "doc_id").withColumn("section", F.lit("prose"))
     return agreement.strata(d, [m.f1("f1", "pp", "np", "pn"), AGREE[1]]).select("kind", "stratum", F.col("n_verses").cast("long").alias("n_verses"), _r("f1").alias("f1"), _r("pabak").alias("pabak"))
 
@@ -326,7 +351,7 @@ def broken_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'no such supplier' AS rule, l_suppkey::VARCHAR AS subject FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 <> 0))")
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys without a row on the other side; the other way isn't asked."""
+    """Keys without a row on the other side; the other way isn't asked."""
     s = _t(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
     return v.referenced(_t(spark, sf_dir, "lineitem"), s, "l_suppkey", "no such supplier").select("rule", "subject")
 
@@ -346,7 +371,7 @@ def model_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH k AS (SELECT event_id, props->>'$.k' AS k FROM events), l AS (SELECT k, min(event_id) AS first FROM k GROUP BY k) SELECT event_id, 'answer ' || k AS response FROM k JOIN l USING (k)""")
 def replayed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests answered from a log by the digest of their canonical form."""
+    """Requests answered from a log by the digest of their canonical form."""
     k = F.get_json_object("props", "$.k")
     e = _t(spark, sf_dir, "events").select("event_id", k.alias("k"))
     said = lambda d, order: d.withColumn("request", F.concat(*order))
@@ -358,7 +383,7 @@ def replayed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
 SELECT l_orderkey AS run, l_linenumber::BIGINT AS at, round(sum(q) OVER (PARTITION BY l_orderkey, f ORDER BY l_linenumber), 2) AS spent_folio, round(sum(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 2) AS spent_run FROM c""")
 def running_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals of a run's calls under caps that they keep to."""
+    """Running totals of a run's calls under caps that they keep to."""
     c = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("at")).agg(F.max("l_returnflag").alias("folio"), F.sum("l_quantity").alias("usd"))
     return runs.within_budget(c, 1e9, 1e9).select("run", F.col("at").cast("long").alias("at"), F.round("spent_folio", 2).alias("spent_folio"), F.round("spent_run", 2).alias("spent_run"))
 
@@ -400,7 +425,7 @@ def legacy_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN [p_name] WHEN 1 THEN [p_name, p_type] WHEN 2 THEN [p_type] ELSE [p_brand, p_name] END) AS line FROM part""")
 def prediction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction documents written and read in each of their shapes."""
+    """Prediction documents written and read in each of their shapes."""
     p = _t(spark, sf_dir, "part")
     line = lambda *cs: F.array(*[F.struct(F.col(c).alias("tier2")) for c in cs])
     shaped = p.select(F.col("p_partkey").alias("folio_id"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).alias("text"), F.when(F.col("p_partkey") % 4 == 1, line("p_name", "p_type")).alias("lines"), F.when(F.col("p_partkey") % 4 == 2, F.col("p_type")).alias("tier2"))

@@ -432,7 +432,7 @@ def costs_and_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS roles, count(*)::BIGINT AS line_count, sum(length(text))::BIGINT AS total FROM conversations GROUP BY conv_id")
 def ordered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3, K4: documents nested again in their order."""
+    """K4: documents nested again in their order."""
     c = _t(spark, sf_dir, "conversations")
     d = c.select(F.col("conv_id").alias("folio"), F.col("turn").alias("seq"), F.col("text").alias("chunk"), F.col("role").alias("verse_ref"), F.length("text").alias("consonant_count"), F.array().cast(documents.POSITIONAL).alias("tier4_positional"))
     return sinks.folio_goldens(d).select(F.col("folio_id").alias("conv_id"), F.array_join("verse_refs", "|").alias("roles"), "line_count", F.col("consonant_total").alias("total"))

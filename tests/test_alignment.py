@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectio.operators import alignment as al
+from lectio.operators import banded
 
 
 def plain_distance(a, b):
@@ -53,14 +55,52 @@ def some(seed, n=40):
     return [([r.choice(["a", "b", "ca", "cb", "d"]) for _ in range(r.randrange(14))], [r.choice(["a", "b", "ca", "cb", "d"]) for _ in range(r.randrange(14))]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("rows", [2, 3, 256])
-def test_clusters_align_as_the_whole_table_says(monkeypatch, rows):
-    monkeypatch.setattr(al, "ROWS", rows)
-    monkeypatch.setattr(al, "WHOLE", 0 if rows < 256 else 10**6)
-    for g, p in [(list(a), list(b)) for a, b in CASES] + some(1):
+@pytest.mark.parametrize(("cells", "band"), [(4, 1), (40, 2), (1 << 24, 8)])
+def test_clusters_align_as_the_whole_table_says(monkeypatch, cells, band):
+    """In bands of any width, and in halves where a table has more than `cells` cells."""
+    monkeypatch.setattr(banded, "CELLS", cells)
+    monkeypatch.setattr(banded, "BAND", band)
+    r = random.Random(band)
+    likes = [(x, [c for c in x if r.random() > 0.1]) for x in ([r.choice(["a", "b", "ca"]) for _ in range(60)] for _ in range(20))]
+    cases = [(list(a), list(b)) for a, b in CASES] + some(1) + likes + [(["", "a", ""], ["a", "", "b"])]
+    for g, p in cases:
         want, cost = plain_alignment(g, p)
         assert al.align_clusters(g, p) == want
-        assert al._Matrix(g, p).last[-1] == cost
+        assert al.cluster_cost(g, p) == cost
+    al_ = banded.Aligner()
+    number = dict(zip(names := sorted({x for g, p in cases for x in (*g, *p)}), al_.numbers(names).tolist(), strict=True))
+    sides = [[np.asarray([number[x] for x in side], np.int64) for side in pair] for pair in zip(*cases, strict=True)]
+    for (g, p), total, (i, j) in zip(cases, al_.totals(*sides), al_.ways(*sides), strict=True):
+        want, cost = plain_alignment(g, p)
+        assert total == cost and [(None if a < 0 else g[a], None if b < 0 else p[b]) for a, b in zip(i, j, strict=True)] == want
+
+
+def test_long_texts_take_memory_in_proportion(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(banded, "CELLS", 1 << 18)
+    r = np.random.default_rng(0)
+    a, used = banded.Aligner(), []
+    a.numbers(["a", "b", "cd", "e"])
+    for n in (2_000, 8_000):
+        g = r.integers(0, 4, n)
+        p = g[r.random(n) > 0.02]
+        tracemalloc.start()
+        i, j = a.ways([g], [p])[0]
+        used.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert i[i >= 0].tolist() == list(range(n)) and j[j >= 0].tolist() == list(range(len(p)))
+    assert used[1] < 8 * used[0]
+
+
+def test_costs_are_edit_distances():
+    names = ["", "a", "ab", "ba", "abc", "é", "éa", "xyz", "aaaa"]
+    costs = banded.Costs()
+    costs.numbers(names[1:4])
+    costs.numbers(names)
+    for x in names:
+        assert banded.distances(x, names).tolist() == [plain_distance(x, y) for y in names]
+        assert [costs.table[costs.names[x], costs.names[y]] for y in names] == [plain_distance(x, y) for y in names]
 
 
 def plain_letters(side, backbone):
