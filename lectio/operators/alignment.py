@@ -18,61 +18,11 @@ from lectio.functions import views
 from lectio.functions.scalars import rate
 from lectio.operators.banded import shared
 
-#: Clusters up to which the native form is the faster one; columns of bit vectors that are kept at once; products of
-#: lengths up to which the built-in edit distance is the faster one.
-NATIVE_CLUSTERS, ROWS, BUILT_IN = 32, 256, 4_000_000
+#: Clusters up to which the native form is the faster one; products of lengths up to which the built-in edit distance is.
+NATIVE_CLUSTERS, BUILT_IN = 32, 4_000_000
 PAIRS = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())]))
 
 
-class _Unit:
-    """Scores where all costs are one, by columns: bit i of `plus` and `minus` is the step from row i to i + 1.
-
-    A column takes a few operations on integers of as many bits as g has letters; columns are recomputed in blocks, so
-    that memory stays at ROWS of them and the first of each block.
-    """
-
-    def __init__(self, g: str | list[str], p: str | list[str]):
-        self.rows = (1 << len(g)) - 1
-        self.where: dict[str, int] = {}
-        for i, x in enumerate(g):
-            self.where[x] = self.where.get(x, 0) | 1 << i
-        self.p, self.starts, at = p, {0: (self.rows, 0)}, (self.rows, 0)
-        for j in range(1, len(p) + 1):
-            at = self.next(at, j)
-            if j % ROWS == 0:
-                self.starts[j] = at
-        self.total, self.block = self._value(at, len(g), len(p)), (-1, [])
-
-    def next(self, column: tuple[int, int], j: int) -> tuple[int, int]:
-        plus, minus = column
-        same = self.where.get(self.p[j - 1], 0)
-        down = same | minus
-        across = ((same & plus) + plus ^ plus) | same
-        more, less = (minus | ~(across | plus)) << 1 | 1, (plus & across) << 1
-        return (less | ~(down | more)) & self.rows, more & down & self.rows
-
-    def column(self, j: int) -> tuple[int, int]:
-        k = j // ROWS * ROWS
-        if self.block[0] != k:
-            columns = [self.starts[k]]
-            for c in range(k + 1, min(k + ROWS, len(self.p)) + 1):
-                columns.append(self.next(columns[-1], c))
-            self.block = (k, columns)
-        return self.block[1][j - k]
-
-    @staticmethod
-    def _value(column: tuple[int, int], i: int, j: int) -> int:
-        under = (1 << i) - 1
-        return j + (column[0] & under).bit_count() - (column[1] & under).bit_count()
-
-    def score(self, i: int, j: int) -> int:
-        return self._value(self.column(j), i, j)
-
-
-def _single(g: list[str], p: list[str]) -> bool:
-    return len("".join(g)) == len(g) and len("".join(p)) == len(p)
-
-
 def _lists(*columns: pa.Array) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray]:
     """(each column's rows as numbers of elements, begin of each row among the column's elements, which rows have a null)."""
     flat = [c.flatten().dictionary_encode() for c in columns]
@@ -107,8 +57,6 @@ def align_letters(side: str, backbone: str) -> list[int | None]:
 
 
 def cluster_cost(g: list[str], p: list[str]) -> int:
-    if _single(g, p):
-        return _Unit(g, p).total
     numbers = shared().numbers([*g, *p])
     return int(shared().totals([numbers[: len(g)]], [numbers[len(g) :]])[0])
 

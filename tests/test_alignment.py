@@ -60,6 +60,7 @@ def test_clusters_align_as_the_whole_table_says(monkeypatch, cells, band):
     """In bands of any width, and in halves where a table has more than `cells` cells."""
     monkeypatch.setattr(banded, "CELLS", cells)
     monkeypatch.setattr(banded, "BAND", band)
+    monkeypatch.setattr(banded, "BITS", 0)
     r = random.Random(band)
     likes = [(x, [c for c in x if r.random() > 0.1]) for x in ([r.choice(["a", "b", "ca"]) for _ in range(60)] for _ in range(20))]
     cases = [(list(a), list(b)) for a, b in CASES] + some(1) + likes + [(["", "a", ""], ["a", "", "b"])]
@@ -79,6 +80,7 @@ def test_long_texts_take_memory_in_proportion(monkeypatch):
     import tracemalloc
 
     monkeypatch.setattr(banded, "CELLS", 1 << 18)
+    monkeypatch.setattr(banded, "BITS", 0)
     r = np.random.default_rng(0)
     a, used = banded.Aligner(), []
     a.numbers(["a", "b", "cd", "e"])
@@ -122,15 +124,15 @@ def plain_letters(side, backbone):
     return out, s
 
 
-@pytest.mark.parametrize("rows", [1, 3, 256])
-def test_bit_vectors_give_the_whole_table(monkeypatch, rows):
-    monkeypatch.setattr(al, "ROWS", rows)
-    r = random.Random(rows)
+@pytest.mark.parametrize("bits", [0, 1 << 26])
+def test_bit_vectors_give_the_whole_table(monkeypatch, bits):
+    monkeypatch.setattr(banded, "BITS", bits)
+    r = random.Random(bits)
     for _ in range(60):
         a, b = ("".join(r.choice("abcé") for _ in range(r.randrange(70))) for _ in range(2))
         want, table = plain_letters(a, b)
-        m = al._Unit(a, b)
-        assert m.total == table[-1][-1] and all(m.score(i, j) == table[i][j] for i in range(len(a) + 1) for j in range(len(b) + 1))
+        codes = [np.asarray([ord(c) for c in x], np.int64) for x in (a, b)]
+        assert all(banded.bit_vectors(codes[0][:i], codes[1][:j], False)[0] == table[i][j] for i in range(0, len(a) + 1, 9) for j in range(0, len(b) + 1, 5))
         assert al.align_letters(a, b) == want
         assert al.align_clusters(list(a), list(b)) == plain_alignment(list(a), list(b))[0]
         assert al.cluster_cost(list(a), list(b)) == table[-1][-1]
