@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-#: Terms that are broadcast at once.
-NEEDLES = 100_000
+#: Terms, and bytes of them, that are broadcast at once.
+NEEDLES, NEEDLE_BYTES = 1_000_000, 4 << 20
+#: Ranges of rows whose order has no key.
+RANGES = 200
 
 
 def _said(d: DataFrame, rule: str, subject: Column, detail: Column | str = "") -> DataFrame:
@@ -90,37 +94,62 @@ def bound_to(d: DataFrame, subject: str, value: str, expected: str | None, rule:
     return _said(d.where(F.col(value).isNotNull() & (F.col(value) != expected)), rule, F.col(subject), F.col(value))
 
 
-def needles(texts: DataFrame, subject: str, text: str, terms: DataFrame, whitelist: DataFrame | None = None, allowed: list[str] | None = None, fold: bool = True, block: int = NEEDLES) -> DataFrame:
+def needles(texts: DataFrame, subject: str, text: str, terms: DataFrame, whitelist: DataFrame | None = None, allowed: list[str] | None = None, fold: bool = True, block: int = NEEDLES, block_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """(subject, needle): texts that contain a term, whitelisted subjects and allowed strings left out first.
 
-    terms (needle, optional exempt: array of subjects). A term of three words or more is anchored at its longest inner
-    word, which a text that contains it has as a word too: texts and terms meet on it, and only then is the term looked
-    for. Shorter terms are looked for in every text. Terms are broadcast in blocks of `block`, texts read once a block.
-    Null texts and terms take no part.
+    terms (needle, optional exempt: array of subjects). All terms of a block are one automaton (Aho-Corasick), so that a
+    text is read once whatever their number; a block has about `block` terms and block_bytes of them, which is what is
+    broadcast, and each block reads the texts once. A text's row is its own: nothing is joined, and no text is copied for its words.
+    Null texts and terms take no part; the empty term is in every text; a repeated term is found once for each of its rows.
     """
-    body = F.lower(text) if fold else F.col(text)
+    spark, body = texts.sparkSession, F.lower(text) if fold else F.col(text)
     for a in allowed or []:
         body = F.replace(body, F.lit(a.lower() if fold else a), F.lit(""))
-    d = texts.select(F.col(subject).alias("subject"), body.alias("_body"))
+    d = texts.select(F.col(subject).alias("subject"), body.alias("body")).where("body is not null")
     if whitelist is not None:
         d = d.join(whitelist.select(F.col(whitelist.columns[0]).alias("subject")), "subject", "left_anti")
-    inner = F.split("_needle", r"\s+")
-    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    n = terms.where("needle is not null").withColumn("_needle", F.lower("needle") if fold else F.col("needle"))
-    n = n.withColumn("_anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    blocks = max(1, -(-n.count() // block))
-    hit = F.contains("_body", "_needle")
-    if "exempt" in terms.columns:
-        hit = hit & ~F.coalesce(F.array_contains("exempt", F.col("subject")), F.lit(False))
-    words = d.select("subject", "_body", F.explode(F.array_distinct(F.split("_body", r"\s+"))).alias("_anchor"))
+    exempt = F.col("exempt") if "exempt" in terms.columns else F.array().cast(T.ArrayType(d.schema["subject"].dataType))
+    n = terms.where("needle is not null").select("needle", (F.lower("needle") if fold else F.col("needle")).alias("folded"), exempt.alias("exempt"))
+    size = F.octet_length("needle") + F.octet_length("folded") + F.octet_length(F.coalesce(F.to_json("exempt"), F.lit("")))
+    total = n.agg(F.count("*").alias("n"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-total.n // block), -(-total.bytes // block_bytes))
+    made = T.StructType([d.schema["subject"], T.StructField("needle", T.StringType())])
     found = []
     for k in range(blocks):
-        some = n.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == k) if blocks > 1 else n
-        found.append(words.join(F.broadcast(some.where("_anchor is not null")), "_anchor").where(hit).select("subject", "needle"))
-        found.append(d.join(F.broadcast(some.where("_anchor is null")), hit).select("subject", "needle"))
+        some = n.where(F.pmod(F.xxhash64("folded"), F.lit(blocks)) == k) if blocks > 1 else n
+        held = spark.sparkContext.broadcast([(r.folded, r.needle, frozenset(r.exempt or ())) for r in some.collect()])
+        found.append(d.mapInArrow(_scan(held), made))
     return all_of(*found)
 
 
+def _scan(held):
+    """Rows (subject, needle) of Arrow batches (subject, body), with the terms held: (folded, needle, exempt subjects)."""
+
+    def run(batches):
+        import ahocorasick
+
+        terms, every, automaton = held.value, [], ahocorasick.Automaton()
+        for i, (folded, _, _) in enumerate(terms):
+            if folded:
+                automaton.add_word(folded, [*automaton.get(folded, ()), i])
+            else:
+                every.append(i)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            rows, needle = [], []
+            for row, (subject, body) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                met = set(every)
+                for _, at in automaton.iter(body) if len(automaton) else ():
+                    met.update(at)
+                hits = [i for i in sorted(met) if subject not in terms[i][2]]
+                rows += [row] * len(hits)
+                needle += [terms[i][1] for i in hits]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(needle, pa.string())], names=["subject", "needle"])
+
+    return run
+
+
 def whole_words(texts: DataFrame, subject: str, text: str, words: list[str], rule: str = "legacy word") -> DataFrame:
     """Lines that have one of the words whole, in whatever case: the subject with its line number, and the word.
 
@@ -159,10 +188,26 @@ def append_only(head: DataFrame, staged: DataFrame, order: str) -> DataFrame:
 
 
 def chain(rows: DataFrame, order: str, previous: str, new: str, start: Column | None = None, by: list[str] | None = None) -> DataFrame:
-    """Rows whose `previous`, where given, isn't the last `new` before them (or start for the first)."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    expected = F.last(new, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = rows.withColumn("_e", F.coalesce(expected, start) if start is not None else expected)
+    """Rows whose `previous`, where given, isn't the last `new` before them (or start for the first).
+
+    Without keys to partition by, rows are ranged by order: a range takes its start from the last `new` of those before
+    it, a row each.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(order)
+        expected = F.last(new, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = rows.withColumn("_e", F.coalesce(expected, start) if start is not None else expected)
+        return _said(d.where(F.col(previous).isNotNull() & ~F.col(previous).eqNullSafe(F.col("_e"))), "chain broken", F.col(order), F.col(previous))
+    cuts = rows.select(F.percentile_approx(order, [k / RANGES for k in range(1, RANGES)], 10_000).alias("c")).first().c or []
+    cuts = sorted(set(cuts))
+    part = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(order) <= c)) if cuts else F.lit(0)
+    ranged = rows.withColumn("_part", part)
+    ends = ranged.where(F.col(new).isNotNull()).groupBy("_part").agg(F.max_by(new, order).alias("_last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.select("_part").distinct().join(ends, "_part", "left").select("_part", F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.coalesce(F.last(new, ignorenulls=True).over(w), "_start")
+    d = ranged.join(F.broadcast(starts), "_part").withColumn("_e", F.coalesce(found, start) if start is not None else found)
     return _said(d.where(F.col(previous).isNotNull() & ~F.col(previous).eqNullSafe(F.col("_e"))), "chain broken", F.col(order), F.col(previous))
 
 

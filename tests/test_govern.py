@@ -83,6 +83,43 @@ def test_needles_are_those_of_a_plain_scan(spark):
         assert sorted(map(tuple, v.needles(d, "i", "t", n, block=block).collect())) == want
 
 
+def test_time_of_a_scan_does_not_go_by_the_number_of_terms(spark):
+    import time
+
+    words = [f"w{i:05d}" for i in range(50_000)]
+    d = spark.createDataFrame([(i, " ".join(words[(7 * i + k) % 50_000] for k in range(0, 2_000, 40)) + " end") for i in range(400)], "i int, t string").repartition(4).persist()
+    d.count()
+    few, took = [*words[:8], "end", ""], []
+    for terms in (few, [*words, "end", ""]):
+        n = spark.createDataFrame([(x,) for x in terms], "needle string").persist()
+        n.count()
+        began = time.time()
+        got = v.needles(d, "i", "t", n).collect()
+        took.append(time.time() - began)
+    by: dict[int, set] = {}
+    for r in got:
+        by.setdefault(r.subject, set()).add(r.needle)
+    assert all(by[r.i] == {*r.t.split(), ""} for r in d.collect())
+    assert took[1] < 10 * took[0] + 20
+
+
+def test_a_chain_without_keys_is_that_of_a_plain_walk(spark):
+    import random
+
+    r = random.Random(1)
+    rows, last, want = [], None, []
+    for i in range(900):
+        previous = r.choice([None, last, last, last, i])
+        if previous is not None and previous != (0 if last is None else last):
+            want.append(str(i))
+        new = r.choice([None, i * 10])
+        rows.append((i, previous, new))
+        last = new if new is not None else last
+    d = spark.createDataFrame(rows, "o int, p int, n int").repartition(5)
+    assert sorted(x.subject for x in v.chain(d, "o", "p", "n", F.lit(0)).collect()) == sorted(want) and want
+    assert v.chain(d.where("false"), "o", "p", "n").count() == 0
+
+
 def test_digests_are_of_sixteen_digits_and_say_what_of(spark):
     full = "ab" * 32
     have = spark.createDataFrame([("f", full), ("g", "00" * 32), ("a@b", full)], "path string, sha256 string")
