@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import html
 import json
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectio import codepoints as cp
-from lectio.functions import views
+from lectio.functions.visible import visible_text  # noqa: F401
 
 
 def precision(tp: Column, fp: Column, fn: Column) -> Column:
@@ -85,34 +84,6 @@ def polygon_box(points: Column) -> Column:
     return F.when(F.size(points) > 0, box.cast("array<int>")).otherwise(F.array(*[F.lit(0)] * 4))
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else html.unescape(x))
-
-
-# What a reader of rendered markdown doesn't see, in the order in which it goes. An open comment or element
-# runs to the end of the text; a tag has a letter after its bracket, so that <https://…> stays.
-UNSEEN = {
-    "comment": r"(?s)<!--.*?(?:-->|\z)",
-    "element": r"(?is)<(script|style|template)(?![\w])[^>]*>.*?(?:</\1\s*>|\z)",
-    "link definition": r"(?dm)^ {0,3}\[[^\]]+\]:[ \t]*(?:<[^<>\n]*>|[^SPACE]+)[ \t]*(?:TITLE)?[ \t]*(?:\n[ \t]+(?:TITLE)[ \t]*)?$",
-    "tag": r"</?[A-Za-z][A-Za-z0-9-]*(?:[SPACE][^<>]*)?/?>",
-}
-TITLE = r"\"[^\"]*\"|'[^']*'|\([^)]*\)"
-EMPTY_LINK = r"!?\[[ \t]*\](?:\([^)]*\)|\[[^\]]*\])"
-
-
-def visible_text(markdown: Column) -> Column:
-    """What a reader sees, by removal only: comments, elements that aren't prose, link definitions and tags go from the raw text; then entities
-    are read, invisible characters go, and last the links and images that have no text left."""
-    s = markdown
-    for pattern in UNSEEN.values():
-        s = F.regexp_replace(s, pattern.replace("SPACE", views.SPACE).replace("TITLE", TITLE), "")
-    s = _unescaped(s)
-    s = F.regexp_replace(F.regexp_replace(s, r"[\p{Cf}\p{Cc}&&[^\n\t\r]]|\p{Mn}", ""), r"\p{Zs}", " ")
-    return F.regexp_replace(s, EMPTY_LINK, "")
-
-
 def package_name(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[-_.]+", "-"))
 

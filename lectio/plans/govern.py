@@ -132,10 +132,29 @@ def versioned(texts: DataFrame, tag: str) -> DataFrame:
     return hit.groupBy("path").agg(F.min_by("body", "at").alias("body"))
 
 
+#: Marks of markdown that say nothing by themselves.
+MARKUP = "*_`>#.-"
+
+
 def substantive(body):
     """Whether a body says something once it is read as a reader sees it."""
-    plain = F.lower(F.trim(F.regexp_replace(visible_text(body), rf"[{views.SPACE}*_`>#.\-]+", " ")))
-    return (plain != "") & ~plain.isin(*PLACEHOLDERS)
+    words = views.tokens(F.translate(visible_text(body), MARKUP, " " * len(MARKUP)))
+    return (F.size(words) > 0) & ~F.lower(F.array_join(words, " ")).isin(*PLACEHOLDERS)
+
+
+def _level(line):
+    """How many number signs a heading has; 0 for other lines."""
+    return F.length(F.regexp_extract(line, r"^(#+)[ \t\r]", 1))
+
+
+def under(body, heading: str):
+    """The lines under the first third-level heading that begins so, up to the next heading of its level or above; null without one."""
+    lines = F.split(body, "\n")
+    names = F.transform(lines, lambda x: (_level(x) == 3) & F.startswith(F.ltrim(F.substr(x, F.lit(4))), F.lit(heading)))
+    first = F.array_position(names, True)
+    rest = F.slice(lines, first + 1, F.size(lines))
+    stop = F.array_position(F.transform(rest, lambda x: _level(x).between(1, 3)), True)
+    return F.when(first > 0, F.array_join(F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest), "\n"))
 
 
 def signoff(texts: DataFrame, tag: str, today: dt.date | None = None) -> DataFrame:
@@ -151,8 +170,8 @@ def signoff(texts: DataFrame, tag: str, today: dt.date | None = None) -> DataFra
 def disclosure(texts: DataFrame, tag: str, heading: str = "Governance") -> DataFrame:
     """Violations of a version's changelog: a third-level section under that heading that says something."""
     d = versioned(texts, tag)
-    body = F.regexp_extract("body", rf"(?sm)^###[ \t]+{heading}[^\n]*\n?(.*?)(?=^#{{1,3}}\s|\Z)", 1)
-    checks = {"has a disclosure": F.col("body").rlike(rf"(?m)^###[ \t]+{heading}"), "discloses something": substantive(body)}
+    body = under(F.col("body"), heading)
+    checks = {"has a disclosure": body.isNotNull(), "discloses something": body.isNotNull() & substantive(F.coalesce(body, F.lit("")))}
     return _or_missing(d, v.rules(d, "path", checks), "no changelog entry", tag)
 
 

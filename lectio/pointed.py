@@ -294,11 +294,15 @@ def _visible_sql(c: str) -> str:
     return rf"regexp_replace({s}, '\p{{Cf}}|\p{{Mn}}', '', 'g')"
 
 
-@query(f"WITH x AS (SELECT page_id, {_visible_sql('html')} AS t FROM pages) SELECT page_id, sha256(t) AS digest, trim(regexp_replace(t, '[\\s*_`>#.\\-]+', ' ', 'g')) <> '' AS substantive FROM x")
+#: Before and after a page: definitions with their titles on the line and below it, links and images without a text, and what is left of them.
+DEFINED, EMPTY = ("[page]: https://example.org/a \"a page\"\n[next]: <a b>\n    (below)\n", "\n\n"), (" [ \t](/policy)![](x)[\u200b][page][p](/q)", " [p](/q)")
+
+
+@query(f"WITH x AS (SELECT page_id, '{DEFINED[1]}' || {_visible_sql(f"html || '{EMPTY[1]}'")} AS t FROM pages) SELECT page_id, sha256(t) AS digest, trim(regexp_replace(t, '[\\s*_`>#.\\-]+', ' ', 'g')) <> '' AS substantive FROM x")
 def visible_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a reader sees of a page's markup, and whether it says something."""
-    p = _t(spark, sf_dir, "pages")
-    return p.select("page_id", F.sha2(scalars.visible_text(F.col("html")), 256).alias("digest"), govern.substantive(F.col("html")).alias("substantive"))
+    """What a reader sees of a page's markup, with definitions before it and empty links after, and whether it says something."""
+    page = F.concat(F.lit(DEFINED[0]), F.col("html"), F.lit(EMPTY[0]))
+    return _t(spark, sf_dir, "pages").select("page_id", F.sha2(scalars.visible_text(page), 256).alias("digest"), govern.substantive(page).alias("substantive"))
 
 
 @query("""SELECT event_type || CASE WHEN user_id % 2 = 0 THEN '' ELSE 'x' END AS raw, CASE WHEN user_id % 2 = 1 THEN NULL WHEN event_type = 'view' THEN 'inverted_nun' WHEN event_type = 'click' THEN 'puncta_extraordinaria' WHEN event_type = 'error' THEN 'rafe' ELSE 'double_rafe' END AS canonical,
