@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lectio import codepoints as cp
 from lectio.functions.scalars import f1 as _f1
+from lectio.operators.draws import seeded_plan
 
 NAN = float("nan")
 #: Names of the interval methods by (method, clustered).
@@ -119,12 +120,6 @@ def evaluate(stats: DataFrame, metrics: list[Metric], by: list[str] | None = Non
     return sums.select(*(by or []), *[m.of() for m in metrics])
 
 
-def _draws(n: int, b: int, seed: int) -> Iterator[tuple[int, Counter]]:
-    rng = random.Random(seed)
-    for k in range(b):
-        yield k, Counter(rng.randrange(n) for _ in range(n))
-
-
 def _cluster_draws(members: list[list[int]], b: int, seed: int) -> Iterator[tuple[int, Counter]]:
     rng = random.Random(seed)
     for k in range(b):
@@ -139,15 +134,18 @@ def _cluster_draws(members: list[list[int]], b: int, seed: int) -> Iterator[tupl
 def plan(spark: SparkSession, n: int, b: int = cp.RESAMPLES, seed: int = cp.SEED, clusters: list | None = None) -> DataFrame:
     """The resample plan (b, i, w): how often unit i is drawn in resample b.
 
-    Drawn by one seeded generator, as its stream is sequential; shared by every metric over the same n units. With
-    clusters (a label a unit), whole clusters are drawn first and then their members.
+    Drawn by one seeded generator, ranges of whose stream are drawn in parallel (draws.py); shared by every metric over
+    the same n units. With clusters (a label a unit), whole clusters are drawn first and then their members: how many
+    words a draw takes goes by what was drawn before, so that this stream is one task's.
     """
-    groups = list({c: [i for i, x in enumerate(clusters) if x == c] for c in dict.fromkeys(clusters)}.values()) if clusters else None
+    if not clusters:
+        return seeded_plan(spark, n, b, seed)
+    groups = list({c: [i for i, x in enumerate(clusters) if x == c] for c in dict.fromkeys(clusters)}.values())
 
     def draw(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in it:
             rows: list[tuple[int, int, int]] = []
-            for k, drawn in _cluster_draws(groups, b, seed) if groups else _draws(n, b, seed):
+            for k, drawn in _cluster_draws(groups, b, seed):
                 rows.extend((k, i, w) for i, w in drawn.items())
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["b", "i", "w"])

@@ -130,3 +130,25 @@ def test_jackknife_is_the_total_less_its_own(spark):
     got = {r.i: r.f1 for r in m.jackknife(frame(spark), [m.f1("f1")]).collect()}
     assert got == {i: pytest.approx(score(STATS[:i] + STATS[i + 1 :])) for i in range(12)}
     assert m.jackknife(frame(spark).where("i = 0"), [m.f1("f1")]).count() == 0
+
+
+def plain_plan(n, b, seed):
+    import random
+    from collections import Counter
+
+    rng = random.Random(seed)
+    return [(k, i, w) for k in range(b) for i, w in sorted(Counter(rng.randrange(n) for _ in range(n)).items())]
+
+
+@pytest.mark.parametrize(("n", "b", "seed", "words"), [(96, 300, 0xBEEF, 1_000), (200, 64, 7, 250), (1, 40, 3, 7), (64, 50, -5, 61), (100_003, 3, 11, 7_000), (5, 0, 1, 9)])
+def test_the_parallel_plan_is_the_sequential_one(spark, n, b, seed, words):
+    from lectio.operators.draws import seeded_plan
+
+    got = seeded_plan(spark, n, b, seed, words)
+    assert sorted(map(tuple, got.collect())) == plain_plan(n, b, seed)
+    if words * 20 < n * b:
+        assert got.rdd.getNumPartitions() >= 20
+
+
+def test_the_plan_of_no_units_is_empty(spark):
+    assert m.plan(spark, 0, 10, 1).count() == 0
