@@ -7,6 +7,9 @@ verse-length texts a nested aggregate, else the batch's tables without their cho
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -148,28 +151,96 @@ def reproject(marks: DataFrame, axes: DataFrame) -> DataFrame:
     return marks.join(at, "verse_ref", "left").withColumn("new_ordinal", new).withColumn("kept", F.col("new_ordinal").isNotNull()).drop("alignment")
 
 
+MATCHES = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+
+
+def _sets(lists: pa.Array, step: int) -> np.ndarray:
+    """The distinct values of all rows' lists, ascending, each as row * step + value."""
+    rows = pa.compute.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    keep = flat.is_valid().to_numpy(zero_copy_only=False)
+    return np.unique(rows[keep] * step + flat.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _islands(a: np.ndarray, b: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Ascending values of two sides cut where a step exceeds the tolerance: (single a's, their b's) of the islands that have
+    one of each, and the spans (a from, to, b from, to) of larger ones. Nothing across a cut can be matched."""
+    both = np.concatenate([a, b])
+    by = np.argsort(both, kind="stable")
+    island = np.empty(len(both), np.int64)
+    island[by] = np.cumsum(np.diff(both[by], prepend=both[by][:1]) > tolerance)
+    ia, ib = island[: len(a)], island[len(a) :]
+    n = int(island.max(initial=-1)) + 1
+    na, nb = np.bincount(ia, minlength=n), np.bincount(ib, minlength=n)
+    ea, eb = np.cumsum(na), np.cumsum(nb)
+    one, more = np.flatnonzero((na == 1) & (nb == 1)), np.flatnonzero((na > 0) & (nb > 0) & (na + nb > 2))
+    spans = [(int(ea[k] - na[k]), int(ea[k]), int(eb[k] - nb[k]), int(eb[k])) for k in more]
+    return ea[one] - 1, eb[one] - 1, spans
+
+
+def _greedy(a: list[int], b: list[int], tolerance: int) -> Iterator[tuple[int, int]]:
+    """Places matched from left to right: each a with the first b left within tolerance; both sides are passed once."""
+    j = 0
+    for i, x in enumerate(a):
+        while j < len(b) and b[j] < x - tolerance:
+            j += 1
+        if j < len(b) and b[j] <= x + tolerance:
+            yield i, j
+            j += 1
+
+
+def _most(a: list[int], b: list[int], tolerance: int) -> Iterator[tuple[int, int]]:
+    """Places of a matching of greatest size: each b, from left to right, with the a in reach whose reach ends first (Glover)."""
+    reach, i = [], 0
+    for j, y in enumerate(b):
+        while i < len(a) and a[i] - tolerance <= y:
+            heapq.heappush(reach, (a[i] + tolerance, i))
+            i += 1
+        while reach and reach[0][0] < y:
+            heapq.heappop(reach)
+        if reach:
+            yield heapq.heappop(reach)[1], j
+
+
+def _matches(way, exact_first: bool):
+    def run(a: pa.Array, b: pa.Array, tolerance: pa.Array) -> pa.Array:
+        within = tolerance[0].as_py() if len(tolerance) else 0
+        step = 1 << 33  # more than the range of an ordinal and any tolerance
+        x, y = _sets(a, step), _sets(b, step)
+        both = np.intersect1d(x, y, assume_unique=True) if exact_first else x[:0]
+        x, y = (np.setdiff1d(s, both, assume_unique=True) if exact_first else s for s in (x, y))
+        i, j, spans = _islands(x, y, within)
+        pairs = [(x[i], y[j])] if len(i) else []
+        for k, m, p, q in spans:
+            found = list(way(x[k:m].tolist(), y[p:q].tolist(), within))
+            pairs.append((x[k + np.asarray([f for f, _ in found], np.int64)], y[p + np.asarray([g for _, g in found], np.int64)]))
+        left, right = (np.concatenate([both, *[pair[k] for pair in pairs]]) for k in range(2))
+        by = np.lexsort((right, left))
+        left, right = left[by], right[by]
+        row = left + (step >> 1) >> 33
+        ends = np.searchsorted(row, np.arange(len(a) + 1))
+        sides = [pa.array(s - row * step, pa.int32()) for s in (left, right)]
+        none = np.logical_or(a.is_null().to_numpy(zero_copy_only=False), b.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(sides, ["a", "b"]), mask=pa.array(none, pa.bool_()))
+
+    return F.arrow_udf(run, MATCHES)
+
+
 def matched(a: Column, b: Column, tolerance: int = 1) -> Column:
     """Pairs array<struct<a, b>> of two ordinal arrays: equal ones first, then greedily left to right within tolerance.
 
-    Deliberately not a matching of greatest size: {1, 2} and {2, 3} give the one pair (2, 2).
+    Deliberately not a matching of greatest size: {1, 2} and {2, 3} give the one pair (2, 2). Repeated and null ordinals
+    count once and not at all; null arrays give null. What is left after the equal ones is cut into islands, and each side
+    of an island is passed once.
     """
-    a, b = F.array_sort(F.array_distinct(a)), F.array_sort(F.array_distinct(b))
-    exact = F.transform(F.array_intersect(a, b), lambda x: F.struct(x.alias("a"), x.alias("b")))
     if tolerance == 0:
-        return F.array_sort(exact)
-    ra, rb = F.array_except(a, b), F.array_except(b, a)
-    pair = "array<struct<a:int,b:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        left = F.filter(acc["rest"], lambda y: y >= x - tolerance)
-        hit = F.coalesce(F.get(left, F.lit(0)) <= x + tolerance, F.lit(False))
-        return F.struct(
-            F.when(hit, F.slice(left, 2, F.greatest(F.size(left) - 1, F.lit(0)))).otherwise(left).alias("rest"),
-            F.when(hit, F.array_append(acc["pairs"], F.struct(x.cast("int").alias("a"), F.get(left, F.lit(0)).cast("int").alias("b")))).otherwise(acc["pairs"]).alias("pairs"),
-        )
-
-    near = F.aggregate(ra, F.struct(rb.alias("rest"), F.array().cast(pair).alias("pairs")), step)["pairs"]
-    return F.array_sort(F.concat(exact.cast(pair), near))
+        return F.array_sort(F.transform(F.array_intersect(F.array_compact(a), F.array_compact(b)), lambda x: F.struct(x.cast("int").alias("a"), x.cast("int").alias("b"))))
+    return _matches(_greedy, True)(a, b, F.lit(tolerance))
+
+
+def most_matched(a: Column, b: Column, tolerance: int = 1) -> Column:
+    """Pairs array<struct<a, b>> of a matching of two ordinal arrays within tolerance that has as many pairs as any."""
+    return _matches(_most, False)(a, b, F.lit(tolerance))
 
 
 def with_clusters(df: DataFrame, **cols: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectio import codepoints as cp
 from lectio.functions import views
 from lectio.functions.scalars import f1, precision, recall
-from lectio.operators.alignment import matched
+from lectio.operators.alignment import matched, most_matched
 
 #: Editor token that stands for a double rafe; the other upper-case tokens are passed over.
 DOUBLE = "<DR>"
@@ -66,15 +66,26 @@ def match_counts(a: DataFrame, b: DataFrame, keys: list[str], tolerance: int = 0
     return match_table(a, b, keys, tolerance).groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
+def _buckets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, type, x, y): both sides' distinct ordinals of every bucket."""
+    both = a.select(*keys, "type", F.col("ordinal").alias("x"), F.lit(None).cast("int").alias("y")).unionByName(b.select(*keys, "type", F.lit(None).cast("int").alias("x"), F.col("ordinal").alias("y")))
+    return both.groupBy(*keys, "type").agg(F.collect_set("x").alias("x"), F.collect_set("y").alias("y"))
+
+
 def match_table(a: DataFrame, b: DataFrame, keys: list[str], tolerance: int = 0) -> DataFrame:
     """(keys…, type, pairs, tp, fp, fn) of every bucket; pairs: array<struct<a, b>>."""
-    both = a.select(*keys, "type", F.col("ordinal").alias("x"), F.lit(None).cast("int").alias("y")).unionByName(b.select(*keys, "type", F.lit(None).cast("int").alias("x"), F.col("ordinal").alias("y")))
-    sets = both.groupBy(*keys, "type").agg(F.collect_set("x").alias("x"), F.collect_set("y").alias("y"))
-    found = sets.withColumn("pairs", matched(F.col("x"), F.col("y"), tolerance))
+    found = _buckets(a, b, keys).withColumn("pairs", matched(F.col("x"), F.col("y"), tolerance))
     n = F.size("pairs").cast("long")
     return found.select(*keys, "type", "pairs", n.alias("tp"), (F.size("y") - n).alias("fp"), (F.size("x") - n).alias("fn"))
 
 
+def lost_pairs(a: DataFrame, b: DataFrame, keys: list[str], tolerance: int = 1) -> DataFrame:
+    """(keys…, type, greedy, most, lost) of every bucket: pairs that the rule makes, that could be made, and how many it loses."""
+    size = lambda way: F.size(way(F.col("x"), F.col("y"), tolerance)).cast("long")
+    found = _buckets(a, b, keys).withColumns({"greedy": size(matched), "most": size(most_matched)})
+    return found.select(*keys, "type", "greedy", "most", (F.col("most") - F.col("greedy")).alias("lost"))
+
+
 def partial_credit(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """(keys…, tp_exact, tp_partial, fp, fn, precision, recall, f1): exact marks count 1, same type and verse a third.
 

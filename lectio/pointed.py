@@ -252,6 +252,16 @@ def tolerant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.match_counts(a, b, KEYS, 1)
 
 
+@query(f"""{GREEDY_SQL}, w AS (SELECT conv_id, turn, type, a, b, 1 AS i, 1 AS j, 0::BIGINT AS n FROM k
+  UNION ALL SELECT conv_id, turn, type, a, b, CASE WHEN b[j] < a[i] - 1 THEN i ELSE i + 1 END, CASE WHEN b[j] > a[i] + 1 THEN j ELSE j + 1 END, n + (abs(a[i] - b[j]) <= 1)::BIGINT FROM w WHERE i <= len(a) AND j <= len(b)),
+m AS (SELECT conv_id, turn, type, n FROM w WHERE i > len(a) OR j > len(b))
+SELECT conv_id, turn, type, (len(e) + len(ds))::BIGINT AS greedy, n AS most, n - len(e) - len(ds) AS lost FROM t JOIN m USING (conv_id, turn, type)""")
+def lost_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the greedy rule, exact pairs first, loses against a matching of greatest size."""
+    a, b = (marks.detections(x, *KEYS) for x in _sides(spark, sf_dir))
+    return marks.lost_pairs(a, b, KEYS)
+
+
 @query(f"""{GREEDY_SQL}, o AS (SELECT unnest(list_concat(list_transform(e, lambda v: 0), ds))::BIGINT AS d FROM t WHERE type = 'circellus')
 SELECT count(*)::BIGINT AS n_matched, quantile_cont(d, 0.5)::DOUBLE AS median, quantile_cont(d, 0.25)::DOUBLE AS iqr_lower, quantile_cont(d, 0.75)::DOUBLE AS iqr_upper, count_if(d = -1)::BIGINT AS before, count_if(d = 0)::BIGINT AS same, count_if(d = 1)::BIGINT AS after FROM o""")
 def tolerant_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,3 +198,45 @@ def test_matcher_is_greedy_and_exact_first(spark):
         for row in d.select("i", al.matched(F.col("a"), F.col("b"), tol).alias("m")).collect():
             assert [tuple(p) for p in row.m] == plain_match(*cases[row.i], tol)
     assert plain_match([1, 2], [2, 3], 1) == [(2, 2)]
+
+
+def greatest(a, b, tol):
+    """Size of a greatest matching by augmenting paths."""
+    a, b, of = sorted(set(a)), sorted(set(b)), {}
+
+    def placed(x, seen):
+        for y in b:
+            if abs(x - y) <= tol and y not in seen:
+                seen.add(y)
+                if y not in of or placed(of[y], seen):
+                    of[y] = x
+                    return True
+        return False
+
+    return sum(placed(x, set()) for x in a)
+
+
+def test_greatest_matchings_are_as_great_as_any(spark):
+    r = random.Random(6)
+    side = lambda: [r.choice([r.randrange(14), r.randrange(-2000, 2000)]) for _ in range(r.randrange(10))]
+    cases = [([1, 2], [2, 3]), ([], []), ([1], [])] + [(side(), side()) for _ in range(60)]
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)] + [(-1, None, [1])], "i int, a array<int>, b array<int>").repartition(3)
+    for tol in (1, 2, 5):
+        for row in d.select("i", al.most_matched(F.col("a"), F.col("b"), tol).alias("m"), al.matched(F.col("a"), F.col("b"), tol).alias("g")).collect():
+            if row.i < 0:
+                assert row.m is None and row.g is None
+                continue
+            a, b = cases[row.i]
+            assert [tuple(p) for p in row.g] == plain_match(a, b, tol)
+            assert len(row.m) == greatest(a, b, tol) >= len(row.g)
+            assert len({p.a for p in row.m}) == len({p.b for p in row.m}) == len(row.m)
+            assert all(p.a in a and p.b in b and abs(p.a - p.b) <= tol for p in row.m)
+
+
+def test_a_bucket_of_a_million_ordinals_takes_seconds(spark):
+    import time
+
+    d = spark.range(1).select(F.sequence(F.lit(0), F.lit(2_000_000), F.lit(2)).alias("a"), F.sequence(F.lit(1), F.lit(2_000_001), F.lit(2)).alias("b"))
+    began = time.time()
+    got = d.select(F.size(al.matched(F.col("a"), F.col("b"), 1)).alias("g"), F.size(al.most_matched(F.col("a"), F.col("b"), 1)).alias("m")).first()
+    assert (got.g, got.m) == (1_000_001, 1_000_001) and time.time() - began < 60
