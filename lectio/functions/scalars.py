@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectio import codepoints as cp
+from lectio.functions.versions import version_admitted  # noqa: F401
 from lectio.functions.visible import visible_text  # noqa: F401
 
 
@@ -86,32 +87,3 @@ def polygon_box(points: Column) -> Column:
 
 def package_name(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[-_.]+", "-"))
-
-
-def _admits(version: str, specifier: str) -> bool:
-    def key(v: str) -> list[int]:
-        return [int(p) if p.isdigit() else -1 for p in v.strip().split(".")]
-
-    def wide(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        n = max(len(a), len(b))
-        return a + [0] * (n - len(a)), b + [0] * (n - len(b))
-
-    for part in filter(None, (p.strip() for p in specifier.split(","))):
-        op = next((o for o in ("~=", "==", "!=", ">=", "<=", ">", "<") if part.startswith(o)), "")
-        bound = part[len(op) :].strip()
-        if op in ("==", "!=") and bound.endswith(".*"):
-            same = key(version)[: bound.count(".")] == key(bound[:-2])
-        else:
-            a, b = wide(key(version), key(bound))
-            same = a == b
-        a, b = wide(key(version), key(bound.removesuffix(".*")))
-        ok = {"": same, "==": same, "!=": not same, ">=": a >= b, "<=": a <= b, ">": a > b, "<": a < b, "~=": a >= b and key(version)[: bound.count(".")] == key(bound)[:-1]}[op]
-        if not ok:
-            return False
-    return True
-
-
-@F.pandas_udf(T.BooleanType())
-def version_admitted(version: pd.Series, specifier: pd.Series) -> pd.Series:
-    """Whether a comma-separated specifier (>=, <, ==, ~=, …) admits a release version."""
-    return pd.Series([None if v is None or s is None else _admits(v, s) for v, s in zip(version, specifier, strict=True)], dtype="object")

@@ -345,12 +345,19 @@ def line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_orderkey", scalars.mean_confidence(F.col("q")).alias("confidence"), F.array_join(scalars.polygon_box(F.col("p")).cast("array<string>"), ",").alias("box"))
 
 
-@query("""SELECT p_partkey, replace(lower(p_type), ' ', '-') AS package, p_size >= 10 AND p_size < 30 AND p_size <> 20 AS admitted FROM part""")
+#: What versions end with, by the part's key: final, post, candidate, development, local, alpha.
+ENDINGS = (".0", ".0-1", ".0_rc.1", ".0.dev3", ".0+X.1", "a2")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_type, p_size AS n, p_partkey % 6 AS k, p_partkey % 7 = 0 AS e FROM part), y AS (SELECT *, k IN (2, 3, 5) AS early FROM x)
+SELECT p_partkey, replace(lower(p_type), ' ', '-') AS package, NOT e AND n < 30 AND CASE WHEN early THEN n > 10 WHEN k = 1 THEN n >= 10 ELSE n >= 10 AND n <> 20 END AS admitted,
+  NOT e AND NOT early AND n = 10 AS compatible, NOT e AND n = 20 AS prefixed, NOT e AND k = 0 AND n = 12 AS literal, e OR n > 15 AS later, e AND n = 9 AND k = 4 AS labelled FROM y""")
 def admitted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Package names and version specifiers."""
+    """Package names and version specifiers, with epochs, candidates, post and development releases and local labels."""
     p = _t(spark, sf_dir, "part")
-    version = F.concat(F.col("p_size").cast("string"), F.lit(".0"))
-    return p.select("p_partkey", scalars.package_name(F.regexp_replace("p_type", " ", "_.")).alias("package"), scalars.version_admitted(version, F.lit(">=10,<30,!=20")).alias("admitted"))
+    version = F.concat(F.when(F.col("p_partkey") % 7 == 0, "v1!").otherwise(""), F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % 6 + 1).cast("int")))
+    specifiers = {"admitted": ">=10,<30,!=20", "compatible": "~=10.0", "prefixed": "==20.*", "literal": "===12.0", "later": ">15", "labelled": "== 1!9+x.1"}
+    return p.select("p_partkey", scalars.package_name(F.regexp_replace("p_type", " ", "_.")).alias("package"), *[scalars.version_admitted(version, F.lit(s)).alias(k) for k, s in specifiers.items()])
 
 
 @query("""SELECT 'pin doesn''t admit' AS rule, s_name AS subject, 'brand-' || split_part(p_brand, '#', 2) || ' <' || (s_suppkey % 40) || ' ' || max_size || '.0' AS detail
