@@ -249,7 +249,7 @@ def audit(spark: SparkSession, root: str, manuscript: str, book: str, terms: Dat
 
     legacy: words that no file may have any more, but those at the paths (from the root) in legacy_allowed.
     """
-    man = documents.manifest(spark, f"{root}/manifest.json").persist()
+    man = documents.manifest(spark, f"{root}/manifest.json")
     folios, files = documents.folios(man), documents.files(spark, root, content=False)
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,md,txt,yaml}").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     results = texts.where(F.col("path").rlike(r"/results/.*\.json$"))

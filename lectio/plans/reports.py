@@ -26,10 +26,14 @@ def panel_report(panel: DataFrame, n_verses: int, b: int, seed: int, pins: dict[
     return out
 
 
-def error_totals(rates: DataFrame) -> list[dict]:
-    """Edits, denominators and macro rates of every tier, per folio and overall, by grouping sets."""
+def error_table(rates: DataFrame) -> DataFrame:
+    """Edits, denominators and macro rates of every tier, per folio and, under a null folio, overall, by grouping sets."""
     cols = [F.sum(f"{c}_{t}").alias(f"{c}_{t}") for t in (1, 2, 3) for c in ("edits", "denominator")] + [F.avg(f"cer_{t}").alias(f"cer_{t}") for t in (1, 2, 3)]
-    return [r.asDict() for r in rates.rollup("folio").agg(*cols, F.count("*").alias("n_verses")).orderBy(F.col("folio").asc_nulls_first()).collect()]
+    return rates.rollup("folio").agg(*cols, F.count("*").alias("n_verses"))
+
+
+def error_totals(rates: DataFrame) -> list[dict]:
+    return [r.asDict() for r in error_table(rates).orderBy(F.col("folio").asc_nulls_first()).collect()]
 
 
 def rule_report(rule: DataFrame, b: int, seed: int) -> dict:

@@ -253,10 +253,14 @@ def within_budget(calls: DataFrame, per_folio: float, per_run: float) -> DataFra
     return spent.withColumn("usd", F.when(over, F.raise_error(F.concat(F.lit("budget exceeded at "), F.col("at").cast("string")))).otherwise(F.col("usd")))
 
 
-def replayed(requests: DataFrame, log: DataFrame) -> DataFrame:
-    """requests (id, request as JSON) with the first recorded response to the same request; a miss raises."""
+def replayed(requests: DataFrame, log: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """requests (id, request as JSON) with the first recorded response to the same request; a miss raises.
+
+    order: columns of log that say which record is first, such as its file and line; else rows count as they are read,
+    which is the order of one file alone.
+    """
     q = requests.withColumn("prompt_hash", canonical_hash(F.col("request"), 64, compact=False))
-    first = log.withColumn("_at", F.monotonically_increasing_id()).groupBy("prompt_hash").agg(F.min_by("response", "_at").alias("response"))
+    first = log.withColumn("_at", F.struct(*order) if order else F.monotonically_increasing_id()).groupBy("prompt_hash").agg(F.min_by("response", "_at").alias("response"))
     j = q.join(first, "prompt_hash", "left")
     return j.withColumn("response", F.when(F.col("response").isNull(), F.raise_error(F.concat(F.lit("not recorded: "), "prompt_hash"))).otherwise(F.col("response")))
 

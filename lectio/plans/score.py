@@ -63,3 +63,9 @@ def combined_lines(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("line_id", F.col("text").alias("ta")).join(b.select("line_id", F.col("text").alias("tb")), "line_id", "left")
     same = views.consonants_of(F.col("ta")) == views.consonants_of(F.coalesce("tb", F.lit("")))
     return j.select("line_id", F.col("ta").alias("text"), F.lit("claude").alias("winner"), F.when(same, 0).otherwise(1).alias("tie_break"))
+
+
+def combined_totals(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, n_lines, first_wins, second_wins, tie_breaks) of combined lines; a line counts for the source that won it."""
+    first = F.col("winner") == "claude"
+    return lines.groupBy(*keys).agg(F.count("*").alias("n_lines"), F.count_if(first).alias("first_wins"), F.count_if(~first).alias("second_wins"), F.sum("tie_break").cast("long").alias("tie_breaks"))

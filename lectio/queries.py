@@ -456,7 +456,7 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from lectio import pointed  # noqa: F401 - adds its own
+    from lectio import pointed, standing  # noqa: F401 - add their own
 
     return dict(QUERIES)
 
