@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectio import codepoints as cp
 from lectio.functions import scalars
-from lectio.operators import marks
+from lectio.operators import marks, normal
 from lectio.operators import metrics as m
 from lectio.operators import validate as v
 from lectio.plans import agreement, reports, score
@@ -84,3 +84,35 @@ def real_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: boxes with an area."""
     at = [F.col(c).cast("int") for c in ("l_suppkey", "l_linenumber", "l_partkey", "l_quantity")]
     return v.real_boxes(_t(spark, sf_dir, "lineitem").withColumn("bbox", F.array(*at))).select("l_orderkey", "l_linenumber")
+
+
+def _ratio_sql(x: str, parts: tuple) -> str:
+    """A rational function of x, by Horner's rule, with the coefficients of normal.py."""
+    value = lambda c: "(" * (len(c) - 1) + f"{c[0]!r}::DOUBLE" + "".join(f" * {x} + {k!r}::DOUBLE)" for k in c[1:])
+    return f"({value(parts[0])} / {value(parts[1])})"
+
+
+def _inverse_sql(x: str) -> str:
+    tail = f"sqrt(-ln(least({x}, 1 - {x})))"
+    far = f"CASE WHEN {tail} <= 5 THEN {_ratio_sql(f'({tail} - 1.6)', normal.TAIL)} ELSE {_ratio_sql(f'({tail} - 5.0)', normal.FAR)} END"
+    middle = f"({x} - 0.5) * {_ratio_sql(f'(0.180625 - ({x} - 0.5) * ({x} - 0.5))', normal.MIDDLE)}"
+    return f"CASE WHEN abs({x} - 0.5) <= 0.425 THEN {middle} WHEN {x} < 0.5 THEN -({far}) ELSE {far} END"
+
+
+def _distribution_sql(z: str) -> str:
+    y = f"(abs({z}) / sqrt(2))"
+    beyond = f"exp(-{y} * {y}) / {y} * (1 / sqrt(pi()) - (1 / ({y} * {y})) * {_ratio_sql(f'(1 / ({y} * {y}))', normal.BEYOND)})"
+    upper = f"(CASE WHEN {y} <= 4 THEN exp(-{y} * {y}) * {_ratio_sql(y, normal.LARGE)} ELSE {beyond} END)"
+    return f"CASE WHEN {y} <= 0.46875 THEN 0.5 + 0.5 * {z} / sqrt(2) * {_ratio_sql(f'({y} * {y})', normal.SMALL)} WHEN {z} < 0 THEN {upper} / 2 ELSE 1 - {upper} / 2 END"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, least(greatest(p_partkey % 1001 / 1000, 0.0005::DOUBLE), 0.9995::DOUBLE) AS b, (p_size - 25) / 60 AS a FROM part),
+z AS (SELECT p_partkey, a, {_inverse_sql('b')} AS z, unnest(['lo', 'hi']) AS side, unnest([{_inverse_sql('0.025::DOUBLE')}, {_inverse_sql('0.975::DOUBLE')}]) AS q FROM x),
+w AS (SELECT p_partkey, side, CASE WHEN 1 - a * (z + q) <= 0 THEN z + q ELSE z + (z + q) / (1 - a * (z + q)) END AS w FROM z),
+s AS (SELECT p_partkey, side, {_distribution_sql('w')} AS share FROM w)
+SELECT p_partkey, round(max(share) FILTER (side = 'lo'), 9) AS lo, round(max(share) FILTER (side = 'hi'), 9) AS hi FROM s GROUP BY p_partkey""")
+def adjusted_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares at which bias-corrected and accelerated intervals read their percentiles, by the normal distribution and its inverse as columns."""
+    p = _t(spark, sf_dir, "part").withColumns({"below": F.col("p_partkey") % 1001, "a": (F.col("p_size") - 25) / 60})
+    share = lambda s: F.round(normal.adjusted(F.lit(s), F.col("below"), F.lit(1000), F.col("a")), 9)
+    return p.select("p_partkey", share(0.025).alias("lo"), share(0.975).alias("hi"))
