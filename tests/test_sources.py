@@ -35,6 +35,76 @@ def test_edition(spark, tmp_path):
     assert t1["Deut.6.4"] == "שמע כל־יש קרא לבד אחדד"
 
 
+def plain_events(path):
+    """Events by one tree of the whole file."""
+    from xml.etree import ElementTree as E
+
+    out, seq = [], 0
+    for book in E.parse(path).getroot().iter("book"):
+        name = (book.findtext("names/name") or "").strip()
+        for chapter in book.iter("c"):
+            for verse in chapter.iter("v"):
+                ref = f"{cp.BOOKS.get(name, name)}.{chapter.get('n')}.{verse.get('n')}"
+                for pos, e in enumerate(verse):
+                    if e.tag in edition.READ:
+                        out.append((ref, seq, pos, e.tag, edition._spoken(e).strip(), tuple((x.text or "").strip() for x in e.iter("x"))))
+                if not len(verse):
+                    out.append((ref, seq, -1, "", "", ()))
+                seq += 1
+    return out
+
+
+def large_edition(r):
+    """Books with whole verses in comments, ends of verses in comments between verses, empty verses, and CDATA."""
+    out = ["<?xml version='1.0' encoding='UTF-8'?>\n<!-- <book><c n='0'><v n='0'>no</v></c></book> -->\n<Tanach><tanach>"]
+    for b in range(5):
+        out.append(f"<book><names><!-- x --><name>Book &amp; {b}</name><abbrev>{b}</abbrev></names>")
+        for c in range(r.randrange(1, 9)):
+            out.append(f"<c n='{c + 1}' note='a > b'>")
+            for v in range(r.randrange(25)):
+                if r.random() < 0.15:
+                    out.append("<!-- " + "".join(f"<v n='9'><w>{'hidden ' * r.randrange(9)}</w></v> <c n='7'>" for _ in range(r.randrange(1, 9))) + " -->")
+                words = "".join(r.choice([f"<w>שמע{i}<x>5</x></w>", f"<k>כ{i}</k>", f"<q>ק{i}</q>", "<pe/>", "<!-- <w>n</w> -->", "<w><![CDATA[<v>&]]></w>", "<vs/>"]) for i in range(r.randrange(9)))
+                out.append(f"<v n='{v + 1}'>{words}</v>\n" if words else f"<v n='{v + 1}'/>" if v % 2 else f"<v n='{v + 1}'></v >")
+            out.append("</c>")
+        out.append("</book>")
+    return "".join(out) + "</tanach></Tanach>\n<!-- after </v> all -->"
+
+
+@pytest.mark.parametrize("size", [60, 777, 5000, 1 << 30])
+def test_edition_in_ranges_is_that_of_one_tree(spark, tmp_path, size):
+    import random
+
+    paths = [file(tmp_path, f"{k}.xml", large_edition(random.Random(k))) for k in range(2)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if size < 1 << 20 else str(4 << 20))
+    try:
+        got = edition.events(spark, paths).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for p in paths:
+        assert sorted((r.ref, r.seq, r.pos, r.tag, r.text, tuple(r.codes)) for r in got if r.path.endswith(p)) == sorted(plain_events(p))
+
+
+def test_edition_with_more_ranges_than_are_broadcast(spark, tmp_path, monkeypatch):
+    import random
+
+    path = file(tmp_path, "e.xml", large_edition(random.Random(5)))
+    monkeypatch.setattr(edition, "MOST_RANGES", 0)
+    got = edition.events(spark, path).collect()
+    assert sorted((r.ref, r.seq, r.pos, r.tag, r.text, tuple(r.codes)) for r in got) == sorted(plain_events(path))
+
+
+def test_edition_faults(spark, tmp_path):
+    good = "<book><names><name>A</name></names><c n='1'><v n='1'><w>a</w></v></c></book>"
+    for bad, said in ((good[:-12], "ends within"), (good[:-20], "ends within"), ("<v n='1'><w>a</w></v>" + good, "outside of a chapter"), (good.replace("</w>", "</w><!-- </v> -->"), "holds the end")):
+        with pytest.raises(Exception, match=said):
+            edition.events(spark, file(tmp_path, "bad.xml", bad)).collect()
+    assert edition.events(spark, file(tmp_path, "none.xml", "")).collect() == []
+
+
 def test_page_lines(spark, tmp_path):
     path = file(tmp_path, "p.xml", PAGE)
     rows = page_layout.lines(spark, path).collect()
