@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectio import codepoints as cp
 from lectio.functions import scalars
-from lectio.operators import marks, normal
+from lectio.operators import free, marks, normal
 from lectio.operators import metrics as m
 from lectio.operators import validate as v
 from lectio.plans import agreement, reports, score
 from lectio.pointed import RECORDS_SQL, pointed
-from lectio.queries import KEYS, PAIRS, _pairs, _t, query
+from lectio.queries import DRAWS, KEYS, PAIRS, UNITS, _pairs, _t, query
+from lectio.sources import edition, scratch
 
 
 @query(r"""WITH w AS (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM conversations)
@@ -116,3 +118,48 @@ def adjusted_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part").withColumns({"below": F.col("p_partkey") % 1001, "a": (F.col("p_size") - 25) / 60})
     share = lambda s: F.round(normal.adjusted(F.lit(s), F.col("below"), F.lit(1000), F.col("a")), 9)
     return p.select("p_partkey", share(0.025).alias("lo"), share(0.975).alias("hi"))
+
+
+def _median(units, w) -> float:
+    return float(np.median(np.repeat(units["rate"].to_numpy(), w)))
+
+
+def _spread(units, w) -> float:
+    lo, hi = np.percentile(np.repeat(units["rate"].to_numpy(), w), (10, 90))
+    return float(hi - lo)
+
+
+@query(f"""WITH u AS (SELECT doc_id % {UNITS} AS i, sum(doc_id % 13)::DOUBLE / sum(n_chars) AS rate FROM documents GROUP BY ALL), d AS (SELECT b, ((b * 7919 + k * 104729 + b * k * 31) % {UNITS}) AS i FROM range({DRAWS}) t(b), range({UNITS}) s(k)),
+v AS (SELECT b, median(rate) AS median, quantile_cont(rate, 0.9) - quantile_cont(rate, 0.1) AS spread FROM d JOIN u USING (i) GROUP BY b), p AS (SELECT median(rate) AS median, quantile_cont(rate, 0.9) - quantile_cont(rate, 0.1) AS spread FROM u)
+SELECT 'median' AS metric, round((SELECT median FROM p), 9) AS point, round(quantile_cont(median, 0.025), 9) AS lo, round(quantile_cont(median, 0.975), 9) AS hi FROM v
+UNION ALL SELECT 'spread', round((SELECT spread FROM p), 9), round(quantile_cont(spread, 0.025), 9), round(quantile_cont(spread, 0.975), 9) FROM v""")
+def free_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of statistics that aren't sums: the median of units' rates, and the distance of their tenths."""
+    rate = F.sum(F.col("doc_id") % 13).cast("double") / F.sum("n_chars")
+    u = _t(spark, sf_dir, "documents").groupBy((F.col("doc_id") % UNITS).alias("i")).agg(rate.alias("rate"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(UNITS - 1))).alias("k")
+    d = spark.range(DRAWS).select(F.col("id").alias("b"), k)
+    d = d.select("b", ((F.col("b") * 7919 + F.col("k") * 104729 + F.col("b") * F.col("k") * 31) % UNITS).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
+    got = free.intervals(u, ["rate"], {"median": _median, "spread": _spread}, d)
+    return got.select("metric", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), ' '), lambda x: x <> '') AS ws FROM conversations),
+r AS (SELECT *, list_filter(range(1, len(ws) + 1), lambda i: NOT (i % 4 = 2 AND i < len(ws))) AS spoken FROM w)
+SELECT conv_id || '.1.' || turn AS ref, sha256(array_to_string(list_transform(spoken, lambda i: ws[i]), ' ')) AS digest, len(list_filter(spoken, lambda i: i % 2 = 0))::INT AS fallbacks,
+  len(list_filter(range(1, len(ws) + 1), lambda i: i % 4 = 1))::BIGINT AS large_letters, (turn % 2 = 0)::BIGINT AS closed FROM r""")
+def edition_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 to S4, S2a to S2d, W3, W4: turns written as an edition's verses, read in byte ranges: spoken texts, readings for want of another, numbered marks."""
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", ""), " "), lambda x: x != "")
+    child = lambda w, i: F.when(i % 4 == 0, F.concat(F.lit("<w>"), w, F.lit("<x>5</x></w>"))).when(i % 4 == 2, F.concat(F.lit("<q>"), w, F.lit("</q>"))).otherwise(F.concat(F.lit("<k>"), w, F.lit("</k>")))
+    inside = F.concat(F.array_join(F.transform(words, child), ""), F.when(F.col("turn") % 2 == 0, "<pe/>").otherwise(""))
+    verse = F.format_string("<v n='%d'>%s</v>", "turn", inside)
+    book = F.format_string("<book><names><name>%d</name></names><c n='1'>%s</c></book>", "conv_id", F.array_join("verses.verse", ""))
+    path = scratch.folder(spark)
+    own = _t(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", verse.alias("verse")).alias("v"))
+    own.groupBy("conv_id").agg(F.array_sort(F.collect_list("v")).alias("verses")).select(book).write.text(path)
+    events = edition.events(spark, path)
+    n = lambda t: F.coalesce(F.max(F.when(F.col("type") == t, F.col("ordinal"))), F.lit(0)).cast("long")
+    numbered = edition.marks(events).groupBy("path", "seq").agg(n("large_letter").alias("large_letters"), n("pe").alias("closed"))
+    texts = edition.verses(events).join(numbered, ["path", "seq"], "left")
+    return texts.select("ref", F.sha2("text", 256).alias("digest"), F.col("fallbacks").cast("int").alias("fallbacks"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("large_letters", "closed")])
