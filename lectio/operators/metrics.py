@@ -11,6 +11,7 @@ import random
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from statistics import NormalDist
 
 import pandas as pd
@@ -221,15 +222,36 @@ def _adjusted(below: int, n: int, a: float) -> tuple[float, float]:
     return share(unit.inv_cdf(cp.BOUNDS[0] / 100)), share(unit.inv_cdf(cp.BOUNDS[1] / 100))
 
 
-def numbered(units: DataFrame, order: list[str]) -> DataFrame:
-    """Adds i, a unit's place from 0 in the order that the resampling indexes.
+def numbered(units: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """Adds i, a unit's place from 0 in the order that the resampling indexes, among all units or those alike in `within`.
 
     Units are dealt by ranges of the order; each range is numbered by itself, from where those before it end. Rows of
-    equal order are numbered in any order, and lie in one range.
+    equal order are numbered in any order, and lie in one range. Units null in `within` are numbered as one group.
     """
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(before), "_part").withColumn("i", (F.col("_before") + place - 1).cast("int")).drop("_part", "_before")
+    parts, keys = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), within or []
+    dealt = units.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", *keys, (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range and group
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    if not keys:
+        return dealt.join(F.broadcast(before), "_part").withColumn("i", (F.col("_before") + place - 1).cast("int")).drop("_part", "_before")
+    mine, theirs = dealt.withColumn("_place", place), before.toDF("_p", *[f"_k{j}" for j in range(len(keys))], "_before")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)], F.col("_part") == F.col("_p"))
+    return mine.join(theirs, same).withColumn("i", (F.col("_before") + F.col("_place") - 1).cast("int")).drop("_part", "_place", *theirs.columns)
+
+
+def stratum_intervals(stats: DataFrame, metrics: list[Metric], plans: DataFrame | None, by: str) -> DataFrame:
+    """(by, metric, point, lo, hi, ci_method): percentile intervals of all strata in one pass.
+
+    stats: (by, n, i, …), a row a unit, i its place among the n units of its stratum; plans: (n, b, i, w) for every such
+    n. NaN resamples are dropped; without plans, or with nothing but NaN, the bounds are NaN. Units of a null stratum have no row.
+    """
+    known, nan = stats.where(F.col(by).isNotNull()), F.lit(NAN)
+    melted = lambda d, *keys: d.select(*keys, F.explode(F.array(*[F.struct(F.lit(m.name).alias("metric"), F.col(m.name).cast("double").alias("value")) for m in metrics])).alias("x")).select(*keys, "x.*")
+    points = melted(evaluate(known, metrics, [by]), by).select(by, "metric", F.coalesce("value", nan).alias("point"))
+    if plans is None:
+        return points.select("*", nan.alias("lo"), nan.alias("hi"), F.lit(LABELS["percentile", False]).alias("ci_method"))
+    values = melted(evaluate(plans.join(known, ["n", "i"]), metrics, [by, "b"], F.col("w")), by)
+    ends = values.where(~F.isnan("value")).groupBy(by, "metric").agg(F.percentile("value", F.array(*[F.lit(x / 100) for x in cp.BOUNDS])).alias("ends"))
+    bound = lambda k: F.coalesce(F.get("ends", F.lit(k)), nan)
+    return points.join(ends, [by, "metric"], "left").select(by, "metric", "point", bound(0).alias("lo"), bound(1).alias("hi"), F.lit(LABELS["percentile", False]).alias("ci_method"))

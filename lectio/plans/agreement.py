@@ -118,13 +118,16 @@ def panel(verses: DataFrame, backbone: str | None = None, b: int = cp.RESAMPLES,
     stats = verse_stats(v, *framed(v, backbone)).persist()
     tag = lambda d, frame, stratum: d.select(F.lit(frame).alias("frame"), F.lit(stratum).alias("stratum"), "*")
     out = [tag(m.intervals(stats, tier4_metrics(), plan(n)), "tier4", "overall")]
-    sizes = {r.folio: r["count"] for r in v.groupBy("folio").count().collect()}
+    sizes = v.where("folio is not null").groupBy("folio").agg(F.count("*").alias("n"))
+    # units of n verses share a plan, so there are as many plans as different numbers of verses, far fewer than folios
+    drawn = [plan(r.n).select(F.lit(r.n).alias("n"), "b", "i", "w") for r in sizes.select("n").distinct().collect()] if b > 0 else []
+    plans_by_size = reduce(DataFrame.unionByName, drawn) if drawn else None
+    places = m.numbered(v.select("folio", F.col("i").alias("at")), ["at"], ["folio"]).join(sizes, "folio").select("at", "n", "i")
     for frame, (ref, hyp) in {"a_vs_b": ("a_chunk", "b_chunk"), **(references or {})}.items():
         rates = error_rates(v, ref, hyp).persist()
         out.append(tag(m.intervals(rates, cer_metrics(), plan(n)), frame, "overall"))
-        for folio, k in sorted(sizes.items()):
-            part = m.numbered(rates.where(F.col("folio") == folio).withColumnRenamed("i", "at"), ["at"])
-            out.append(tag(m.intervals(part, cer_metrics(), plan(k)), frame, folio))
+        by_folio = m.stratum_intervals(rates.withColumnRenamed("i", "at").join(places, "at"), cer_metrics(), plans_by_size, "folio")
+        out.append(by_folio.select(F.lit(frame).alias("frame"), F.col("folio").alias("stratum"), "metric", "point", "lo", "hi", "ci_method"))
     return reduce(DataFrame.unionByName, out)
 
 

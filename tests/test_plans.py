@@ -59,6 +59,19 @@ def verses(spark, n=6, seed=3):
     return spark.createDataFrame(rows, "seq int, verse_ref string, folio string, a_chunk string, b_chunk string")
 
 
+def test_folios_at_once_are_those_one_by_one(spark):
+    v = verses(spark, 11).withColumn("folio", F.when(F.col("seq") == 10, None).when(F.col("seq") == 9, "G").otherwise(F.col("folio")))
+    got = {(r.stratum, r.metric): (r.point, r.lo, r.hi) for r in agreement.panel(v, b=30, seed=4).where("frame = 'a_vs_b' and stratum <> 'overall'").collect()}
+    rates = agreement.error_rates(m.numbered(v, ["seq"]), "a_chunk", "b_chunk").persist()
+    want = {}
+    for folio, k in (("F0", 5), ("F1", 4), ("G", 1)):
+        part = m.numbered(rates.where(F.col("folio") == folio).withColumnRenamed("i", "at"), ["at"])
+        for r in m.intervals(part, agreement.cer_metrics(), m.plan(spark, k, 30, 4)).collect():
+            want[folio, r.metric] = (r.point, r.lo, r.hi)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+
+
 def test_panel_has_every_metric_and_agrees_with_itself(spark):
     v = verses(spark)
     got = {(r.frame, r.stratum, r.metric): r for r in agreement.panel(v, b=50, seed=1).collect()}
