@@ -194,6 +194,7 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = PREFIX, bits: int =
     tasks = _tasks(docs, words_in_all)
     groups, parts = max(tasks, -(-words_in_all // GROUP)), max(tasks, -(-words_in_all // MARKED))
     lengths, choices = _lengths(prefix), depth - prefix + 1
+    hot = GROUP + 2 * (words_in_all // BUCKETS)  # in a bucket, beside the share that any prefixes have in it
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, many = counts.value, [], 0
@@ -222,13 +223,25 @@ def repeats(docs: DataFrame, depth: int = 13, prefix: int = PREFIX, bits: int =
             many_runs = (high - low + 1)[again]
             at = np.repeat(low[again] - np.cumsum(many_runs) + many_runs, many_runs) + np.arange(many_runs.sum())
             out = list(_packed(np.arange(len(at)), owner[at], at - starts[owner[at]], ids, tags, parts))
-            group, short = np.zeros(len(row), np.int64), np.zeros(len(row), bool)
-            for i in range(len(lengths)):
-                here = g[i][anchor]
-                rare = ~short & ((seen[i][_bucket(here)] <= GROUP) | (i == len(lengths) - 1))
+            group, fits = (g[-1][anchor] >> np.uint64(24)).astype(np.int64) % groups, np.zeros(len(row), bool)
+            for x, n in zip(g, seen, strict=True):
+                here = x[anchor]
+                rare = ~fits & (n[_bucket(here)] <= GROUP)
                 group[rare] = (here[rare] >> np.uint64(24)).astype(np.int64) % groups
-                short |= rare
+                fits |= rare
             left = np.flatnonzero(~other)
+            apart = (~fits & (seen[-1][_bucket(g[-1][anchor])] > hot))[left]
+            if apart.any():  # beyond the longest prefix there is the whole run: each run of such a prefix is a row of its own
+                runs = np.where(apart, high[left] - low[left] + 1, 1)
+                of, alone = np.repeat(left, runs), np.repeat(apart, runs)
+                low = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+                high, anchor, row, group = np.where(alone, low, high[of]), anchor[of], row[of], group[of]
+                cut = [text[byte[i] : byte[i + depth] - 1] if a else cut[k] for i, a, k in zip(low.tolist(), alone.tolist(), of.tolist(), strict=True)]
+                at, first = np.flatnonzero(alone), {}
+                group[at] = (grams(h, depth)[low[at]] >> np.uint64(24)).astype(np.int64) % groups
+                other = np.fromiter((first.setdefault(cut[k], i) for k, i in zip(at.tolist(), ids[row[at]].tolist(), strict=True)), np.int64, len(at)) != ids[row[at]]
+                again, left = at[other], np.delete(np.arange(len(of)), at[other])
+                out.extend(_packed(np.arange(len(again)), row[again], low[again] - starts[row[again]], ids, tags, parts))
             by = left[np.argsort(group[left], kind="stable")]
             cuts = np.flatnonzero(np.r_[True, group[by][1:] != group[by][:-1]]) if len(by) else np.zeros(0, int)
             for i, j in zip(cuts, [*cuts[1:], len(by)], strict=True):

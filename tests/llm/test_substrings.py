@@ -57,6 +57,21 @@ def test_many_groups_and_parts(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text, r.n_words, r.n_removed) for r in ss.remove_repeats(d).collect()), key=repr) == brute(rows, 13)
 
 
+@pytest.mark.parametrize("held", [10**9, 500])
+def test_prefixes_that_more_suffixes_have_than_a_group_holds(spark, monkeypatch, held):
+    """Four words that begin most passages; with groups of three suffixes all runs of frequent prefixes go apart."""
+    monkeypatch.setattr(ss, "GROUP", 3)
+    monkeypatch.setattr(ss, "HELD", held)
+    r = random.Random(8)
+    rows = corpus(8)
+    for i in range(60):
+        passage = [f"p{r.randrange(3)}" for _ in range(r.randrange(12))]
+        rows.append((400 + i, " ".join([f"u{r.randrange(10**6)}", *passage, "to be or not", *(f"q{r.randrange(3)}" for _ in range(r.randrange(12))), *["x y"] * (i % 9)] * 2)))
+    rows += [(500, rows[-1][1]), (499, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((x.doc_id, x.text, x.n_words, x.n_removed) for x in ss.remove_repeats(d).collect()), key=repr) == brute(rows, 13)
+
+
 def test_trees():
     import numpy as np
 
