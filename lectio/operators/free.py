@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lectio import codepoints as cp
 
 #: Payload bytes, as JSON, up to which it goes to every task; rows of the plan in a block of resamples; a bag's size as a power of all units.
-MOST_BYTES, BLOCK_ROWS, POWER = 32 << 20, 1_000_000, 0.7
+MOST_BYTES, BLOCK_ROWS, POWER = 32 << 20, 100_000, 0.7
 LABELS = ("percentile_bootstrap", "bag_of_little_bootstraps")
 #: (payload, multiplicity of each of its rows) -> value.
 Statistic = Callable[[pd.DataFrame, np.ndarray], float]

@@ -24,7 +24,7 @@ def score(pairs: DataFrame, version: str = "v0.1") -> DataFrame:
 
     Tiers 1 to 3: cer, edits, denominator; dec, cha, voc, wor of tier 2; cer3; f1, precision, recall, tp_exact,
     tp_partial, fp, fn of the marks; alignment of tier 2, for mark_confusion. Null texts give null rates; null mark
-    arrays count as empty; repeated doc_ids aren't supported.
+    arrays count as empty; a doc_id that two rows have raises, as marks couldn't be told apart.
     """
     if version != "v0.1":
         raise ValueError(f"unknown scorer version: {version}")
@@ -36,9 +36,11 @@ def score(pairs: DataFrame, version: str = "v0.1") -> DataFrame:
     d = confusion.factoring(d, "alignment", "g2", "p2").withColumn("cer3", composite(*[F.col(f"tier{t}_cer") for t in views.TIERS]))
     flat = lambda c: pairs.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.type", "m.verse_ref", "m.ordinal")
     credit = marks.partial_credit(flat("gt_marks"), flat("pred_marks"), ["doc_id"])
+    credit = pairs.groupBy("doc_id").agg(F.count("*").alias("_rows")).join(credit, "doc_id", "left")
+    once = F.when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit("rows with the same doc_id: "), F.col("doc_id").cast("string"))).cast("boolean")).otherwise(True)
     rates = [f"tier{t}_{c}" for t in views.TIERS for c in ("cer", "edits", "denominator")]
     whole = {"tp_exact": 0, "tp_partial": 0, "fp": 0, "fn": 0, "precision": 1.0, "recall": 1.0, "f1": 1.0}
-    return d.join(credit, "doc_id", "left").select("doc_id", *rates, "dec", "cha", "voc", "wor", "cer3", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in whole.items()], "alignment")
+    return d.join(credit, "doc_id", "left").where(once).select("doc_id", *rates, "dec", "cha", "voc", "wor", "cer3", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in whole.items()], "alignment")
 
 
 def mark_confusion(scores: DataFrame) -> DataFrame:

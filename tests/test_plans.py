@@ -29,6 +29,8 @@ def test_scores_of_equal_and_of_empty_documents(spark):
     assert conf == {("qamatz", "patach"): 1}
     with pytest.raises(ValueError):
         score.score(spark.createDataFrame(rows, PAIR), "v9")
+    with pytest.raises(Exception, match="rows with the same doc_id: off"):
+        score.score(spark.createDataFrame([*rows, ("off", text, text, [], [])], PAIR)).select("tier1_cer").collect()
 
 
 def test_canonical_equivalents_score_nothing(spark):
