@@ -1,6 +1,6 @@
 """Edition XML: an ordered child scan of every verse, then relational reading of qere, joins and marks.
 
-Spark reads a document in byte ranges, cut into records at each verse's end, so that no worker holds more than a verse. What a
+Spark reads a document in byte ranges, cut into records at each verse's end, so that a worker holds a batch of verses. What a
 range begins in (a book, a chapter, a comment) follows from the ranges before it: a first pass tells what each range makes
 of whatever it may begin in, a row a range, and following those rows gives every range its beginning.
 """
@@ -19,6 +19,9 @@ from lectio import codepoints as cp
 from lectio.functions import views
 
 EVENTS = "path string, ref string, seq int, pos int, tag string, text string, codes array<string>"
+EVENT_COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
+#: Rows that a worker gives out at once.
+AT_ONCE = 20_000
 READ = ("w", "k", "q", *cp.MARKER_TAGS)
 END = "</v>"
 #: What begins a part without markup, and what ends it.
@@ -139,7 +142,10 @@ def _events(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not len(verse):
                     rows.append((path, ref, seq, -1, "", "", []))
                 seq += 1
-        yield pd.DataFrame(rows, columns=["path", "ref", "seq", "pos", "tag", "text", "codes"])
+            if len(rows) >= AT_ONCE:
+                yield pd.DataFrame(rows, columns=EVENT_COLUMNS)
+                rows = []
+        yield pd.DataFrame(rows, columns=EVENT_COLUMNS)
 
 
 def events(spark: SparkSession, path: str | list[str]) -> DataFrame:
