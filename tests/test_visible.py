@@ -35,3 +35,28 @@ def test_long_texts_take_linear_time():
     for part in ("<!-- ", "<b ", "[", "[a]: ", "![", "<script>", "< ", "[a]: <"):
         seen(part * 20_000)
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a &amp b", "a &amp b"), ("R&ampD", "R&ampD"), ("&copy 2020 &copy;", "&copy 2020 ©"), ("&notit; &not;", "&notit; ¬"), ("&ampamp;", "&ampamp;"), ("&#160 &#xA0 &#65;&#x42;", "&#160 &#xA0 AB"), ("&amp;lt;", "&lt;"),
+        (f"&#{'1' * 5000};", f"&#{'1' * 5000};"), ("&unknown; &;", "&unknown; &;"),
+    ],
+)
+def test_a_reference_ends_with_its_semicolon(text, want):
+    assert seen(text) == want
+
+
+def test_a_page_with_an_open_reference_is_its_sql(spark, tmp_path):
+    """Titles are cut at a length, so that a page's reference can lose its semicolon."""
+    import duckdb
+
+    from lectio import queries
+
+    pages = ["<title>R&amp;D &amp</title><p>x &lt y &copy</p>", "<p>&amp;amp; &middot &middot;</p>", "<p>plain</p>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, queries.queries()["visible_pages"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(queries.oracle_sql()["visible_pages"]).fetchall())
