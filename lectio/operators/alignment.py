@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from lectio.operators.banded import shared
 
 #: Clusters up to which the native form is the faster one; products of lengths up to which the built-in edit distance is.
 NATIVE_CLUSTERS, BUILT_IN = 32, 4_000_000
+#: Rows and bytes of an Arrow batch of cluster arrays, of which each Python step of a task holds some, several times over.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 PAIRS = T.ArrayType(T.StructType([T.StructField("g", T.StringType()), T.StructField("p", T.StringType())]))
 
 
@@ -41,6 +43,14 @@ def _lists(*columns: pa.Array) -> tuple[list[list[np.ndarray]], list[np.ndarray]
     return rows, begins, np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python ARROW_ROWS, or fewer if the session says so, and about ARROW_BYTES at once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def align_clusters(g: list[str], p: list[str]) -> list[tuple[str | None, str | None]]:
     """Columns of the optimal alignment; ties go to the pair, then to a deletion from g, then to an insertion from p."""
     numbers = shared().numbers([*g, *p])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectio.functions import views
 from lectio.functions.scalars import composite, rate
 from lectio.operators import confusion, marks
-from lectio.operators.alignment import aligned, alignment_cost, cer
+from lectio.operators.alignment import aligned, alignment_cost, cer, small_batches
 
 
 def prepared(pairs: DataFrame) -> DataFrame:
@@ -24,10 +24,12 @@ def score(pairs: DataFrame, version: str = "v0.1") -> DataFrame:
 
     Tiers 1 to 3: cer, edits, denominator; dec, cha, voc, wor of tier 2; cer3; f1, precision, recall, tp_exact,
     tp_partial, fp, fn of the marks; alignment of tier 2, for mark_confusion. Null texts give null rates; null mark
-    arrays count as empty; a doc_id that two rows have raises, as marks couldn't be told apart.
+    arrays count as empty; a doc_id that two rows have raises, as marks couldn't be told apart. A row goes through three
+    Python steps with its cluster arrays, so that the session's Arrow batches are set to be small.
     """
     if version != "v0.1":
         raise ValueError(f"unknown scorer version: {version}")
+    small_batches(pairs.sparkSession)
     d = cer(cer(prepared(pairs), "gc1", "pc1", "tier1_"), "gc3", "pc3", "tier3_")
     # tier 2 is aligned once: its edits, accuracies and confusion all read the one alignment
     d = d.withColumn("alignment", aligned("gc2", "pc2"))

@@ -143,3 +143,29 @@ def test_diacritizer_report(spark):
     doc = reports.diacritizer_report(v, runs.text_slot(lambda s: s), 20, 1)
     assert doc["per_verse_cer"] == {"v1": 0.25, "v2": 0.5} and doc["overall_cer"]["point"] == pytest.approx(0.375)
     assert doc["per_folio_cer"]["F"]["n_verses"] == 1 and doc["per_folio_cer"]["G"]["ci_lower"] == 0.5
+
+
+def test_scoring_hands_python_small_batches(spark):
+    """Each Python step holds cluster arrays of a batch, so that 10,000 rows of some hundred clusters took over 3 GB."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf("int")
+    def rows(x: pa.Array) -> pa.Array:
+        return pa.array([len(x)] * len(x), pa.int32())
+
+    text = "שָׁלוֹם עוֹלָם"
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.unset(k)
+    try:
+        pairs = spark.range(2000).coalesce(1).select(F.col("id").cast("string").alias("doc_id"), F.lit(text).alias("gt_text"), F.lit(text).alias("pred_text"), *[F.lit(None).cast("array<struct<type:string,verse_ref:string,ordinal:int>>").alias(c) for c in ("gt_marks", "pred_marks")])
+        d = score.score(pairs)
+        assert d.agg(F.count("*"), F.sum("tier2_edits")).first() == (2000, 0)
+        assert pairs.select(rows("doc_id").alias("n")).agg(F.max("n")).first()[0] <= 256
+        long = pairs.limit(100).coalesce(1).select(rows(F.repeat("gt_text", 50_000)).alias("n"))
+        assert long.agg(F.max("n")).first()[0] < 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
