@@ -114,3 +114,33 @@ def test_every_short_passage_between_unlike_lines_goes(spark):
                 want[d] = n if d % 1000 >= 500 else 0
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {x.doc_id: x.n_removed for x in ld.remove_repeated_runs(d, buckets=1 << 10).collect()} == want
+
+
+def test_runs_come_by_chunks_and_two_lines_only_where_these_leave_some(spark):
+    """Chunks find what lies in them; two lines are looked for outside of later places of chunks alone, and nothing is lost."""
+    from pyspark.sql import functions as F
+
+    rows, _ = corpus()
+    rows += [(i, "\n\nu 1\n\n \nv 2\n\n" * (i % 3)) for i in range(300, 306)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by_chunk, rest = ld.repeated(d, (ld.text_chunks, ld.windows), buckets=1 << 10)
+    lines = {i: (t or "").split("\n") for i, t in rows if i is not None}
+    chunks_, rest = ([(r.doc_id, r.i, r.j) for r in x.collect()] for x in (by_chunk, rest))
+    assert all((i, j) in ld.text_chunks([x.encode() for x in lines[d]])[0] for d, i, j in chunks_)
+    gone = lambda spans: {(d, k) for d, i, j in spans for k in range(i, j)}
+    assert not any(d == e and i <= a and b <= j for d, i, j in chunks_ for e, a, b in rest)
+    want = {(d, n) for d, _, _, n in brute_runs(rows) if d is not None}
+    assert {(d, sum(x == d for x, _ in gone(chunks_ + rest))) for d in lines} == want
+    assert len(gone(chunks_)) > len(gone(rest)) > 0
+
+
+def test_the_pipelines_lines_come_by_chunks(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(ld, "repeated", lambda docs, ways, *more, f=ld.repeated: (asked.append(ways), f(docs, ways, *more))[1])
+    rows, _ = corpus()
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, d, "").collect() if r.doc_id is not None}
+    assert asked == [(ld.text_chunks, ld.windows)]
+    assert got == {d: t for d, t, _, n in brute_runs(rows) if d is not None and (not n or t.strip())}
